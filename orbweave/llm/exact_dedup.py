@@ -33,14 +33,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def heavy_hitters(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``(digest, keep_id, group_size)`` of the digests verified to exceed ``support``."""
     candidates = F.broadcast(rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest")))
-    total = rows.agg(F.count("*").alias("n"))
+    least = rows.count() * support
     return (
         rows.join(candidates, "digest", "left_semi")
         .groupBy("digest")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .join(F.broadcast(total))
-        .where(F.col("group_size") > F.col("n") * support)
-        .drop("n")
+        .where(F.col("group_size") > least)
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from orbweave.llm import exact_dedup, mixing
+from orbweave.llm import exact_dedup, mixing, ngram_jaccard, packing
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
 }
 
