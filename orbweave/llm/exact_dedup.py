@@ -79,10 +79,9 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 def kept_documents(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with all their columns.
 
-    Rows that repeat both id and text are one document; one of them stays.
+    Rows that repeat both id and text tie, so they all stay.
     """
-    stay = exact_dedup(docs, workspace=workspace).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    once = docs.withColumn("_id2", F.col("doc_id")).withColumn("_digest2", F.unhex(F.sha2(text, 256)))
-    out = once.join(stay, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_digest2") == F.col("_digest")), "left_semi")
-    return out.drop("_id2", "_digest2")
+    gone = exact_dedup(docs, workspace=workspace).where("not kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    keyed = docs.withColumn("_own_id", F.col("doc_id")).withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    out = keyed.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti")
+    return out.drop("_own_id", "_own")

@@ -77,6 +77,75 @@ def _cut(rows: DataFrame, bin_col: str) -> DataFrame:
     return over.groupBy("key").agg(F.min(bin_col).alias(f"cut_{bin_col}"), F.min_by("before", bin_col).alias(f"start_{bin_col}"))
 
 
+def _ranked(docs: DataFrame, id_col: str, source_col: str, size: Column, tilt: Column | None) -> DataFrame:
+    """``docs`` with ``_key, _id, _size, _u, _tilt``: what a document's rank needs."""
+    digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(SEED))), 1, 12)
+    unit = (F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0)) + 0.5) / float(1 << 48)
+    return docs.withColumns(
+        {
+            "_key": F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(source_col, F.lit("")).alias("name")),
+            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+            "_size": size,
+            "_u": unit,
+            "_tilt": (tilt if tilt is not None else F.lit(1.0)).cast("double"),
+        }
+    )
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds each document's Pareto rank ``_q`` and its place in the two levels of bins."""
+    odds = F.col("_u") / (1 - F.col("_u")) * ((1 - F.col("_p")) / F.col("_p")) / F.col("_tilt")
+    place = F.col("_q") / (1 + F.col("_q")) * BINS
+    return (
+        rows.join(plan, "_key")
+        .withColumn("_q", F.when(F.col("_p") > 0, odds))
+        .withColumn("_bin", F.coalesce(F.floor(place), F.lit(BINS)).cast("int"))
+        .withColumn("_fine", F.coalesce(F.floor((place - F.floor(place)) * BINS), F.lit(0)).cast("int"))
+    )
+
+
+def mix_plan(rows: DataFrame, weights: Sequence[float], budget: float, max_epochs: float, ws: Workspace) -> DataFrame:
+    """One row per source: target, certain copies, and the last document of its sample.
+
+    ``rows(_key, _id, _size, _u, _tilt)`` come from :func:`_ranked`.
+    """
+    totals = rows.groupBy("_key").agg(F.sum("_size").alias("source_size"))
+    named = totals.select(F.when(~F.col("_key.none"), F.col("_key.name")).alias("source"), "source_size")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = source_targets(named, weights, budget, max_epochs).withColumn("sure", F.floor(ratio))
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    rest = F.col("target") - F.col("sure") * F.col("source_size")
+    plan = ws.save(
+        plan.select(key.alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("sure").alias("_sure"), (ratio - F.col("sure")).alias("_p"), rest.alias("rest")),
+        "plan",
+    )
+    ranked = _placed(rows, plan).withColumnsRenamed({"_size": "size", "_bin": "bin", "_fine": "fine"}).withColumn("start", F.lit(0).cast("long"))
+    coarse = ws.save(_cut(ranked.withColumnRenamed("_key", "key"), "bin").withColumnRenamed("key", "_key"), "cuts")
+    inside = ranked.drop("start").join(coarse, "_key").where("bin = cut_bin").withColumn("start", F.col("start_bin"))
+    fine = ws.save(_cut(inside.withColumnRenamed("_key", "key"), "fine").withColumnRenamed("key", "_key"), "cuts")
+    near = inside.drop("start").join(fine, "_key").where("fine = cut_fine")
+    within = Window.partitionBy("_key").orderBy("_q", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("upto", F.col("start_fine") + F.sum("size").over(within))
+    # The document that crosses the target is taken when that ends nearer to it.
+    nearer = F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))
+    last = near.where((F.col("upto") <= F.col("rest")) | nearer).groupBy("_key").agg(F.max(F.struct("_q", "_id")).alias("_last"))
+    bounds = coarse.select("_key", F.col("cut_bin").alias("_cut_bin")).join(fine.select("_key", F.col("cut_fine").alias("_cut_fine")), "_key", "left")
+    return ws.save(plan.drop("rest").join(bounds, "_key", "left").join(last, "_key", "left"), "plan")
+
+
+def copies_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` of :func:`_ranked` with the columns of the plan and ``_copies``.
+
+    Only the plan, a row a source, meets the rows; their texts never shuffle.
+    """
+    placed = _placed(rows, plan)
+    here = F.struct("_q", "_id") <= F.col("_last")
+    inner = (F.col("_fine") < F.col("_cut_fine")) | ((F.col("_fine") == F.col("_cut_fine")) & here)
+    chosen = F.col("_cut_bin").isNull() | (F.col("_bin") < F.col("_cut_bin")) | ((F.col("_bin") == F.col("_cut_bin")) & inner)
+    extra = F.when((F.col("_p") > 0) & F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
+    return placed.withColumn("_copies", (F.col("_sure") + extra).cast("long"))
+
+
 def pareto_mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -94,53 +163,11 @@ def pareto_mix(
     a document's inclusion odds within its source.
     """
     ws = workspace or Workspace(docs.sparkSession)
-    digits = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(SEED))), 1, 12)
-    unit = (F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0)) + 0.5) / float(1 << 48)
-    rows = ws.save(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            unit.alias("u"),
-            (tilt if tilt is not None else F.lit(1.0)).cast("double").alias("tilt"),
-        ),
-        "sizes",
-    )
-    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = source_targets(totals, weights, budget, max_epochs).withColumn("sure", F.floor(ratio))
-    plan = plan.withColumn("p", ratio - F.col("sure")).withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
-    plan = ws.save(plan.select("*", key), "plan")
-
-    odds = F.col("u") / (1 - F.col("u")) * ((1 - F.col("p")) / F.col("p")) / F.col("tilt")
-    place = F.col("q") / (1 + F.col("q")) * BINS
-    ranked = (
-        rows.select("*", key)
-        .join(plan.drop("source"), "key")
-        .withColumn("q", F.when(F.col("p") > 0, odds))
-        .withColumn("bin", F.coalesce(F.floor(place), F.lit(BINS)).cast("int"))
-        .withColumn("fine", F.coalesce(F.floor((place - F.floor(place)) * BINS), F.lit(0)).cast("int"))
-        .withColumn("start", F.lit(0).cast("long"))
-    )
-    coarse = ws.save(_cut(ranked, "bin"), "cuts")
-    placed = ranked.drop("start").join(coarse, "key", "left")
-    inside = placed.where("bin = cut_bin").withColumn("start", F.col("start_bin"))
-    fine = ws.save(_cut(inside, "fine"), "cuts")
-    placed = placed.join(fine, "key", "left")
-    at = "cut_bin is not null and bin = cut_bin and fine = cut_fine"
-    below = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("fine") < F.col("cut_fine")))
-    clear = placed.where(f"not coalesce({at}, false)").withColumn("extra", F.when(below, 1).otherwise(0))
-    within = Window.partitionBy("key").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = placed.where(at).withColumn("upto", F.col("start_fine") + F.sum("size").over(within))
-    # The document that crosses the target is taken when that ends nearer to it.
-    nearer = F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("size"))
-    near = near.withColumn("extra", F.when((F.col("upto") <= F.col("rest")) | nearer, 1).otherwise(0))
-    cols = ["id", "source", "size", "source_size", "target", "sure", "p", "extra"]
-    out = clear.select(cols).unionByName(near.select(cols))
-    copies = (F.col("sure") + F.when(F.col("p") > 0, F.col("extra")).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).select(
-        "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    ranked = _ranked(docs, id_col, source_col, word_count(F.col(text_col)), tilt)
+    rows = ws.save(ranked.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "_key", "_id", "_size", "_u", "_tilt"), "sizes")
+    out = copies_taken(rows, mix_plan(rows, weights, budget, max_epochs, ws))
+    return out.select(
+        "id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken")
     )
 
 
@@ -153,8 +180,9 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
     ws = workspace or Workspace(docs.sparkSession)
-    copies = pareto_mix(docs, workspace=ws).where("copies > 0").groupBy(F.col("id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.withColumn("_key", F.col("doc_id")).join(copies, F.col("_key").eqNullSafe(F.col("_id")))
+    sizes = ws.save(_ranked(docs, "doc_id", "source", word_count(F.col("text")), None).select("_key", "_id", "_size", "_u", "_tilt"), "sizes")
+    plan = mix_plan(sizes, (5, 2, 1), 1.5, 2.0, ws)
+    out = copies_taken(_ranked(docs, "doc_id", "source", F.lit(0), None), plan).where("_copies > 0")
     return out.withColumn("_n", F.explode(F.expr("sequence(1, int(_copies))"))).select(docs.columns)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from orbweave.llm import exact_dedup, mixing, ngram_jaccard, packing
+import corpus_pipeline
+from orbweave.llm import exact_dedup, mixing, ngram_jaccard, packing, resampling
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
+    "op9_importance_resampling": resampling.op9_importance_resampling,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
