@@ -152,29 +152,13 @@ def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) ->
     return left.cogroup(queries.groupBy("q_group", "q_part")).applyInPandas(run, "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, workspace: Workspace | None = None
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``.
+def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n: int, num: int, den: int, ws: Workspace) -> DataFrame:
+    """``(node, component)`` over the verified links of classes that share a block.
 
-    Documents link when ``den * |intersection| >= num * |union|`` of their sets of
-    ``n``-word shingles. ``class_id`` is the smallest id with the very same set.
+    ``classes(doc, f1, f2)`` are the distinct sets and ``blocks(doc, size, token)`` the
+    memberships; every two classes with a token in common are told linked or not, except
+    where earlier links already join their components.
     """
-    ws = workspace or Workspace(docs.sparkSession)
-    rows = ws.save(profile(docs, n, num, den), "profile")
-    filled = rows.where("n_shingles > 0")
-    classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("forget").alias("forget"), F.first("prefix").alias("prefix"))
-    classes = ws.save(classes.where("doc is not null"), "classes")
-    tokens = classes.select("doc", F.col("n_shingles").alias("size"), "forget", F.explode("prefix").alias("token"))
-
-    spread = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    shared = tokens.join(spread, "token")
-    per_doc = shared.groupBy("doc", "size", "forget").agg(F.sort_array(F.collect_list(F.struct(-F.col("held"), "token"))).alias("held"))
-    left = F.slice("held", F.col("forget") + 1, F.greatest(F.size("held") - F.col("forget"), F.lit(0)))
-    # Tokens that only one class holds may be counted among the forgotten ones or not.
-    blocks = per_doc.select("doc", "size", F.explode(left).alias("t")).select("doc", "size", F.col("t.token").alias("token"))
-    blocks = ws.save(blocks, "blocks")
-
     heads = blocks.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     votes = blocks.join(heads, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
     stars = ws.save(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")), "stars")
@@ -210,16 +194,45 @@ def jaccard_components(
     dealt = dealt.join(words, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "words")
     members = placed.join(load, "group").select("doc", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(sets.select("doc", "tokens"), "doc")
     more = ws.save(opened_groups(members, dealt, num, den), "opened")
-    whole = ws.save(connected_components(links.union(more), ws), "components")
+    return ws.save(connected_components(links.union(more), ws), "components")
 
+
+def by_component(rows: DataFrame, classes: DataFrame, whole: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id`` of every row of the profile."""
     by_set = classes.select("f1", "f2", "n_shingles", F.col("doc").alias("class_id"))
-    named = filled.drop("prefix", "forget").join(by_set, ["f1", "f2", "n_shingles"], "left")
+    named = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2").join(by_set, ["f1", "f2", "n_shingles"], "left")
     named = named.join(whole, F.col("class_id") == F.col("node"), "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
+    named = named.select("doc_id", "n_shingles", component.alias("component_id"), "class_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return named.union(empty)
 
 
+def jaccard_components(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, workspace: Workspace | None = None
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``.
+
+    Documents link when ``den * |intersection| >= num * |union|`` of their sets of
+    ``n``-word shingles. ``class_id`` is the smallest id with the very same set.
+    """
+    ws = workspace or Workspace(docs.sparkSession)
+    rows = ws.save(profile(docs, n, num, den), "profile")
+    filled = rows.where("n_shingles > 0")
+    classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("forget").alias("forget"), F.first("prefix").alias("prefix"))
+    classes = ws.save(classes.where("doc is not null"), "classes")
+    tokens = classes.select("doc", F.col("n_shingles").alias("size"), "forget", F.explode("prefix").alias("token"))
+
+    spread = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    shared = tokens.join(spread, "token")
+    per_doc = shared.groupBy("doc", "size", "forget").agg(F.sort_array(F.collect_list(F.struct(-F.col("held"), "token"))).alias("held"))
+    left = F.slice("held", F.col("forget") + 1, F.greatest(F.size("held") - F.col("forget"), F.lit(0)))
+    # Tokens that only one class holds may be counted among the forgotten ones or not.
+    blocks = per_doc.select("doc", "size", F.explode(left).alias("t")).select("doc", "size", F.col("t.token").alias("token"))
+    whole = block_components(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
+    return by_component(rows, classes, whole)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` at a Jaccard similarity of 0.9 of 3-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
