@@ -11,15 +11,16 @@
    which tokens are forgotten never changes the result.
 3. Every class is verified against one pivot, the smallest id of the blocks it shares
    most tokens with; verified links give first components.
-4. The documents of one component, cut into chunks of about ``GROUP`` by a hash, are the
-   groups. The matrix holds (token, group) for the tokens of the group's union; a query
-   reaches the groups of other components with which it has a token and a fitting size
-   in common. For each pair the overlap of the query with the group's whole token union
-   bounds its similarity to every member, and only a group whose bound reaches the
-   threshold is opened and its members verified. A group lies within one component, so
-   one link to any member settles the pair; families of near copies cost a star, not
-   all pairs. Components of the smaller size query those of the larger, so no pair of
-   components is tried twice.
+4. The documents that choices of a pivot connect are similar; cut by a hash into chunks
+   of about ``GROUP_TOKENS`` shingles they are the groups. The matrix holds (token, group) for the
+   tokens of a group's members; a query reaches the groups that share a token with it,
+   fit in size and hold a document of another component. The overlap of the query with
+   the group's whole token union bounds its similarity to every member; only a group
+   whose bound reaches the threshold is opened, and its members' overlaps counted from
+   the group's inverted lists. One link for each other component in a group is enough,
+   members of the query's own component are skipped, and groups that hold nothing else
+   are never visited, so a family of near copies costs a star, not all pairs. Of two
+   documents the one in the smaller component asks.
 
 Defined cases: null or word-less text has an empty set, size 0, and is linked with
 nothing; rows that share an id are one node, so each of them gets the same component;
@@ -41,8 +42,8 @@ from orbweave.llm.words import fingerprint, list_array, shingles, split_words
 from orbweave.plans.components import connected_components
 from orbweave.plans.workspace import Workspace
 
-#: Members of a group, and queries of a group that one task checks, about.
-GROUP, QUERIES = 64, 256
+#: Shingles of a group's members, and of the queries that meet it in one task, about.
+GROUP_TOKENS, QUERY_TOKENS = 1 << 20, 1 << 20
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -124,28 +125,36 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` from queries to members of the groups they are dealt to."""
+    """Links ``(a, b)`` from queries to members of the groups they are dealt to.
+
+    ``members(group, part, doc, component, tokens)``;
+    ``queries(q_group, q_part, query, q_component, words)``.
+    """
 
     def run(key, group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         links = []
         if len(group) and len(asked):
             sets = [np.frombuffer(x, np.int64) for x in group["tokens"]]
-            union = np.unique(np.concatenate(sets))
-            least = min(map(len, sets))
-            for doc, raw in zip(asked["query"], asked["words"], strict=True):
+            sizes = np.array([len(x) for x in sets])
+            docs, components = group["doc"].to_numpy(), group["component"].to_numpy()
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(sets)), sizes)[order]
+            union, starts = np.unique(flat[order], return_index=True)
+            ends = np.append(starts[1:], len(flat))
+            for doc, own, raw in zip(asked["query"], asked["q_component"], asked["words"], strict=True):
                 query = np.frombuffer(raw, np.int64)
-                at = np.searchsorted(union, query)
-                bound = int((union[np.minimum(at, len(union) - 1)] == query).sum())
+                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
+                at = at[union[at] == query]
                 # No member shares more than the bound, nor is one smaller than the least.
-                if not reaches(bound, len(query), max(bound, least), num, den):
+                if not len(at) or not reaches(len(at), len(query), max(len(at), sizes.min()), num, den):
                     continue
-                for other, tokens in zip(group["doc"], sets, strict=True):
-                    small, large = sorted((len(query), len(tokens)))
-                    if den * small < num * large:
-                        continue
-                    if reaches(len(np.intersect1d(query, tokens, assume_unique=True)), len(query), len(tokens), num, den):
-                        links.append((doc, other))
-                        break
+                lengths = ends[at] - starts[at]
+                places = np.repeat(starts[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                shared = np.bincount(owner[places], minlength=len(sets))
+                linked = np.flatnonzero((den * shared >= num * (sizes + len(query) - shared)) & (components != own))
+                _, once = np.unique(components[linked], return_index=True)
+                links += [(doc, other) for other in docs[linked[once]]]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     left = members.groupBy("group", "part")
@@ -172,27 +181,30 @@ def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n:
     links = ws.save(verified(pairs.select("a", "b", "ta", "tb"), num, den), "links")
     first = ws.save(connected_components(links, ws), "components")
 
-    # Groups: chunks of a first component, so a group lies within one component.
     labels = sets.select("doc", "size").join(first, F.col("doc") == F.col("node"), "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
     weight = labels.groupBy("component").agg(F.count("*").alias("weight"))
-    chunk = F.pmod(F.xxhash64("doc"), F.ceil(F.col("weight") / GROUP).cast("long"))
-    placed = ws.save(labels.join(weight, "component").select("doc", "size", "component", "weight", F.concat_ws("-", "component", chunk).alias("group")), "groups")
+    family = connected_components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
+    family = family.select(F.col("node").alias("doc"), F.col("component").alias("pivot"))
+    placed = labels.join(weight, "component").join(family, "doc", "left").withColumn("pivot", F.coalesce("pivot", "doc"))
+    volume = placed.groupBy("pivot").agg(F.ceil(F.sum("size") / GROUP_TOKENS).cast("long").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
+    rank = F.struct("weight", "component")
+    placed = ws.save(placed.join(volume, "pivot").select("doc", "size", "component", rank.alias("rank"), F.concat_ws("-", "pivot", chunk).alias("group")), "groups")
     spans = placed.groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     cells = blocks.drop("size").join(placed, "doc")
     mixed = cells.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
     cells = cells.join(mixed, "token", "left_semi")
-    matrix = cells.groupBy("token", "group").agg(F.first("component").alias("g_component"), F.first("weight").alias("g_weight")).join(spans, "group")
-    larger = (F.col("g_weight") > F.col("weight")) | ((F.col("g_weight") == F.col("weight")) & (F.col("g_component") > F.col("component")))
+    matrix = cells.groupBy("token", "group").agg(F.max("rank").alias("top")).join(spans, "group")
     sized = (F.col("size") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("size") * num)
-    asked = cells.drop("group").join(matrix, "token").where(larger & sized).select("doc", "group").distinct()
-    asked = ws.save(asked, "queries")
+    asked = cells.drop("group").join(matrix, "token").where((F.col("rank") < F.col("top")) & sized)
+    asked = ws.save(asked.select("doc", "size", "component", "group").distinct(), "queries")
 
-    load = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    load = asked.groupBy("group").agg(F.ceil(F.sum("size") / QUERY_TOKENS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int")
-    dealt = asked.join(load, "group").select("doc", F.col("group").alias("q_group"), part.alias("q_part"))
+    dealt = asked.join(load, "group").select("doc", F.col("component").alias("q_component"), F.col("group").alias("q_group"), part.alias("q_part"))
     words = sets.select("doc", F.col("tokens").alias("words"))
-    dealt = dealt.join(words, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "words")
-    members = placed.join(load, "group").select("doc", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(sets.select("doc", "tokens"), "doc")
+    dealt = dealt.join(words, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "q_component", "words")
+    members = placed.join(load, "group").select("doc", "component", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(sets.select("doc", "tokens"), "doc")
     more = ws.save(opened_groups(members, dealt, num, den), "opened")
     return ws.save(connected_components(links.union(more), ws), "components")
 
