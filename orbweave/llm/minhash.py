@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.ngram_jaccard import block_components, by_component
 from orbweave.llm.words import fingerprint as content_mark
-from orbweave.llm.words import list_array, shingles, split_words
+from orbweave.llm.words import list_array, shingles, slices, split_words
 from orbweave.plans.workspace import Workspace
 
 PERMUTATIONS = 128
@@ -91,7 +91,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, _ = heads.value
-        for batch in batches:
+        for batch in slices(batches):
             at = np.searchsorted(cuts, batch.column(0).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["range", "id", *batch.schema.names[1:]])
 
@@ -104,7 +104,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, _ = heads.value
         firsts = np.array(sorted(sent.value), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             at = np.searchsorted(cuts, ids, side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(ids), bool)), batch.column(1), batch.column(2)], ["range", "last", "doc_id", "text"])
@@ -128,7 +128,7 @@ def fingerprint_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         held = None
         names = [f.split()[0] for f in RESULT.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for place, last, doc, text in zip(*(batch.column(k) for k in range(4)), strict=True):
                 place, last, doc, text = place.as_py(), last.as_py(), doc.as_py(), text.as_py() or ""
@@ -164,7 +164,7 @@ def minhash_components(
     bands = PERMUTATIONS // band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingles(split_words(x.as_py(), lower=True), n).view(np.int64)) for x in batch.column(1)]
             marks = [content_mark(x) for x in sets]
             parts = []

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.words import fingerprint, list_array, shingles, split_words
+from orbweave.llm.words import fingerprint, list_array, shingles, slices, split_words
 from orbweave.plans.components import connected_components
 from orbweave.plans.workspace import Workspace
 
@@ -68,7 +68,7 @@ def profile(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, f1, f2, forget, prefix`` of every row, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(x.as_py(), n) for x in batch.column(1)]
             sizes = [len(x) for x in sets]
             marks = [fingerprint(x) for x in sets]
@@ -93,7 +93,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``doc, size, tokens`` for the classes of ``wanted(doc, f1, f2)``, from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, f1, f2 = (batch.column(k).to_pylist() for k in (0, 2, 3))
             rows = [(i, s) for i, x, a, b in zip(ids, batch.column(1), f1, f2, strict=True) if fingerprint(s := shingle_set(x.as_py(), n)) == (a, b)]
             yield pa.RecordBatch.from_arrays(
@@ -114,7 +114,7 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of ``pairs(a, b, ta, tb)`` those whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(ta.as_buffer(), np.int64), np.frombuffer(tb.as_buffer(), np.int64)

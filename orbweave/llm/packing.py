@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbweave.llm.words import slices
 from orbweave.plans.workspace import Workspace
 
 CAPACITY = 2048
@@ -89,7 +90,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str, engine: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, engine)
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch.column(0), []
             for i, text in enumerate(batch.column(1)):
                 doc, text = ids[i].as_py(), text.as_py() or ""

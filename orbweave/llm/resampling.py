@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from orbweave.llm.words import M1, mix
+from orbweave.llm.words import M1, mix, slices
 from orbweave.plans.workspace import Workspace
 
 BUCKETS = 1 << 14
@@ -79,7 +79,7 @@ def feature_counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         chosen = set(good.value.tolist())
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = np.bincount(features(text.as_py()), minlength=BUCKETS)
                 total += got
@@ -125,7 +125,7 @@ class Resampler:
         ratio, temperature = self.ratio, self.temperature
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 weight, key = keyed(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ratio, temperature)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(key)], ["doc_id", "log_weight", "key"])
 
@@ -156,7 +156,7 @@ class Resampler:
         at, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 _, key = keyed(batch.column(at).to_pylist(), batch.column(text).to_pylist(), ratio, temperature)
                 yield batch.filter(pa.array(key >= least))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
@@ -61,3 +64,20 @@ def list_array(parts: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(x) for x in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64, copy=False)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that what a worker derives from them stays small.
+
+    When the task ends, memory that the allocators keep goes back to the system: Python
+    workers outlive their tasks and share the executor's memory with the JVM.
+    """
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
