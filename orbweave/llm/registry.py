@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from orbweave.llm import exact_dedup, mixing, ngram_jaccard, packing, resampling
+from orbweave.llm import exact_dedup, minhash, mixing, ngram_jaccard, packing, resampling, substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+    "op2_minhash_fingerprints": minhash.op2_minhash_fingerprints,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_importance_resampling": resampling.op9_importance_resampling,
     "pipeline": corpus_pipeline.run,
