@@ -101,7 +101,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 ["doc", "size", "tokens"],
             )
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc")
+    # The same plan at every size: texts are sorted to the ids, which have no size bound.
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc")
     out = joined.select("doc", "text", "f1", "f2").mapInArrow(run, "doc long, size long, tokens binary")
     return out.groupBy("doc").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
 
