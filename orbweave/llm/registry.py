@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from orbweave.llm import exact_dedup, minhash, mixing, ngram_jaccard, packing, resampling, substring_dedup
+from orbweave.llm import exact_dedup, katz, minhash, mixing, ngram_jaccard, packing, resampling, substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_importance_resampling": resampling.op9_importance_resampling,
+    "op10_katz_scores": katz.op10_katz_scores,
     "pipeline": corpus_pipeline.run,
 }
 
