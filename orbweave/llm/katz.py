@@ -188,7 +188,9 @@ class Head:
                 break
             room -= rows
             self.least = n
-        chosen = (F.col(order) >= self.least) | F.col(key).isin(always)
+        chosen = F.col(order) >= self.least
+        for one in always:
+            chosen = chosen | (F.col(key) == one)
         rows = table.where(chosen).select(key, *columns).toArrow()
         keys = rows.column(0).to_numpy()
         by = np.argsort(keys)
