@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orbweave.queries import catalog, raster
+from orbweave.queries import catalog, raster, vector
 
-MODULES = (catalog, raster)
+MODULES = (catalog, raster, vector)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
