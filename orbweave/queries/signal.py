@@ -36,7 +36,7 @@ def poly2d(spark, sf):
 
 def _wanted(spark, sf):
     s = series(spark, sf)
-    return s.select("key", F.col("event_id").alias("id"), (F.col("t") + 1.25).alias("x"))
+    return s.select("key", F.col("event_id").alias("id"), (F.col("t") + 1.3).alias("x"))
 
 
 def interp_linear(spark, sf):
@@ -123,7 +123,7 @@ def synth_image(spark, sf):
 
 
 PX, CP, SE = {"px": PIXELS}, {"ch": CPIXELS}, {"s": SERIES}
-PLACE = "r AS (SELECT user_id AS key, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS k, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS next FROM s), w AS (SELECT user_id AS key, event_id AS id, t + 1.25::DOUBLE AS x FROM s), p AS (SELECT w.key, w.id, CASE WHEN r.next IS NOT NULL THEN r.k + (w.x - r.t) / (r.next - r.t) WHEN w.x = r.t THEN r.k END AS p FROM w ASOF LEFT JOIN r ON w.key = r.key AND w.x >= r.t)"
+PLACE = "r AS (SELECT user_id AS key, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS k, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS next FROM s), w AS (SELECT user_id AS key, event_id AS id, t + 1.3::DOUBLE AS x FROM s), p AS (SELECT w.key, w.id, CASE WHEN r.next IS NOT NULL THEN r.k + (w.x - r.t) / (r.next - r.t) WHEN w.x = r.t THEN r.k END AS p FROM w ASOF LEFT JOIN r ON w.key = r.key AND w.x >= r.t)"
 SINC = "CASE WHEN {d} = 0 THEN 1 ELSE sin(pi() * {d}) / (pi() * {d}) END"
 DD = "(p.p - r.k)"
 
