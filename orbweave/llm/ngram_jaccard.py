@@ -9,18 +9,20 @@
    tokens that most classes hold: of the shared ones the rarest stays on both sides.
    A passage that a third of all documents contain so drops out of the matrix, and
    which tokens are forgotten never changes the result.
-3. Every class is verified against one pivot, the smallest id of the blocks it shares
-   most tokens with; verified links give first components.
-4. The documents that choices of a pivot connect are similar; cut by a hash into chunks
-   of about ``GROUP_TOKENS`` shingles they are the groups. The matrix holds (token, group) for the
-   tokens of a group's members; a query reaches the groups that share a token with it,
-   fit in size and hold a document of another component. The overlap of the query with
-   the group's whole token union bounds its similarity to every member; only a group
-   whose bound reaches the threshold is opened, and its members' overlaps counted from
-   the group's inverted lists. One link for each other component in a group is enough,
-   members of the query's own component are skipped, and groups that hold nothing else
-   are never visited, so a family of near copies costs a star, not all pairs. Of two
-   documents the one in the smaller component asks.
+3. Every class chooses a pivot, the smallest id of the blocks it shares most tokens
+   with. The classes that these choices connect are similar; cut by a hash into chunks
+   of about ``GROUP_TOKENS`` shingles they are the groups. A group's token union, with
+   the members that hold each token, is built once in one task; a member whose overlap
+   with the rest of the union cannot reach the threshold is passed over, the others are
+   verified, and links within the group give first components.
+4. The matrix holds (token, group) for the tokens of a group's members; a class queries
+   the other groups that share a token with it, fit in size and hold a class of another
+   component. The overlap of the query with the group's whole token union bounds its
+   similarity to every member; only a group whose bound reaches the threshold is opened,
+   and its members' overlaps counted from the group's lists. One link for each other
+   component in a group is enough and members of the query's own component are skipped,
+   so a family of near copies costs a tree, not all pairs. Of two classes the one in the
+   smaller component asks.
 
 Defined cases: null or word-less text has an empty set, size 0, and is linked with
 nothing; rows that share an id are one node, so each of them gets the same component;
@@ -90,39 +92,95 @@ def profile(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``doc, size, tokens`` for the classes of ``wanted(doc, f1, f2)``, from the texts."""
+    """``doc, group, size, tokens`` for the classes of ``wanted(doc, f1, f2, group)``.
+
+    Rows that repeat a class follow each other where they meet and give one set; a set
+    that nevertheless comes twice repeats links, nothing more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in slices(batches):
-            ids, f1, f2 = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            rows = [(i, s) for i, x, a, b in zip(ids, batch.column(1), f1, f2, strict=True) if fingerprint(s := shingle_set(x.as_py(), n)) == (a, b)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())],
-                ["doc", "size", "tokens"],
-            )
+            rows = []
+            for doc, text, f1, f2, group in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if doc.as_py() == last:
+                    continue
+                tokens = shingle_set(text.as_py(), n)
+                if fingerprint(tokens) == (f1.as_py(), f2.as_py()):
+                    last = doc.as_py()
+                    rows.append((last, group.as_py(), len(tokens), tokens.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "group", "size", "tokens"])
 
     # The same plan at every size: texts are sorted to the ids, which have no size bound.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc")
-    out = joined.select("doc", "text", "f1", "f2").mapInArrow(run, "doc long, size long, tokens binary")
-    return out.groupBy("doc").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    return joined.select("doc", "text", "f1", "f2", "group").mapInArrow(run, "doc long, group string, size long, tokens binary")
 
 
 def reaches(shared: int, a: int, b: int, num: int, den: int) -> bool:
     return den * shared >= num * (a + b - shared)
 
 
-def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``pairs(a, b, ta, tb)`` those whose sets reach the threshold."""
+class TokenUnion:
+    """The token union of a group, and the members that hold each of its tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            good = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(ta.as_buffer(), np.int64), np.frombuffer(tb.as_buffer(), np.int64)
-                good.append(reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+    def __init__(self, raw: pd.Series):
+        self.sets = [np.frombuffer(x, np.int64) for x in raw]
+        self.sizes = np.array([len(x) for x in self.sets])
+        flat = np.concatenate(self.sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        self.tokens, starts = np.unique(flat[order], return_index=True)
+        self.starts, self.ends = starts, np.append(starts[1:], len(flat))
+
+    def places(self, query: np.ndarray) -> np.ndarray:
+        """Where the union holds tokens of the query."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        return at[self.tokens[at] == query]
+
+    def held(self, at: np.ndarray) -> np.ndarray:
+        """In how many members each token stands."""
+        return self.ends[at] - self.starts[at]
+
+    def shared(self, at: np.ndarray) -> np.ndarray:
+        """Tokens that the query shares with each member."""
+        lengths = self.held(at)
+        rows = np.repeat(self.starts[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.owner[rows], minlength=len(self.sets))
+
+    def linked(self, at: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+        shared = self.shared(at)
+        return den * shared >= num * (self.sizes + size - shared)
 
-    return pairs.mapInArrow(run, "a long, b long")
+
+def inner_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the members of each group as far as they are linked."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        if len(pdf) > 1:
+            union, docs, root = TokenUnion(pdf["tokens"]), pdf["doc"].to_numpy(), list(range(len(pdf)))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, query in enumerate(union.sets):
+                at = union.places(query)
+                bound = int((union.held(at) > 1).sum())
+                if not reaches(bound, len(query), max(bound, union.sizes.min()), num, den):
+                    continue
+                for j in np.flatnonzero(union.linked(at, len(query), num, den)):
+                    x, y = find(i), find(int(j))
+                    if x != y:
+                        root[y] = x
+                        links.append((docs[i], docs[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return sets.groupBy("group").applyInPandas(run, "a long, b long")
 
 
 def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) -> DataFrame:
@@ -135,25 +193,15 @@ def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) ->
     def run(key, group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         links = []
         if len(group) and len(asked):
-            sets = [np.frombuffer(x, np.int64) for x in group["tokens"]]
-            sizes = np.array([len(x) for x in sets])
+            union = TokenUnion(group["tokens"])
             docs, components = group["doc"].to_numpy(), group["component"].to_numpy()
-            flat = np.concatenate(sets)
-            order = np.argsort(flat, kind="stable")
-            owner = np.repeat(np.arange(len(sets)), sizes)[order]
-            union, starts = np.unique(flat[order], return_index=True)
-            ends = np.append(starts[1:], len(flat))
             for doc, own, raw in zip(asked["query"], asked["q_component"], asked["words"], strict=True):
                 query = np.frombuffer(raw, np.int64)
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                at = at[union[at] == query]
+                at = union.places(query)
                 # No member shares more than the bound, nor is one smaller than the least.
-                if not len(at) or not reaches(len(at), len(query), max(len(at), sizes.min()), num, den):
+                if not len(at) or not reaches(len(at), len(query), max(len(at), union.sizes.min()), num, den):
                     continue
-                lengths = ends[at] - starts[at]
-                places = np.repeat(starts[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                shared = np.bincount(owner[places], minlength=len(sets))
-                linked = np.flatnonzero((den * shared >= num * (sizes + len(query) - shared)) & (components != own))
+                linked = np.flatnonzero(union.linked(at, len(query), num, den) & (components != own))
                 _, once = np.unique(components[linked], return_index=True)
                 links += [(doc, other) for other in docs[linked[once]]]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -173,39 +221,36 @@ def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n:
     votes = blocks.join(heads, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
     stars = ws.save(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")), "stars")
     involved = stars.select("doc").union(stars.select(F.col("pivot").alias("doc"))).distinct()
-    wanted = involved.join(classes.select("doc", "f1", "f2"), "doc")
+    family = connected_components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
+    family = family.select(F.col("node").alias("doc"), "component")
+    wanted = involved.join(classes.select("doc", "f1", "f2", F.col("n_shingles").alias("size")), "doc").join(family, "doc", "left").withColumn("family", F.coalesce("component", "doc"))
+    volume = wanted.groupBy("family").agg(F.ceil(F.sum("size") / GROUP_TOKENS).cast("long").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
+    wanted = wanted.join(volume, "family").select("doc", "f1", "f2", F.concat_ws("-", "family", chunk).alias("group"))
     sets = ws.save(whole_sets(docs, wanted, n), "sets")
-    a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"), F.col("size").alias("na"))
-    b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"), F.col("size").alias("nb"))
-    fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    pairs = stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).join(a, "a").join(b, "b").where(fits)
-    links = ws.save(verified(pairs.select("a", "b", "ta", "tb"), num, den), "links")
+    links = ws.save(inner_links(sets, num, den), "links")
     first = ws.save(connected_components(links, ws), "components")
 
-    labels = sets.select("doc", "size").join(first, F.col("doc") == F.col("node"), "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
+    labels = sets.select("doc", "size", "group").join(first, F.col("doc") == F.col("node"), "left").select("doc", "size", "group", F.coalesce("component", "doc").alias("component"))
     weight = labels.groupBy("component").agg(F.count("*").alias("weight"))
-    family = connected_components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
-    family = family.select(F.col("node").alias("doc"), F.col("component").alias("pivot"))
-    placed = labels.join(weight, "component").join(family, "doc", "left").withColumn("pivot", F.coalesce("pivot", "doc"))
-    volume = placed.groupBy("pivot").agg(F.ceil(F.sum("size") / GROUP_TOKENS).cast("long").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
-    rank = F.struct("weight", "component")
-    placed = ws.save(placed.join(volume, "pivot").select("doc", "size", "component", rank.alias("rank"), F.concat_ws("-", "pivot", chunk).alias("group")), "groups")
+    placed = labels.join(weight, "component").select("doc", "size", "component", F.struct("weight", "component").alias("rank"), "group")
+    placed = ws.save(placed, "groups")
     spans = placed.groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     cells = blocks.drop("size").join(placed, "doc")
-    mixed = cells.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-    cells = cells.join(mixed, "token", "left_semi")
+    mixed = cells.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("group").alias("g1"), F.max("group").alias("g2"))
+    cells = cells.join(mixed.where("c1 <> c2 and g1 <> g2").select("token"), "token", "left_semi")
     matrix = cells.groupBy("token", "group").agg(F.max("rank").alias("top")).join(spans, "group")
     sized = (F.col("size") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("size") * num)
-    asked = cells.drop("group").join(matrix, "token").where((F.col("rank") < F.col("top")) & sized)
+    asked = cells.withColumnRenamed("group", "own").join(matrix, "token").where((F.col("group") != F.col("own")) & (F.col("rank") < F.col("top")) & sized)
     asked = ws.save(asked.select("doc", "size", "component", "group").distinct(), "queries")
 
     load = asked.groupBy("group").agg(F.ceil(F.sum("size") / QUERY_TOKENS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int")
     dealt = asked.join(load, "group").select("doc", F.col("component").alias("q_component"), F.col("group").alias("q_group"), part.alias("q_part"))
-    words = sets.select("doc", F.col("tokens").alias("words"))
-    dealt = dealt.join(words, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "q_component", "words")
-    members = placed.join(load, "group").select("doc", "component", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(sets.select("doc", "tokens"), "doc")
+    # Neither side has a size bound, so both joins are merges at every size.
+    whole = sets.select("doc", "tokens").hint("merge")
+    dealt = dealt.join(whole, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "q_component", F.col("tokens").alias("words"))
+    members = placed.join(load, "group").select("doc", "component", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(whole, "doc")
     more = ws.save(opened_groups(members, dealt, num, den), "opened")
     return ws.save(connected_components(links.union(more), ws), "components")
 
