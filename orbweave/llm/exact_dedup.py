@@ -32,7 +32,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def heavy_hitters(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``(digest, keep_id, group_size)`` of the digests verified to exceed ``support``."""
-    candidates = F.broadcast(rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest")))
+    # Counted as text: the frequent-item counters tell byte arrays apart by identity.
+    found = rows.select(F.hex("digest").alias("d")).stat.freqItems(["d"], support)
+    candidates = F.broadcast(found.select(F.explode("d_freqItems").alias("d")).select(F.unhex("d").alias("digest")))
     least = rows.count() * support
     return (
         rows.join(candidates, "digest", "left_semi")
