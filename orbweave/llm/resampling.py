@@ -13,7 +13,8 @@ repetition, so that stuttering is seen whatever the word.
 The raw model counts every feature of every document; counts are summed per task over
 ``BUCKETS`` fixed buckets, so the model's size does not grow. The target model and the
 threshold come from at most ``LABELLED`` labelled rows of each class, taken by hash
-order; rows whose crc32(doc_id) mod 5 is 0 are left out of the fit to measure on. ``k``
+order; rows whose crc32(doc_id) mod 5 is 0 are left out of the fit to measure on, and
+good rows where it is 1 set the threshold alone, as the target model favours its own. ``k``
 is the number of documents whose weight reaches the threshold that best tells the
 labelled classes apart, where rejecting a good document costs ``CLEAN_COST`` times as
 much as keeping a bad one.
@@ -26,6 +27,7 @@ classes every document is kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,9 +117,10 @@ class Resampler:
         ws = workspace or Workspace(docs.sparkSession)
         self.temperature = temperature
         sample = labelled_sample(labels, labelled)
-        self.ratio = log_ratio(*feature_counts(docs, sample))
+        aside = {i for i, q in sample.items() if q == 1 and zlib.crc32(str(i).encode()) % 5 == 1}
+        self.ratio = log_ratio(*feature_counts(docs, {i: q for i, q in sample.items() if i not in aside}))
         self.scores = ws.save(self.scored(docs), "weights")
-        self.threshold = self.best_threshold(sample)
+        self.threshold = self.best_threshold({i: q for i, q in sample.items() if q == 0 or i in aside} if aside else sample)
         k = self.scores.where(F.col("log_weight") >= self.threshold).count()
         self.key = kth_largest(self.scores, "key", k)
 
