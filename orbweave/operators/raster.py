@@ -331,6 +331,22 @@ def annular_stats(pixels: DataFrame, guard: int, training: int) -> DataFrame:
     return out.withColumn("mean", mean).withColumn("std", F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).drop("o1", "o2", "i1", "i2")
 
 
+def quadrant_means(pixels: DataFrame, guard: int, training: int) -> DataFrame:
+    """Adds ``q1..q4``, the means of the squares of ``training - guard`` pixels in the corners.
+
+    Each is a separable mean over a window that lies off the pixel, so again only lines move.
+    """
+    out = pixels
+    for k, (down, across) in enumerate([(-1, -1), (-1, 1), (1, -1), (1, 1)], 1):
+        name = f"q{k}"
+        out = out.withColumn(name, F.col("value"))
+        for axis, other, side in (("col", "row", across), ("row", "col", down)):
+            span = (-training, -guard - 1) if side < 0 else (guard + 1, training)
+            w = Window.partitionBy("image_id", other).orderBy(axis).rowsBetween(*span)
+            out = mirrored(out, axis, training).withColumn(name, F.avg(name).over(w)).where("_in").drop("_in")
+    return out
+
+
 def cell_averaging(pixels: DataFrame, guard: int = 1, training: int = 3, pfa: float = 1e-3, assumption: str = "gaussian") -> DataFrame:
     """Adds ``threshold`` and ``hit``: values above what the ring lets expect."""
     k = false_alarm_factor(pfa, guard, training, assumption)

@@ -177,7 +177,7 @@ def cfar_detect(spark, sf):
 
 
 def _asked(spark, sf, fr, fc):
-    p = px(spark, sf).where("row % 4 = 0 and col % 4 = 0")
+    p = px(spark, sf)
     return p.select("image_id", (F.col("row") * 64 + F.col("col")).alias("id"), (F.col("row") * 0.9 + fr).alias("r"), (F.col("col") * 0.95 + fc).alias("c"))
 
 
@@ -221,7 +221,7 @@ P2, P98 = "quantile_cont(value, 0.02)", "quantile_cont(value, 0.98)"
 DENSITY = "WITH s AS (SELECT image_id, avg(abs(value)) AS mean FROM px GROUP BY image_id), k AS (SELECT image_id, row, col, ((255 - 30) / log10(40::DOUBLE) * log10(greatest(abs(value), 1e-5)) + 30 - (255 - 30) / log10(40::DOUBLE) * log10(0.8 * mean)) / 255 AS n FROM px JOIN s USING (image_id)) SELECT image_id, row, col, round({n}, 6) + 0.0 AS value FROM k"
 MAD = "WITH a AS (SELECT image_id, median(value) AS median FROM px GROUP BY image_id), b AS (SELECT image_id, any_value(median) AS median, median(abs(value - median)) AS mad FROM px JOIN a USING (image_id) GROUP BY image_id)"
 GAUSS = "exp(-0.5 * (dr * dr + dc * dc) / 0.49::DOUBLE)"
-ASKED = "w AS (SELECT image_id, row * 64 + col AS id, row * 0.9::DOUBLE + 0.3::DOUBLE AS r, col * 0.95::DOUBLE + 0.6::DOUBLE AS c FROM px WHERE row % 4 = 0 AND col % 4 = 0)"
+ASKED = "w AS (SELECT image_id, row * 64 + col AS id, row * 0.9::DOUBLE + 0.3::DOUBLE AS r, col * 0.95::DOUBLE + 0.6::DOUBLE AS c FROM px)"
 HITS = "h AS MATERIALIZED (SELECT *, image_id * 1099511627776 + row * 1048576 + col AS id FROM px WHERE value > 0.15), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.image_id = b.image_id AND ((a.row = b.row AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a.row - b.row) = 1)))"
 
 ORACLES = {
