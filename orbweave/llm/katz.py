@@ -45,7 +45,7 @@ CUT = 5
 HEAD = 1 << 20
 BITS = 1 << 26
 #: Tokens that a task gathers before it merges them, and tokens of one partition, about.
-CHUNK, PART = 2_000_000, 1_000_000
+CHUNK, PART = 1_500_000, 1_000_000
 #: Share of all tokens above which a history's pairs are cut by their second word too.
 HOT = 1 / 2000
 BEGIN, END = np.uint64(xxh3_64_intdigest(b"\x00begin")), np.uint64(xxh3_64_intdigest(b"\x00end"))
@@ -205,6 +205,16 @@ class Head:
         here = self.keys[place] == keys
         return here, np.where(here, place, 0)
 
+    def only(self, *columns: str) -> Head:
+        """The same keys with fewer columns, to broadcast less."""
+        out = object.__new__(Head)
+        out.keys, out.least, out.values = self.keys, self.least, {c: self.values[c] for c in columns}
+        return out
+
+    def get(self, column: str, here: np.ndarray, place: np.ndarray, otherwise: float) -> np.ndarray:
+        """Values at places that :meth:`at` gave."""
+        return np.where(here, self.values[column][place], otherwise) if len(self.keys) else np.full(len(here), otherwise)
+
     def counts(self, keys: np.ndarray) -> pa.Array:
         here, place = self.at(keys)
         return pa.array(self.values["n"][place] if len(self.keys) else np.zeros(len(keys), np.int64), mask=~here)
@@ -267,6 +277,7 @@ class KatzModel:
         lower = discounted("n_second", ratios) * (scale / max(1, self.total))
         count = discounted("n", ratio2)
         scored = ws.save(whole.select("first", "second", "n", "n_first", count.alias("count"), F.log10(count / F.col("n_first")).alias("lp"), lower.alias("lower")), "scored")
+        ws.drop(pairs)
         left = scored.groupBy("first").agg(F.sum("count").alias("count"), F.first("n_first").alias("n_first"), F.sum("lower").alias("lower"))
         # A history none of whose pairs is discounted is counted once more, for what follows unseen.
         full = F.when(F.col("count") > F.col("n_first") - 1e-6, F.col("n_first") / (F.col("n_first") + 1)).otherwise(1.0)
@@ -275,21 +286,23 @@ class KatzModel:
         own = words.join(left, "word", "left")
         own = own.select("word", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("back", "turn")], F.log10(p_word).alias("lw"))
         self.words = ws.save(own, "words")
+        ws.drop(words)
         self.word_head = Head(self.words, "word", ["n", "back", "turn", "lw"], always=(MARK,))
 
         gained = self._gains(scored)
         f, s = self.words.select(F.col("word").alias("first"), "turn"), self.words.select(F.col("word").alias("second"), "lw")
         late = gained.where("gain is null").drop("gain").join(f, "first").join(s, "second").select("key", "n", (F.col("lp") + F.col("turn") - F.col("lw")).alias("gain"))
         self.pairs = ws.save(gained.where("gain is not null").select("key", "n", "gain").union(late), "gains")
+        ws.drop(scored)
         self.pair_head = Head(self.pairs, "key", ["n", "gain"])
         tail_words = self.words.where((F.col("n") < self.word_head.least) & (F.col("word") != MARK)).select(F.col("word").alias("key"), "n", (F.col("back") + F.col("lw")).alias("value"))
         tail_pairs = self.pairs.where(F.col("n") < self.pair_head.least).select("key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("value"))
         self.tail = tail_words.union(tail_pairs)
         self.bitmap = self._bitmap()
-        self.shared = spark.sparkContext.broadcast((self.word_head, self.pair_head, self.bitmap, self.total, self.kinds, self.unknown))
+        self.shared = spark.sparkContext.broadcast((self.word_head.only("n", "back", "lw"), self.pair_head.only("gain"), self.bitmap, self.total, self.kinds, self.unknown))
 
     def _gains(self, scored: DataFrame) -> DataFrame:
-        head = scored.sparkSession.sparkContext.broadcast(self.word_head)
+        head = scored.sparkSession.sparkContext.broadcast(self.word_head.only("turn", "lw"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = head.value
@@ -318,49 +331,49 @@ class KatzModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, pairs, bitmap, total, kinds, unknown = shared.value
-            floor, none = math.log10(1 / (total + kinds + 1)), math.log10(unknown)
-            for batch in slices(batches):
-                rows, keys, many, kind = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    text = text.as_py() or ""
-                    t = tokens(text)
-                    word, at, n = np.unique(t.view(np.int64), return_inverse=True, return_counts=True)
-                    here, place = words.at(word)
-                    counts = np.where(here, words.values["n"][place], 0) if len(words.keys) else np.zeros(len(word), np.int64)
-                    lw = np.where(here, words.values["lw"][place], none) if len(words.keys) else np.full(len(word), none)
-                    back = np.where(here, words.values["back"][place], 0.0) if len(words.keys) else np.zeros(len(word))
-                    real = n * (word != MARK)
-                    # Every token but the first is predicted, every token but the last predicts.
-                    score = float((real * lw).sum() + (n * back).sum())
-                    base = float((real * np.log10((counts + 1) / (total + kinds + 1))).sum())
-                    known = int(real[counts > 0].sum())
-                    key = pair_key(t[:-1], t[1:]).view(np.int64)
-                    key, m = np.unique(key, return_counts=True)
-                    got, spot = pairs.at(key)
-                    if got.any():
-                        score += float((m[got] * pairs.values["gain"][spot[got]]).sum())
-                    ask = np.concatenate([word[~here], key[~got]])
-                    times = np.concatenate([n[~here], m[~got]])
-                    is_word = np.arange(len(ask)) < (~here).sum()
-                    slot = ask % BITS
-                    exists = (bitmap[slot // 64] >> (slot % 64)) & 1 == 1
-                    cid = xxh3_64_intdigest(f"{doc} {text}".encode("utf-8", "surrogatepass")) - (1 << 63)
-                    rows.append((cid, doc, held_out(doc), len(t) - 1, known, base, score))
-                    keys.append(ask[exists])
-                    many.append(times[exists])
-                    kind.append(is_word[exists])
-                flat = pa.array(np.repeat(np.arange(len(rows)), [len(k) for k in keys]))
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                local = [pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)]
-                names = ["cid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key", "many", "word", "own"]
+            none = math.log10(unknown)
+            names = ["cid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key", "many", "word", "own"]
+            # A slice's words and pairs are looked up once each, in the order of their keys.
+            for batch in slices(batches, 256):
+                ids, texts = batch.column(0).to_pylist(), [x.as_py() or "" for x in batch.column(1)]
+                each = [tokens(t) for t in texts]
+                sizes = np.array([len(t) for t in each])
+                starts = np.cumsum(sizes) - sizes
+                flat = np.concatenate(each)
+                owner = np.repeat(np.arange(len(each)), sizes)
+                word, at = np.unique(flat.view(np.int64), return_inverse=True)
+                here, place = words.at(word)
+                real = word != MARK
+                counts = words.get("n", here, place, 0)
+                known = (real & (counts > 0))[at]
+                base = np.where(real, np.log10((counts + 1) / (total + kinds + 1)), 0.0)[at]
+                # Every token but the first is predicted, every token but the last predicts.
+                value = (np.where(real, words.get("lw", here, place, none), 0.0) + words.get("back", here, place, 0.0))[at]
+                inside = np.ones(len(flat) - 1, bool)
+                inside[starts[1:] - 1] = False
+                holder = owner[:-1][inside]
+                key, pair_at = np.unique(pair_key(flat[:-1][inside], flat[1:][inside]).view(np.int64), return_inverse=True)
+                got, spot = pairs.at(key)
+                gain = np.bincount(holder, weights=pairs.get("gain", got, spot, 0.0)[pair_at], minlength=len(each))
+                score = np.add.reduceat(value, starts) + gain
+                asks = []
+                for keys, missing, where, whose in ((word, ~here, at, owner), (key, ~got, pair_at, holder)):
+                    slot = keys % BITS
+                    missing &= (bitmap[slot // 64] >> (slot % 64)) & 1 == 1
+                    chosen = missing[where]
+                    asked, times = np.unique(whose[chosen] * len(keys) + where[chosen], return_counts=True)
+                    asks.append((asked // len(keys), keys[asked % len(keys)], times))
+                cid = [xxh3_64_intdigest(f"{d} {t}".encode("utf-8", "surrogatepass")) - (1 << 63) for d, t in zip(ids, texts, strict=True)]
+                n = len(each)
+                local = [pa.array(cid, pa.int64()), pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(sizes - 1, pa.int64())]
+                local += [pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(score)]
                 # The document's own row joins nothing; its key is its own id.
-                yield pa.RecordBatch.from_arrays([*local, local[0], pa.array([1] * len(rows), pa.int32()), pa.array([False] * len(rows)), pa.array([True] * len(rows))], names)
-                size = len(flat)
-                if size:
-                    nulls = [pa.nulls(size, k) for k in kinds_[1:]]
-                    asked = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(many).astype(np.int32)), pa.array(np.concatenate(kind)), pa.array([False] * size)]
-                    yield pa.RecordBatch.from_arrays([local[0].take(flat), *nulls, *asked], names)
+                yield pa.RecordBatch.from_arrays([*local, local[0], pa.array([1] * n, pa.int32()), pa.array([False] * n), pa.array([True] * n)], names)
+                whose, keys, many = (np.concatenate(x) for x in zip(*asks, strict=True))
+                is_word = np.arange(len(keys)) < len(asks[0][0])
+                nulls = [pa.nulls(len(keys), x.type) for x in local[1:]]
+                asked = [pa.array(keys), pa.array(many.astype(np.int32)), pa.array(is_word), pa.array(np.zeros(len(keys), bool))]
+                yield pa.RecordBatch.from_arrays([local[0].take(pa.array(whose)), *nulls, *asked], names)
 
         schema = "cid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, many int, word boolean, own boolean"
         asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
