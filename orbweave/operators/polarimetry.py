@@ -121,14 +121,98 @@ def shannon_entropy(eps: float = 1e-8) -> dict[str, Column]:
     return {"h_intensity": intensity, "h_polarimetric": polar, "h_total": intensity + F.coalesce(polar, F.lit(0.0))}
 
 
-def model_free_three() -> dict[str, Column]:
-    """Surface, double-bounce and volume powers without a scattering model."""
+def _held(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def model_free(helix: bool = False) -> dict[str, Column]:
+    """Surface, double-bounce and volume powers without a scattering model.
+
+    The scattering angle, held to a quarter turn, parts the polarised power; ``helix``
+    first takes out a helix share by the helicity angle. Null where there is no power.
+    """
     span, m = trace(), barakat()
-    t11, rest = F.col("t11"), F.col("t22") + F.col("t33")
-    theta = F.atan((m * span * (t11 - rest)) / (t11 * rest + m * m * span * span))
-    half = m * span * (F.sin(theta * 2) + 1) / 2
-    surface, double = half, m * span - half
-    return {"surface": F.greatest(surface, F.lit(0.0)), "double_bounce": F.greatest(double, F.lit(0.0)), "volume": F.greatest(span * (1 - m), F.lit(0.0)), "theta": F.degrees(theta)}
+    t11, t22, t33 = (F.col(f"t{i}{i}") for i in (1, 2, 3))
+    theta = _held(F.atan2(t22 + t33 - t11, t11 - t22 + t33), -math.pi / 4, math.pi / 4)
+    tau = _held(F.atan2(F.col("t23_im") * 2, t22 - t33) / 2, -math.pi / 4, math.pi / 4)
+    twisted = m * span * (1 - F.cos(tau * 2)) / 2 if helix else F.lit(0.0)
+    rest = m * span - twisted
+    part = rest * (F.sin(theta * 2) + 1) / 2
+    powers = {
+        "surface": F.when(theta > 0, rest - part).otherwise(part),
+        "double_bounce": F.when(theta > 0, part).otherwise(rest - part),
+        "volume": span * (1 - m),
+    } | ({"helix": twisted} if helix else {})
+    out = {k: F.when(span > 0, F.greatest(v, F.lit(0.0))) for k, v in powers.items()}
+    return out | {"theta": F.degrees(theta)} | ({"tau": F.degrees(tau)} if helix else {})
+
+
+def freeman(matrices: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
+    """Three-component powers of covariance matrices ``c11 .. c33``.
+
+    Volume is taken from the cross channel; where nothing of a co-polar channel is left
+    all power is volume. Powers are held to the largest span, one broadcast row.
+    """
+    c11, c22, c33 = (F.col(f"c{i}{i}") for i in (1, 2, 3))
+    volume = c22 * 1.5
+    rows = matrices.withColumns(
+        {"_a": c11 - volume, "_b": c33 - volume, "_re": F.col("c13_re") - volume / 3, "_im": F.col("c13_im"), "_v": volume, "span": c11 + c22 + c33}
+    )
+    a, b, v = F.col("_a"), F.col("_b"), F.col("_v")
+    cross2 = F.col("_re") ** 2 + F.col("_im") ** 2
+    scale = F.when((cross2 > a * b) & (cross2 > eps), F.sqrt(F.greatest(a * b, F.lit(0.0)) / cross2)).otherwise(1.0)
+    rows = rows.withColumn("_k", scale).withColumns({"_re": F.col("_re") * F.col("_k"), "_im": F.col("_im") * F.col("_k")})
+    re, im = F.col("_re"), F.col("_im")
+    only = (a <= eps) | (b <= eps)
+    odd = re >= 0
+    # The weaker mechanism first, then the stronger one and its ratio.
+    weak = (a * b - re * re - im * im) / F.greatest(a + b + F.abs(re) * 2, F.lit(eps))
+    strong = b - weak
+    ratio = F.sqrt((weak + F.abs(re)) ** 2 + im * im) / F.greatest(strong, F.lit(eps))
+    high, low = strong * (ratio * ratio + 1), weak * 2
+    surface = F.when(only, 0.0).when(odd, high).otherwise(low)
+    double = F.when(only, 0.0).when(odd, low).otherwise(high)
+    whole = F.when(only, (c11 + c22 + c33 + v * 2) * 3 / 8).otherwise(v) * (8 / 3)
+    top = F.broadcast(matrices.agg(F.max(c11 + c22 + c33).alias("_top")))
+    held = {k: F.least(F.greatest(x, F.lit(0.0)), F.col("_top")) for k, x in {"surface": surface, "double_bounce": double, "volume": whole}.items()}
+    out = rows.join(top).select(*keys, *[x.alias(k) for k, x in held.items()], "span")
+    some = (F.col("surface") != 0) | (F.col("double_bounce") != 0) | (F.col("volume") != 0)
+    return out.select(*keys, *[F.when(some, F.col(k)).alias(k) for k in held], "span")
+
+
+def neumann(eps: float = 2.220446049250313e-16) -> dict[str, Column]:
+    """Orientation, particle anisotropy's size and phase, and orientation randomness."""
+    t11, t22, t33 = (F.col(f"t{i}{i}") for i in (1, 2, 3))
+    raw = (F.atan2(F.col("t23_re") * -2, t33 - t22) + math.pi) / 4
+    phi = F.when(raw > math.pi / 4, raw - math.pi / 2).otherwise(raw)
+    c2, s2, s4 = F.cos(phi * 2), F.sin(phi * 2), F.sin(phi * 4)
+    re, im = F.col("t12_re") * c2 - F.col("t13_re") * s2, F.col("t12_im") * c2 - F.col("t13_im") * s2
+    # Both turned powers lose the same cross term; the sum is not the trace's share.
+    turned = t22 + t33 - F.col("t23_re") * s4 * 2
+    size = F.sqrt(F.greatest(turned / (t11 + eps), F.lit(0.0)))
+    tau = 1 - F.sqrt(re * re + im * im) / (t11 + eps) / (size + eps)
+    return {"psi": F.degrees(phi), "delta_mod": size, "delta_pha": F.degrees(F.atan2(im, re + eps)), "tau": _held(tau, 0.0, 1.0)}
+
+
+def praks(eps: float = 1e-12) -> dict[str, Column]:
+    """Parameters of the span-normalised covariance matrix by its Frobenius norm."""
+    span = F.greatest(trace("c"), F.lit(eps))
+    names = ("12", "13", "23")
+    off = sum((F.col(f"c{n}_re") ** 2 + F.col(f"c{n}_im") ** 2 for n in names), F.lit(0.0))
+    norm = (sum((F.col(f"c{i}{i}") ** 2 for i in (1, 2, 3)), F.lit(0.0)) + off * 2) / (span * span)
+    purity = F.sqrt(F.greatest(norm - 0.25, F.lit(0.0))) * 2
+    d = [F.col(f"c{i}{i}") / span + 0.16 for i in (1, 2, 3)]
+    a, b, c = (Complex(F.col(f"c{n}_re") / span, F.col(f"c{n}_im") / span) for n in names)
+    det = d[0] * d[1] * d[2] + (a * c * b.conj()).re * 2 - d[0] * c.power() - d[1] * b.power() - d[2] * a.power()
+    return {
+        "frobenius_norm": norm,
+        "predominance": F.sqrt(norm),
+        "diversity": (1 - norm) * 1.5,
+        "purity": purity,
+        "depolarization": 1 - purity / math.sqrt(3),
+        "alpha": F.degrees(F.acos(_held(F.col("c11") / span, -1.0, 1.0))),
+        "entropy": F.log(F.abs(det) + eps) * (0.78 / math.log(3)) + 2.52,
+    }
 
 
 def dual_entropy_alpha(c11: Column, c22: Column, re: Column, im: Column) -> dict[str, Column]:

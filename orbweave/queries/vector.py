@@ -269,7 +269,29 @@ def pol_shannon(spark, sf):
 
 
 def pol_mf3(spark, sf):
-    return coherency(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.model_free_three().items()])
+    return coherency(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.model_free().items()])
+
+
+def pol_mf4(spark, sf):
+    return coherency(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.model_free(helix=True).items()])
+
+
+def pol_neumann(spark, sf):
+    return coherency(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.neumann().items()])
+
+
+def covariances(spark, sf):
+    c = channels(spark, sf).select(*P.covariance(KEYS)).withColumn("block", F.floor(F.col("row") / 8)).drop("row")
+    return P.averaged(c, ["block", "col"])
+
+
+def pol_freeman(spark, sf):
+    out = P.freeman(covariances(spark, sf), ["block", "col"])
+    return rounded(out, ["block", "col"], ["surface", "double_bounce", "volume", "span"])
+
+
+def pol_praks(spark, sf):
+    return covariances(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.praks().items()])
 
 
 def pol_dual_halpha(spark, sf):
@@ -328,6 +350,10 @@ COH = f"{PAULI}, t AS (SELECT row // 8 AS block, col, " + ", ".join(f"avg({e}) A
 DET = "(t11 * t22 * t33 + 2 * ((t12_re * t23_re - t12_im * t23_im) * t13_re + (t12_re * t23_im + t12_im * t23_re) * t13_im) - t11 * (t23_re * t23_re + t23_im * t23_im) - t22 * (t13_re * t13_re + t13_im * t13_im) - t33 * (t12_re * t12_re + t12_im * t12_im))"
 TRACE = "(t11 + t22 + t33)"
 DOP = f"least(sqrt(greatest(1 - 27 * {DET} / pow({TRACE}, 3), 0)), 1)"
+MF = "m AS (SELECT *, s * 0 + least(greatest(atan2(t22 + t33 - t11, t11 - t22 + t33), -pi() / 4), pi() / 4) AS th, least(greatest(atan2(2 * t23_im, t22 - t33) / 2, -pi() / 4), pi() / 4) AS tau FROM (SELECT *, TRACE AS s, DOP AS m FROM t))".replace("TRACE", TRACE).replace("DOP", DOP)
+MFP = "q AS (SELECT *, {pc} AS pc FROM m), pp AS (SELECT *, m * s - pc AS rest, (m * s - pc) * (1 + sin(2 * th)) / 2 AS part FROM q)"
+MFO = "round(greatest(CASE WHEN th > 0 THEN rest - part ELSE part END, 0), 6) + 0.0 AS surface, round(greatest(CASE WHEN th > 0 THEN part ELSE rest - part END, 0), 6) + 0.0 AS double_bounce, round(greatest(s * (1 - m), 0), 6) + 0.0 AS volume, round(degrees(th), 6) + 0.0 AS theta"
+COV = "k AS (SELECT row, col, hh_re AS a_re, hh_im AS a_im, (hv_re + vh_re) / sqrt(2::DOUBLE) AS b_re, (hv_im + vh_im) / sqrt(2::DOUBLE) AS b_im, vv_re AS c_re, vv_im AS c_im FROM ch), c AS (SELECT row // 8 AS block, col, " + ", ".join(f"avg({e}) AS {n}" for n, e in triangle("c", ["a", "b", "c"])) + " FROM k GROUP BY ALL)"
 HAV_RING = " + ".join(
     f"CASE WHEN ({a[1]} > lat) <> ({b[1]} > lat) AND lon < ({b[0]} - {a[0]}) * (lat - {a[1]}) / ({b[1]} - {a[1]})::DOUBLE + {a[0]} THEN 1 ELSE 0 END"
     for a, b in zip(RING, RING[1:] + RING[:1], strict=True)
@@ -384,7 +410,11 @@ ORACLES = {
     "pol_stokes_dop": oracle("WITH s AS (SELECT row, avg(hh_re * hh_re + hh_im * hh_im + hv_re * hv_re + hv_im * hv_im) AS a, avg(hh_re * hh_re + hh_im * hh_im - hv_re * hv_re - hv_im * hv_im) AS b, avg(2 * (hh_re * hv_re + hh_im * hv_im)) AS c, avg(-2 * (hh_im * hv_re - hh_re * hv_im)) AS d FROM ch GROUP BY row) SELECT row, round(least(sqrt(b * b + c * c + d * d) / a, 1), 6) AS dop FROM s", **CP),
     "pol_dop": oracle(f"WITH {COH} SELECT block, col, round({DOP}, 6) AS dop FROM t", **CP),
     "pol_shannon": oracle(f"WITH {COH}, s AS (SELECT block, col, 3 * ln(exp(1) * pi() * {TRACE} / 3) AS i, ln(27 * {DET} / (pow({TRACE}, 3) + 1e-8)) AS p FROM t) SELECT block, col, round(i, 6) + 0.0 AS h_intensity, round(p, 6) + 0.0 AS h_polarimetric, round(i + p, 6) + 0.0 AS h_total FROM s", **CP),
-    "pol_mf3": oracle(f"WITH {COH}, k AS (SELECT *, {TRACE} AS s, {DOP} AS m FROM t), th AS (SELECT *, atan(m * s * (t11 - t22 - t33) / (t11 * (t22 + t33) + m * m * s * s)) AS th FROM k) SELECT block, col, round(greatest(m * s * (1 + sin(2 * th)) / 2, 0), 6) + 0.0 AS surface, round(greatest(m * s - m * s * (1 + sin(2 * th)) / 2, 0), 6) + 0.0 AS double_bounce, round(greatest(s * (1 - m), 0), 6) + 0.0 AS volume, round(degrees(th), 6) + 0.0 AS theta FROM th", **CP),
+    "pol_mf3": oracle(f"WITH {COH}, {MF}, {MFP.format(pc='0')} SELECT block, col, {MFO} FROM pp", **CP),
+    "pol_mf4": oracle(f"WITH {COH}, {MF}, {MFP.format(pc='m * s * (1 - cos(2 * tau)) / 2')} SELECT block, col, {MFO}, round(greatest(pc, 0), 6) + 0.0 AS helix, round(degrees(tau), 6) + 0.0 AS tau FROM pp", **CP),
+    "pol_neumann": oracle(f"WITH {COH}, a AS (SELECT *, (pi() + atan2(-2 * t23_re, t33 - t22)) / 4 AS raw FROM t), b AS (SELECT *, CASE WHEN raw > pi() / 4 THEN raw - pi() / 2 ELSE raw END AS f FROM a), c AS (SELECT *, t12_re * cos(2 * f) - t13_re * sin(2 * f) AS re, t12_im * cos(2 * f) - t13_im * sin(2 * f) AS im, sqrt(greatest((t22 + t33 - 2 * t23_re * sin(4 * f)) / t11, 0)) AS size FROM b) SELECT block, col, round(degrees(f), 6) + 0.0 AS psi, round(size, 6) + 0.0 AS delta_mod, round(degrees(atan2(im, re)), 6) + 0.0 AS delta_pha, round(least(greatest(1 - sqrt(re * re + im * im) / t11 / size, 0), 1), 6) + 0.0 AS tau FROM c", **CP),
+    "pol_freeman": oracle(f"WITH {COV}, a AS (SELECT *, c11 - 1.5 * c22 AS a, c33 - 1.5 * c22 AS b, c13_re - 0.5 * c22 AS r0, c13_im AS i0, 1.5 * c22 AS fv, c11 + c22 + c33 AS span FROM c), kk AS (SELECT *, CASE WHEN r0 * r0 + i0 * i0 > a * b AND r0 * r0 + i0 * i0 > 1e-10 THEN sqrt(greatest(a * b, 0) / (r0 * r0 + i0 * i0)) ELSE 1 END AS k, max(span) OVER () AS top FROM a), s AS (SELECT *, r0 * k AS re, i0 * k AS im, a <= 1e-10 OR b <= 1e-10 AS vol FROM kk), o AS (SELECT *, CASE WHEN re >= 0 THEN (a * b - re * re - im * im) / greatest(a + b + 2 * re, 1e-10) ELSE (a * b - re * re - im * im) / greatest(a + b - 2 * re, 1e-10) END AS weak FROM s), q AS (SELECT *, b - weak AS strong, sqrt(pow(CASE WHEN re >= 0 THEN weak + re ELSE weak - re END, 2) + im * im) / greatest(b - weak, 1e-10) AS ratio FROM o), p AS (SELECT *, CASE WHEN vol THEN 0 WHEN re >= 0 THEN strong * (1 + ratio * ratio) ELSE 2 * weak END AS ps, CASE WHEN vol THEN 0 WHEN re >= 0 THEN 2 * weak ELSE strong * (1 + ratio * ratio) END AS pd, 8 / 3.0::DOUBLE * CASE WHEN vol THEN 3 * (span + 2 * fv) / 8 ELSE fv END AS pv FROM q) SELECT block, col, round(least(greatest(ps, 0), top), 6) + 0.0 AS surface, round(least(greatest(pd, 0), top), 6) + 0.0 AS double_bounce, round(least(greatest(pv, 0), top), 6) + 0.0 AS volume, round(span, 6) AS span FROM p", **CP),
+    "pol_praks": oracle(f"WITH {COV}, a AS (SELECT *, c11 + c22 + c33 AS s FROM c), n AS (SELECT *, (c11 * c11 + c22 * c22 + c33 * c33 + 2 * (c12_re * c12_re + c12_im * c12_im + c13_re * c13_re + c13_im * c13_im + c23_re * c23_re + c23_im * c23_im)) / (s * s) AS f, c11 / s + 0.16::DOUBLE AS d1, c22 / s + 0.16::DOUBLE AS d2, c33 / s + 0.16::DOUBLE AS d3 FROM a), d AS (SELECT *, d1 * d2 * d3 + 2 * ((c12_re * c23_re - c12_im * c23_im) * c13_re + (c12_re * c23_im + c12_im * c23_re) * c13_im) / pow(s, 3) - d1 * (c23_re * c23_re + c23_im * c23_im) / (s * s) - d2 * (c13_re * c13_re + c13_im * c13_im) / (s * s) - d3 * (c12_re * c12_re + c12_im * c12_im) / (s * s) AS det FROM n) SELECT block, col, round(f, 6) AS frobenius_norm, round(sqrt(f), 6) AS predominance, round(1.5 * (1 - f), 6) + 0.0 AS diversity, round(2 * sqrt(greatest(f - 0.25, 0)), 6) AS purity, round(1 - 2 * sqrt(greatest(f - 0.25, 0)) / sqrt(3), 6) + 0.0 AS depolarization, round(degrees(acos(least(c11 / s, 1))), 6) AS alpha, round(2.52 + 0.78 * ln(abs(det) + 1e-12) / ln(3), 6) + 0.0 AS entropy FROM d", **CP),
     "pol_dual_halpha": oracle(f"WITH {DUAL} SELECT block, col, round(least(-p1 * log2(p1) - CASE WHEN p2 > 0 THEN p2 * log2(p2) ELSE 0 END, 1), 6) AS entropy, round(degrees(p1 * {ALPHA(1)} + p2 * {ALPHA(2)}), 6) AS alpha, round(least(disc / (l1 + l2), 1), 6) AS anisotropy, round(l1 + l2, 6) AS span FROM g", **CP),
     "complex_power": oracle("SELECT row, col, round(hv_re * hv_re + hv_im * hv_im, 6) AS power, round(sqrt(hv_re * hv_re + hv_im * hv_im), 6) AS magnitude FROM ch", **CP),
     "pol_mode": oracle("SELECT sensor, CASE WHEN count(DISTINCT seq % 2) = 2 THEN 'dual' ELSE 'single' END AS mode FROM scans GROUP BY sensor", **SC),
