@@ -83,7 +83,9 @@ def kept_documents(docs: DataFrame, workspace: Workspace | None = None) -> DataF
 
     Rows that repeat both id and text tie, so they all stay.
     """
-    gone = exact_dedup(docs, workspace=workspace).where("not kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumn("_own_id", F.col("doc_id")).withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    out = keyed.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti")
-    return out.drop("_own_id", "_own")
+    gone = exact_dedup(docs, workspace=workspace).where("not kept").select(F.col("id").alias("gone"), "digest").distinct()
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    # Whole rows travel in a struct, so no name of theirs can clash.
+    rows = docs.select(F.col("doc_id").alias("own"), digest.alias("own_digest"), F.struct("*").alias("row"))
+    out = rows.join(gone, F.col("own").eqNullSafe(F.col("gone")) & (F.col("own_digest") == F.col("digest")), "left_anti")
+    return out.select("row.*")

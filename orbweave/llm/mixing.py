@@ -163,7 +163,8 @@ def pareto_mix(
     a document's inclusion odds within its source.
     """
     ws = workspace or Workspace(docs.sparkSession)
-    ranked = _ranked(docs, id_col, source_col, word_count(F.col(text_col)), tilt)
+    used = docs if tilt is not None else docs.select(id_col, text_col, source_col)
+    ranked = _ranked(used, id_col, source_col, word_count(F.col(text_col)), tilt)
     rows = ws.save(ranked.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "_key", "_id", "_size", "_u", "_tilt"), "sizes")
     out = copies_taken(rows, mix_plan(rows, weights, budget, max_epochs, ws))
     return out.select(
@@ -182,8 +183,10 @@ def mixed_documents(docs: DataFrame, workspace: Workspace | None = None) -> Data
     ws = workspace or Workspace(docs.sparkSession)
     sizes = ws.save(_ranked(docs, "doc_id", "source", word_count(F.col("text")), None).select("_key", "_id", "_size", "_u", "_tilt"), "sizes")
     plan = mix_plan(sizes, (5, 2, 1), 1.5, 2.0, ws)
-    out = copies_taken(_ranked(docs, "doc_id", "source", F.lit(0), None), plan).where("_copies > 0")
-    return out.withColumn("_n", F.explode(F.expr("sequence(1, int(_copies))"))).select(docs.columns)
+    # Whole rows travel in a struct, so no name of theirs can clash.
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    out = copies_taken(_ranked(rows, "doc_id", "source", F.lit(0), None), plan).where("_copies > 0")
+    return out.select("row", F.explode(F.expr("sequence(1, int(_copies))"))).select("row.*")
 
 
 ORACLE = r"""

@@ -301,5 +301,7 @@ def one_of_each_group(docs: DataFrame, workspace: Workspace | None = None) -> Da
 
     Five-word shingles and a similarity of 0.8; rows with a null id stay.
     """
-    found = jaccard_components(docs, workspace=workspace).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.withColumn("_key", F.col("doc_id")).join(found, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    found = jaccard_components(docs, workspace=workspace).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    # Whole rows travel in a struct, so no name of theirs can clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.struct("*").alias("row"))
+    return rows.join(found, F.col("own") == F.col("gone"), "left_anti").select("row.*")

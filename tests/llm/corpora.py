@@ -57,7 +57,7 @@ def clashing(df):
     """The same rows with extra columns named as the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["id", "digest", "key", "size", "token", "node", "component", "doc", "_id", "_key", "bin", "rank", "group", "a", "b", "score"]
+    names = ["id", "digest", "key", "size", "token", "node", "component", "doc", "_id", "_key", "bin", "rank", "group", "a", "b", "score", "row", "own", "gone", "_copies", "_size", "source_size"]
     return df.withColumns({n: F.lit(n) for n in names})
 
 

@@ -57,6 +57,9 @@ def test_exact_dedup_on_awkward_rows(spark, docs):
         keep = max((m for m in members if m is not None), default=None)
         assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(members), r["id"] == keep)
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+    kept = exact_dedup.kept_documents(clashing(docs))
+    assert kept.columns == clashing(docs).columns and kept.where("own <> 'own' or row <> 'row'").count() == 0
+    assert kept.count() == sum(r["kept"] for r in got)
 
 
 def test_exact_dedup_splits_heavy_hitters(spark):
@@ -94,8 +97,8 @@ def test_jaccard_on_awkward_rows(spark, docs):
         else:
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
     assert ngram_jaccard.jaccard_components(empty(spark)).count() == 0
-    kept = ngram_jaccard.one_of_each_group(docs)
-    assert kept.columns == docs.columns
+    kept = ngram_jaccard.one_of_each_group(clashing(docs))
+    assert kept.columns == clashing(docs).columns and kept.where("own <> 'own' or gone <> 'gone'").count() == 0
     assert {7, None} <= {r["doc_id"] for r in kept.collect()} and 8 not in {r["doc_id"] for r in kept.collect()}
 
 
@@ -360,6 +363,9 @@ def test_mix_on_awkward_rows(spark, docs):
     assert len(got) == docs.count()
     assert {r["id"]: r["size"] for r in got} == {i: len(words(t)) for i, t, *_ in awkward()}
     assert mixing.pareto_mix(empty(spark)).count() == 0
+    mixed = mixing.mixed_documents(clashing(docs))
+    assert mixed.columns == clashing(docs).columns and mixed.where("_key <> '_key' or row <> 'row'").count() == 0
+    assert mixed.count() == sum(r["copies"] for r in got)
     tilted = mixing.pareto_mix(docs, tilt=F.lit(2.0)).agg(F.sum("taken")).first()[0]
     assert tilted > 0
     wordless = mixing.pareto_mix(frame(spark, [(1, None, None, None, 0), (2, " ", None, "x", 0)])).collect()
