@@ -70,6 +70,29 @@ def resample(samples: DataFrame, wanted: DataFrame, half: int, weight: Callable[
     return placed.select("key", "id").join(sums, ["key", "id"], "left").select("key", "id", value.alias("value"))
 
 
+def lagrange_weight(half: int) -> Callable[[Column], Column]:
+    """Weight of a tap in the polynomial through ``2 * half`` even taps.
+
+    With the tap at distance ``d`` the position's fraction is ``d`` modulo 1; every other
+    tap contributes one factor.
+    """
+
+    def weight(d: Column) -> Column:
+        place = F.floor(d)
+        fraction = d - place
+        out = F.lit(0.0)
+        # The tap lies ``place`` samples before the position: at offset -place of the window.
+        for k in range(-half + 1, half + 1):
+            term = F.lit(1.0)
+            for j in range(-half + 1, half + 1):
+                if j != k:
+                    term = term * (fraction - j) / float(k - j)
+            out = F.when(place == -k, term).otherwise(out)
+        return out
+
+    return weight
+
+
 def dominance(looks: DataFrame, width: int) -> DataFrame:
     """``key, dominance, entropy`` of ``looks(key, look, power)``.
 

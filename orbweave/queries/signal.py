@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import raster as R
 from orbweave.operators import signal as S
 from orbweave.queries.common import r6
+from orbweave.queries.raster import CUT, LM, around
 from orbweave.queries.vector import coherency
 from orbweave.sources import probe
 from orbweave.sources.views import CPIXELS, PIXELS, SERIES, load, oracle
@@ -47,6 +48,31 @@ def interp_lanczos(spark, sf):
     return S.resample(series(spark, sf), _wanted(spark, sf), 3, S.lanczos_weight(3)).select("key", "id", r6("value", 4).alias("value"))
 
 
+def interp_lagrange(spark, sf):
+    return S.resample(series(spark, sf), _wanted(spark, sf), 2, S.lagrange_weight(2)).select("key", "id", r6("value", 4).alias("value"))
+
+
+def xyzpoly(spark, sf):
+    p = load(spark, sf, PIXELS)
+    three = {"x": [1.0, 0.5], "y": [0.25, -1.0, 2.0], "z": [0.0, 0.0, 1.0]}
+    return p.select("image_id", "row", "col", *[r6(S.polynomial(F.array(*map(F.lit, c)), F.col("value"))).alias(k) for k, c in three.items()])
+
+
+def cued_detect(spark, sf):
+    """Detection inside a disc: thresholds see the whole image, hits only the disc."""
+    hits = R.cell_averaging(load(spark, sf, PIXELS), 1, 2, 0.05)
+    inside = (F.col("row") - 32) ** 2 + (F.col("col") - 32) ** 2 <= 400
+    return hits.where(F.col("hit") & inside).select("image_id", "row", "col", r6("threshold", 4).alias("threshold"))
+
+
+def filter_lee_complex(spark, sf):
+    """Amplitude filtered, phase kept."""
+    c = load(spark, sf, CPIXELS).select(F.floor(F.col("row") / 64).alias("image_id"), (F.col("row") % 64).cast("int").alias("row"), "col", F.col("vv_re").alias("re"), F.col("vv_im").alias("im"))
+    out = R.lee_filter(c.withColumn("value", F.hypot("re", "im")), 1, 4.0)
+    gain = F.col("value") / F.hypot("re", "im")
+    return out.select("image_id", "row", "col", r6(F.col("re") * gain).alias("re"), r6(F.col("im") * gain).alias("im"))
+
+
 def sar_dominance(spark, sf):
     looks = load(spark, sf, PIXELS).select((F.col("image_id") * 64 + F.col("row")).alias("key"), F.col("col").alias("look"), (F.col("value") * F.col("value")).alias("power")).where("look < 7")
     out = S.dominance(looks, 3)
@@ -132,11 +158,21 @@ def weights(half, weight):
     return oracle(f"WITH {PLACE}, g AS (SELECT p.key, p.id, sum(({weight}) * r.value) AS s, sum({weight}) AS w FROM p LEFT JOIN r ON r.key = p.key AND r.k > floor(p.p) - {half} AND r.k <= floor(p.p) + {half} GROUP BY ALL) SELECT key, id, round(CASE WHEN w <> 0 THEN s / w ELSE 0 END, 4) + 0.0 AS value FROM g", **SE)
 
 
+FR = "(p.p - floor(p.p))"
+LAGRANGE = "CASE r.k - floor(p.p) " + " ".join(
+    f"WHEN {k} THEN " + " * ".join(f"({FR} - ({j})) / ({k - j})::DOUBLE" for j in range(-1, 3) if j != k) for k in range(-1, 3)
+) + " ELSE 0 END"
+NARROW = around(1, "ap").replace("FROM px GROUP BY", "FROM ap GROUP BY").replace("64 AS cols", "8 AS cols")
+
 ORACLES = {
     "poly1d": oracle("SELECT image_id, row, col, round(0.5 + value * (-1.25::DOUBLE + value * (0.75::DOUBLE + value * 0.1::DOUBLE)), 6) + 0.0 AS poly, round(-1.25::DOUBLE + value * (1.5::DOUBLE + value * 0.3::DOUBLE), 6) + 0.0 AS slope FROM px", **PX),
     "poly2d": oracle("SELECT image_id, row, col, round(1 + 0.5::DOUBLE * (col / 10.0::DOUBLE) + value * (-0.25::DOUBLE + 2 * (col / 10.0::DOUBLE)), 6) + 0.0 AS value FROM px", **PX),
     "interp_linear": weights(1, f"greatest(1 - abs({DD}), 0)"),
     "interp_lanczos": weights(3, f"CASE WHEN abs({DD}) < 3 THEN ({SINC.format(d=DD)}) * ({SINC.format(d=f'({DD} / 3)')}) ELSE 0 END"),
+    "interp_lagrange": weights(2, LAGRANGE),
+    "xyzpoly": oracle("SELECT image_id, row, col, round(1 + 0.5::DOUBLE * value, 6) + 0.0 AS x, round(0.25 - value + 2 * value * value, 6) + 0.0 AS y, round(value * value, 6) + 0.0 AS z FROM px", **PX),
+    "cued_detect": oracle(f"WITH {around(2)}, s AS (SELECT image_id, row, col, x, avg(v) + 1.6448536269514722::DOUBLE * stddev_pop(v) AS t FROM n WHERE abs(dr) > 1 OR abs(dc) > 1 GROUP BY ALL) SELECT image_id, row, col, round(t, 4) + 0.0 AS threshold FROM s WHERE x > t AND (row - 32) * (row - 32) + (col - 32) * (col - 32) <= 400", **PX),
+    "filter_lee_complex": oracle(f"WITH ap AS (SELECT row // 64 AS image_id, (row % 64)::INT AS row, col, sqrt(vv_re * vv_re + vv_im * vv_im) AS value, vv_re AS re, vv_im AS im FROM ch), {NARROW}, {LM}, f AS (SELECT image_id, row, col, x, mean + CASE WHEN var > 0 THEN {CUT.format(x='1 - 0.25 / (var / (mean * mean))')} ELSE 0 END * (x - mean) AS v FROM m) SELECT f.image_id, f.row, f.col, round(re * v / x, 6) + 0.0 AS re, round(im * v / x, 6) + 0.0 AS im FROM f JOIN ap USING (image_id, row, col)", **CP),
     "sar_dominance": oracle("WITH l AS (SELECT image_id * 64 + row AS key, col AS look, value * value AS power FROM px WHERE col < 7), k AS (SELECT *, sum(power) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s, sum(power) OVER (PARTITION BY key) AS t FROM l) SELECT key, round(max(CASE WHEN look <= 4 THEN s / t END), 6) AS dominance, round(-sum(CASE WHEN power > 0 THEN power / t * ln(power / t) ELSE 0 END), 6) AS entropy FROM k GROUP BY key", **PX),
     "sar_doppler_centroid": oracle("WITH k AS (SELECT row AS key, hh_re AS re, hh_im AS im, lag(hh_re) OVER w AS pr, lag(hh_im) OVER w AS pi FROM ch WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT key, round(atan2(sum(im * pr - re * pi), sum(re * pr + im * pi)) / (2 * pi() * 0.001::DOUBLE), 4) + 0.0 AS hz FROM k WHERE pr IS NOT NULL GROUP BY key", **CP),
     "sniff": "SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 64)), '^\\s*<(!doctype|html)') THEN 'HTML' WHEN regexp_matches(substr(html, 1, 64), '^\\s*<') THEN 'XML' ELSE 'unknown' END AS format FROM pages",
