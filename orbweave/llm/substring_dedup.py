@@ -95,7 +95,7 @@ def occurrences(texts: list[str], phrases: set[str]) -> list[np.ndarray]:
 
 
 def repeated_windows(candidates: DataFrame, window: int, phrase: int) -> DataFrame:
-    """``(hash, doc, at)`` of every window around a located recurring phrase."""
+    """``(hash, doc)`` of every window around a located recurring phrase, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -111,37 +111,36 @@ def repeated_windows(candidates: DataFrame, window: int, phrase: int) -> DataFra
                 phrases.update(" ".join(["", *parts[k : k + phrase], ""]) for k in first[np.isin(runs[first], wanted)])
                 texts.append(whole)
                 sets.append((hashes, runs))
-            ids, keys, places = [], [], []
+            ids, keys = [], []
             for doc, (hashes, runs), found in zip(docs, sets, occurrences(texts, phrases), strict=True):
                 least = window_anchors(runs.view(np.uint64), window - phrase + 1).view(np.int64)
-                at = np.flatnonzero(np.isin(least, runs[found]))
-                keys.append(grams(hashes, window).view(np.int64)[at])
-                ids.append(np.full(len(at), doc, np.int64))
-                places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], ["hash", "doc", "at"])
+                keys.append(np.unique(grams(hashes, window).view(np.int64)[np.isin(least, runs[found])]))
+                ids.append(np.full(len(keys[-1]), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], ["hash", "doc"])
 
-    return candidates.select("doc", "text", "anchors").mapInArrow(run, "hash long, doc long, at int")
+    return candidates.select("doc", "text", "anchors").mapInArrow(run, "hash long, doc long")
 
 
 def without_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """``doc, n_removed, kept_sha256, kept_text`` of ``candidates(doc, text, places)``."""
+    """``doc, n_removed, kept_sha256, kept_text`` of ``candidates(doc, text, gone)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc, text, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc, text, gone in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words = split_words(text.as_py())
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(places.as_py(), dtype=np.int64))
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                held = grams(hash_words(words), window).view(np.int64)
+                at = np.flatnonzero(np.isin(held, gone.values.to_numpy()))
+                edge[at] += 1
+                edge[at + window] -= 1
                 kept = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
                 rows.append((doc.as_py(), len(words) - len(kept), sha(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "n_removed", "kept_sha256", "kept_text"])
 
-    return candidates.select("doc", "text", "places").mapInArrow(run, "doc long, n_removed long, kept_sha256 string, kept_text string")
+    return candidates.select("doc", "text", "gone").mapInArrow(run, "doc long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, workspace: Workspace | None = None) -> DataFrame:
@@ -163,8 +162,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     windows = ws.save(repeated_windows(candidates, window, phrase), "windows")
     first = windows.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("end")).where("first < end").select("hash", "first")
     gone = windows.join(first, "hash").where(F.col("doc") > F.col("first"))
-    places = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    cut = without_windows(candidates.select("doc", "text").join(places, "doc"), window)
+    lost = gone.groupBy("doc").agg(F.collect_list("hash").alias("gone"))
+    cut = without_windows(candidates.select("doc", "text").join(lost, "doc"), window)
     cut = ws.save(cut.groupBy("doc").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")]), "cut")
 
     by_class = rows.drop("anchors").join(marks.withColumnRenamed("doc", "first"), ["f1", "f2"], "left")
