@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from orbweave.llm.words import M1, hash_words, list_array, mix, slices, split_words
+from orbweave.llm.words import M1, hash_words, list_array, mix, release, slices, split_words
 from orbweave.plans.workspace import Workspace
 
 CUT = 5
@@ -196,6 +196,8 @@ class Head:
         by = np.argsort(keys)
         self.keys = keys[by]
         self.values = {c: rows.column(c).to_numpy()[by] for c in columns}
+        del rows, keys
+        release()
 
     def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is here, and its place (0 where it is not)."""
@@ -266,6 +268,7 @@ class KatzModel:
         counted = Head(words, "word", ["n"])
         hot = counted.keys[counted.values["n"] > self.total * HOT].view(np.uint64)
         pairs = ws.save(pair_counts(docs, parts, hot, counted), "pairs")
+        del counted
         rest = pairs.where("n_first is null or n_second is null")
         f, s = words.select(F.col("word").alias("first"), F.col("n").alias("n_first")), words.select(F.col("word").alias("second"), F.col("n").alias("n_second"))
         filled = rest.drop("n_first", "n_second").join(f, "first").join(s, "second").select(pairs.columns)

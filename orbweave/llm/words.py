@@ -66,18 +66,23 @@ def list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64, copy=False)))
 
 
+def release() -> None:
+    """Give memory that the allocators keep back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in small parts, so that what a worker derives from them stays small.
 
-    When the task ends, memory that the allocators keep goes back to the system: Python
-    workers outlive their tasks and share the executor's memory with the JVM.
+    Python workers outlive their tasks and share the executor's memory with the JVM, so
+    what is free goes back when the task ends.
     """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
         del batch
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # only glibc has it
-        pass
+    release()
