@@ -11,7 +11,8 @@
    which tokens are forgotten never changes the result.
 3. Every class chooses a pivot, the smallest id of the blocks it shares most tokens
    with. The classes that these choices connect are similar; cut by a hash into chunks
-   of about ``GROUP_TOKENS`` shingles they are the groups. A group's token union, with
+   of about ``GROUP_TOKENS`` shingles they are the groups; a class that shares a block
+   but is connected to none is a group of its own. A group's token union, with
    the members that hold each token, is built once in one task; a member whose overlap
    with the rest of the union cannot reach the threshold is passed over, the others are
    verified, and links within the group give first components.
@@ -217,10 +218,11 @@ def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n:
     memberships; every two classes with a token in common are told linked or not, except
     where earlier links already join their components.
     """
-    heads = blocks.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = ws.save(blocks.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     votes = blocks.join(heads, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
     stars = ws.save(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")), "stars")
-    involved = stars.select("doc").union(stars.select(F.col("pivot").alias("doc"))).distinct()
+    # Of a block's classes all but the pivot vote. A pivot that no one chooses counts too.
+    involved = stars.select("doc").union(heads.select(F.col("pivot").alias("doc"))).distinct()
     family = connected_components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
     family = family.select(F.col("node").alias("doc"), "component")
     wanted = involved.join(classes.select("doc", "f1", "f2", F.col("n_shingles").alias("size")), "doc").join(family, "doc", "left").withColumn("family", F.coalesce("component", "doc"))

@@ -85,6 +85,46 @@ def test_jaccard_components_equal_brute_force(spark, n, num, den):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def short_chains(seed: int, chains: int = 60) -> list[tuple]:
+    """Short documents, each a step from the one before: few shared tokens decide."""
+    rng = np.random.default_rng(seed)
+    rows, say = [], lambda k: [f"v{x}" for x in rng.integers(0, 400, k)]
+    for _ in range(chains):
+        w = say(rng.integers(10, 26))
+        for _ in range(rng.integers(2, 6)):
+            rows.append(" ".join(w))
+            step = rng.integers(0, 4)
+            k = int(rng.integers(1, 4)) if step > 1 else 1
+            w = [*w, *say(k)] if step == 0 else w[:-k] if step == 1 else [*w[k:], *say(k)] if step == 2 else [*say(k), *w[:-k]]
+    ids = rng.permutation(len(rows))
+    return [(int(i) + 1, t, "en", "s", len(t)) for i, t in zip(ids, rows, strict=True)]
+
+
+def test_jaccard_links_a_class_that_neither_votes_nor_is_chosen(spark):
+    # 1 and 3 are linked by the one block {1, 3}; 3 shares two blocks with 2 and votes for that.
+    texts = {
+        1: "tiger birch quilt wheat lemon ocean quilt fjord drift lemon ocean",
+        2: "quilt wheat lemon ocean quilt fjord drift lemon ocean fjord birch drift",
+        3: "tiger birch quilt wheat lemon ocean quilt fjord drift lemon ocean fjord",
+    }
+    for ids in ({1: 1, 2: 2, 3: 3}, {1: 2, 2: 1, 3: 3}):
+        rows = [(ids[i], t, "en", "s", len(t)) for i, t in texts.items()]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows), 3, 90, 100).collect()}
+        want = components(shingle_sets(rows, 3), 90, 100)
+        assert want[ids[1]] == want[3] != want[ids[2]]
+        assert got == want
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
+def test_jaccard_components_of_short_chains(spark, n, num, den):
+    rows = short_chains(n + num)
+    sets = shingle_sets(rows, n)
+    want = components(sets, num, den)
+    assert len(set(want.values())) < len(want)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows), n, num, den).collect()}
+    assert got == want
+
+
 def test_jaccard_on_awkward_rows(spark, docs):
     got = ngram_jaccard.jaccard_components(clashing(docs), 3, 90, 100).collect()
     rows = awkward()
