@@ -8,8 +8,10 @@ context that was never seen leaves the decision to shorter ones. The score is th
 difference of the log likelihoods per byte; the threshold is the one that parts the
 held-out fifth of the ruled URLs (crc32(page_id) mod 5 is 0) best in balanced accuracy.
 
-Counts are taken over all ruled URLs outside that fifth, hashed into ``BUCKETS`` places
-for each class, so models have one size at every scale; tasks sum before they send.
+Counts are taken over all ruled URLs outside that fifth. Every order's contexts and
+(context, byte) pairs have a 64-bit key of their own in one partitioned table that grows
+with the input; nothing of it reaches the driver. URLs are judged in slices of
+``SLICE`` rows: each slice asks the table once for every key it holds.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule
 fits it, and a URL without bytes scores 0; without ruled URLs of both kinds the
@@ -27,8 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.words import M1, mix, slices
+from orbweave.plans.workspace import Workspace
 
 ORDERS, BUCKETS, SMOOTHING = 6, 1 << 17, 2.0
+SLICE_BITS = 12
+SLICE = 1 << SLICE_BITS
 BINS, REACH = 4000, 8.0
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -53,8 +58,8 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruling", ruling)
 
 
-def contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Lengths, and for each order the buckets of (context) and (context, byte)."""
+def context_keys(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Lengths, and for each order the 64-bit keys of (context) and (context, byte)."""
     raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
     lengths = np.array([len(r) for r in raw], dtype=np.int64)
     pad = ORDERS - 1
@@ -67,30 +72,38 @@ def contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list
         if k:
             h = mix(h * M1 + flat[at - k] + np.uint64(1))
         place = mix(h + np.uint64(k + 1))
-        before.append((place % np.uint64(BUCKETS)).astype(np.int64))
-        own.append((mix(place * M1 + flat[at] + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64))
+        before.append(place)
+        own.append(mix(place * M1 + flat[at] + np.uint64(1)))
     return lengths, before, own
 
 
+def contexts(urls: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """``context_keys`` folded into ``BUCKETS`` places, for small tables alone."""
+    lengths, before, own = context_keys(urls)
+    fold = lambda keys: [(k % np.uint64(BUCKETS)).astype(np.int64) for k in keys]
+    return lengths, fold(before), fold(own)
+
+
 def log_likelihood(before: list[np.ndarray], own: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     """Natural log probability of each byte; ``counts[0]`` of contexts, ``[1]`` with the byte."""
     p = np.full(len(own[0]), 1 / 256)
     for b, o in zip(before, own, strict=True):
         p = (counts[1, o] + SMOOTHING * p) / (counts[0, b] + SMOOTHING)
-    # Hashed places are shared, so an estimate can pass one.
+    # Rounding, and in folded tables a shared place, can lift an estimate above one.
     return np.log(np.minimum(p, 1.0))
 
 
 class UrlModel:
     """The two models and the threshold. ``pages(page_id, url)``."""
 
-    def __init__(self, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES):
-        self.rules = tuple(rules)
+    def __init__(self, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, workspace: Workspace | None = None):
+        self.rules, self.workspace = tuple(rules), workspace or Workspace(pages.sparkSession)
         marked = ruled(pages.select("page_id", "url"), rules).where("ruling is not null")
         test = F.coalesce(F.crc32(F.col("page_id").cast("string")) % 5 == 0, F.lit(False))
         self.counts = self._count(marked.where(~test).select("url", F.col("ruling") == "allow"))
         self.threshold = 0.0
-        self.fitted = bool((self.counts[:, 0].sum(axis=1) > 0).all())
+        held = self.counts.agg(F.max("good"), F.max("bad")).first()
+        self.fitted = all(x is not None and x > 0 for x in held)
         if self.fitted:
             place = F.floor((F.least(F.greatest("score", F.lit(-REACH)), F.lit(REACH)) + REACH) / (2 * REACH) * BINS).cast("int")
             rows = self.scored(marked.where(test)).groupBy((F.col("ruling") == "allow").alias("good"), place.alias("at")).agg(F.count("*").alias("n")).collect()
@@ -104,40 +117,58 @@ class UrlModel:
                 # The middle of the best cuts; a cut after bin k lies at its upper edge.
                 self.threshold = float((best[0] + best[-1]) / 2 / BINS * 2 * REACH - REACH)
 
-    @staticmethod
-    def _count(urls: DataFrame) -> np.ndarray:
+    def _count(self, urls: DataFrame) -> DataFrame:
+        """``key, good, bad``: how often each key stands in URLs of either kind."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(4 * BUCKETS, np.int64)
-            for batch in slices(batches, 4096):
-                lengths, before, own = contexts(batch.column(0).to_pylist())
-                shift = np.repeat(np.array(batch.column(1).to_pylist(), dtype=np.int64), lengths) * 2 * BUCKETS
-                for b, o in zip(before, own, strict=True):
-                    total += np.bincount(np.concatenate([shift + b, shift + BUCKETS + o]), minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
-
-        rows = urls.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(4 * BUCKETS)
-        out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-        return out.reshape(2, 2, BUCKETS)
+            for batch in slices(batches, SLICE):
+                lengths, before, own = context_keys(batch.column(0).to_pylist())
+                good = np.tile(np.repeat(np.array(batch.column(1).to_pylist(), dtype=bool), lengths), 2 * ORDERS)
+                keys, at = np.unique(np.concatenate([*before, *own]).view(np.int64), return_inverse=True)
+                n, of_good = np.bincount(at, minlength=len(keys)), np.bincount(at[good], minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of_good, pa.int64()), pa.array(n - of_good, pa.int64())], ["key", "good", "bad"])
+
+        found = urls.mapInArrow(run, "key long, good long, bad long")
+        return self.workspace.save(found.groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "counts")
 
     def scored(self, pages: DataFrame) -> DataFrame:
         """Adds ``score``, the difference of log likelihoods per byte."""
-        model = pages.sparkSession.sparkContext.broadcast(self.counts)
-        fitted = self.fitted
-
-        @F.pandas_udf("double")
-        def score(urls):
-            import pandas as pd
-
-            lengths, before, own = contexts([u if isinstance(u, str) else None for u in urls])
-            out = np.zeros(len(lengths))
-            if fitted and len(own[0]):
-                gain = log_likelihood(before, own, model.value[1]) - log_likelihood(before, own, model.value[0])
-                np.add.at(out, np.repeat(np.arange(len(lengths)), lengths), gain)
-            return pd.Series(out / np.maximum(lengths, 1))
-
-        return pages.withColumn("score", score("url"))
+        if not self.fitted:
+            return pages.withColumn("score", F.lit(0.0))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, SLICE):
+                numbers, urls = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for number in np.unique(numbers):
+                    _, before, own = context_keys([urls[i] for i in np.flatnonzero(numbers == number)])
+                    keys = np.unique(np.concatenate([*before, *own]).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), pa.array(keys)], ["number", "key"])
+
+        # Arrow keeps ids whole where some are null.
+        def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
+            lengths, before, own = context_keys(rows.column("url").to_pylist())
+            out = np.zeros(rows.num_rows)
+            if found.num_rows and lengths.sum():
+                # Batches may part a slice, so that a key is answered twice.
+                known, first = np.unique(found.column("key").to_numpy(), return_index=True)
+                # The last place holds keys that no ruled URL has.
+                def place(keys):
+                    at = np.minimum(np.searchsorted(known, keys.view(np.int64)), len(known) - 1)
+                    return np.where(known[at] == keys.view(np.int64), at, len(known))
+
+                before, own = [place(k) for k in before], [place(k) for k in own]
+                parts = [np.append(found.column(c).to_numpy()[first], 0).astype(float) for c in ("good", "bad")]
+                good, bad = (log_likelihood(before, own, np.stack([x, x])) for x in parts)
+                np.add.at(out, np.repeat(np.arange(len(rows)), lengths), good - bad)
+            return rows.drop_columns(["number"]).append_column("score", pa.array(out / np.maximum(lengths, 1)))
+
+        # Saved, so that both passes see the same slices.
+        dealt = self.workspace.save(pages.withColumn("number", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS)), "slices")
+        asked = dealt.select("number", "url").mapInArrow(ask, "number long, key long")
+        # Neither side has a size bound, so the join is a merge at every size.
+        found = asked.join(self.counts.hint("merge"), "key").select("number", "key", "good", "bad")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", score double"
+        return dealt.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(judge, schema)
 
     def judged(self, pages: DataFrame) -> DataFrame:
         """``page_id, host, path, rule, verdict, score`` of every row."""

@@ -333,6 +333,36 @@ def test_url_models_are_distributions_without_collisions(spark):
     assert 0.5 < p.sum() < 1.05
 
 
+def test_url_counts_and_scores_are_exact_beyond_the_old_places(spark):
+    rng = np.random.default_rng(5)
+    slug = lambda: "".join(map(chr, rng.integers(97, 123, 16)))
+    rows = [(i, f"http://{slug()}.org/fr/{slug()}" if i % 2 else f"http://{slug()}.net/{slug()}") for i in range(5000)]
+    pages = spark.createDataFrame([*rows, (None, None), (2**60 + 1, "x")], "page_id long, url string").coalesce(1)
+    model = url_filter.UrlModel(pages)
+    counts = [defaultdict(int), defaultdict(int)]
+
+    def keys(url):
+        raw = b"\x02" * 5 + url.encode()
+        return [(k, raw[i - k : i], raw[i]) for i in range(5, len(raw)) for k in range(6)]
+
+    for i, url in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for k, context, byte in keys(url):
+                counts[i % 2][k, context] += 1
+                counts[i % 2][k, context, byte] += 1
+    assert model.counts.count() == len(counts[0].keys() | counts[1].keys()) > url_filter.BUCKETS
+    got = {r["page_id"]: r["score"] for r in model.judged(pages).collect()}
+    assert len(got) == len(rows) + 2 and got[None] == 0 and 2**60 + 1 in got
+    for i, url in rows[:40]:
+        score, p = 0.0, [0.0, 0.0]
+        for k, context, byte in keys(url):
+            for c in (0, 1):
+                p[c] = (counts[c][k, context, byte] + 2 * (p[c] if k else 1 / 256)) / (counts[c][k, context] + 2)
+            if k == 5:
+                score += math.log(p[1] / p[0])
+        assert got[i] == pytest.approx(score / len(url))
+
+
 # Substring dedup
 
 
