@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orbweave.plans.workspace import Workspace
@@ -28,18 +28,28 @@ def connected_components(edges: DataFrame, workspace: Workspace, max_rounds: int
 
     ``edges(a, b)`` are undirected; self loops and nulls are ignored. Returns
     ``(node, component)`` without the nodes that are their own component's smallest.
-    Every round is written to the shared folder; only a count and a checksum reach
-    the driver. Hubs are handled by map-side minima and plain joins, so AQE can split
-    a hub's edges over tasks. Raises if the rounds do not converge.
+    Every round is written to the shared folder, and the rounds end when one changes
+    nothing; its count and checksum come with the write and need no pass of their own.
+    Hubs are handled by map-side minima and plain joins, so AQE can split a hub's edges
+    over tasks. Raises if the rounds do not converge.
     """
-    now = workspace.save(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+
+    def saved(table: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        marks = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+        out = workspace.save(table.observe(seen, *marks), name)
+        return out, (seen.get["n"], seen.get["sum"])
+
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, mark = saved(down.where("a <> b").distinct(), "edges")
     for _ in range(max_rounds):
-        star = workspace.save(_small_star(_large_star(now)), "stars")
+        if not mark[0]:
+            break
+        star, after = saved(_small_star(_large_star(now)), "stars")
         workspace.drop(now)
-        now = star
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        now, mark, before = star, after, mark
+        if mark == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

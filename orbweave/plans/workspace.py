@@ -6,27 +6,45 @@ back, so a lost executor costs a re-read and never a recomputation from the sour
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder of its own, as in tests.
+#: Used only by a local session that names no folder of its own, as in tests.
 DEFAULT_DIR = "file:///tmp/checkpoints/orbweave"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    """The folder of ``spark.checkpoint.dir``; a local session may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or DEFAULT_DIR
 
 
 class Workspace:
-    """Tables of one run, below one fresh folder of the shared directory."""
+    """Tables of one run, below one fresh folder of the shared directory.
+
+    What a run leaves there goes by :meth:`clear`, or when the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/orbweave-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        """Remove the folder if the session is still there to do it."""
+        try:
+            self.clear()
+        except Exception:  # the gateway has gone before us; the folder is all that is lost
+            pass
+
+    def clear(self) -> None:
+        """Delete every table of the run; no result may still be read from them."""
+        self._delete(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back from there."""
@@ -34,14 +52,14 @@ class Workspace:
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._orbweave_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._orbweave_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._orbweave_path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
