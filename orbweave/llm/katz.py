@@ -6,24 +6,28 @@ each partition merges its own words or pairs; pairs of very frequent first words
 by the second word too. The tables are written, partitioned, to the shared folder.
 
 Good-Turing: counts up to ``CUT`` are discounted as Katz does, from the counts of counts;
-larger ones are trusted. Words seen once keep their discounted count; the mass of unseen
-words is that of one unknown word. Pairs seen once are left to the backoff, as Katz
-proposes. A history's backoff weight is what its pairs leave over, divided by what their
-words leave over in the lower order (where no pair is discounted the history is counted
-once more, so that something is left), so probabilities after any history sum to one over
-the known words, the end and the unknown word.
-
-Scoring is recursive per token: a pair that is in its table gives its discounted
+larger ones are trusted. Words and pairs seen once keep their discounted count; the mass
+of unseen words is that of one unknown word. A history's backoff weight is what its pairs
+leave over, divided by what their words leave over in the lower order (where no pair is
+discounted the history is counted once more, so that something is left), so probabilities
+after any history sum to one over the known words, the end and the unknown word.
+
+Scoring is recursive per token: a pair that training has gives its discounted
 probability, any other the history's backoff weight times the word's probability. In
 logarithms this is a sum of one value per word and one gain per known pair, so the
-lookups are additive. The most frequent words and pairs, at most ``HEAD`` of each, and a
-bitmap of ``BITS`` bits that tells which other keys exist at all are broadcast, a bounded
-size; what remains is looked up by one join and summed by document.
+lookups are additive. A training document never backs off, as it was counted: each of its
+pairs that is not in the table was seen once. So pairs seen once enter the sums of their
+histories and the discounts, but rows of their own are stored only for the pairs that
+held-out documents ask for, which are counted along with the training pairs as asked, not
+as seen. The most frequent words and pairs, at most ``HEAD`` of each, and a bitmap of
+``BITS`` bits that tells which other keys exist at all are broadcast, a bounded size; what
+remains is looked up by one join and summed by document.
 
 Defined cases: null or empty text is the end alone; the first word follows a mark of the
 beginning; rows that repeat id and text are each scored; a null id is scored, never
 learnt from, and counts as held out; without training documents every token is unknown
-with probability one; an empty table gives an empty result.
+with probability one; an empty table gives an empty result; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from orbweave.llm.words import M1, hash_words, list_array, mix, release, slices, split_words
+from orbweave.llm.words import M1, hash_words, list_array, mix, release, rows_array, slices, split_words
 from orbweave.plans.workspace import Workspace
 
 CUT = 5
 HEAD = 1 << 20
 BITS = 1 << 26
 #: Tokens that a task gathers before it merges them, and tokens of one partition, about.
-CHUNK, PART = 1_500_000, 1_000_000
+CHUNK, PART = 1_000_000, 1_000_000
 #: Share of all tokens above which a history's pairs are cut by their second word too.
 HOT = 1 / 2000
 BEGIN, END = np.uint64(xxh3_64_intdigest(b"\x00begin")), np.uint64(xxh3_64_intdigest(b"\x00end"))
@@ -65,18 +69,21 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first) * M1 + second)
 
 
-def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    held, size = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], training: bool = True) -> Iterator[tuple[list[np.ndarray], list[bool]]]:
+    """Token arrays of a few documents at a time, and which are to be learnt from."""
+    held, learnt, size = [], [], 0
     for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if not held_out(doc):
+            learn = not held_out(doc)
+            if learn or not training:
                 held.append(tokens(text.as_py()))
+                learnt.append(learn)
                 size += len(held[-1])
             if size >= CHUNK:
-                yield held
-                held, size = [], 0
+                yield held, learnt
+                held, learnt, size = [], [], 0
     if held:
-        yield held
+        yield held, learnt
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -99,7 +106,7 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
     """``(word, n)`` of all training tokens; the beginning is counted as a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _training_chunks(batches):
+        for chunk, _ in _chunks(batches):
             word, n = np.unique(np.concatenate(chunk), return_counts=True)
             rows = list(_cut((mix(word) % np.uint64(parts)).astype(np.int64), word, n))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), list_array([r[1].view(np.int64) for r in rows]), list_array([r[2] for r in rows])], ["part", "words", "ns"])
@@ -120,20 +127,31 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> DataFrame:
-    """``(first, second, n, n_first, n_second)`` of the pairs seen more than once.
-
-    The words' own counts are filled in where the head holds them.
+    """Counts of pairs, and what the pairs of each history sum up to.
+
+    Rows of pairs ``(first, second, n, n_second)``: those seen more than once, and those
+    seen once that a held-out document holds or whose second word the head does not know
+    (``keep`` tells the former). Rows of histories ``(first, kinds, big, of_head)``, which
+    have no second word: how many pairs were seen 1..``CUT + 1`` times, how often the pairs
+    seen more than ``CUT`` times were, and how many pairs of each count of the second word
+    up to ``CUT`` there are, then the sum of the larger counts. A history may have several.
     """
     shared = docs.sparkSession.sparkContext.broadcast((hot, head))
+    names = ["first", "second", "n", "n_second", "keep", "kinds", "big", "of_head"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, _ = shared.value
-        for chunk in _training_chunks(batches):
+        for chunk, learnt in _chunks(batches, training=False):
             flat = np.concatenate(chunk)
-            ends = np.cumsum([len(c) for c in chunk])[:-1] - 1
+            sizes = [len(c) for c in chunk]
+            ends = np.cumsum(sizes)[:-1] - 1
             word, at = np.unique(flat, return_inverse=True)
-            pair = at[:-1].astype(np.int64) * len(word) + at[1:]
-            pair, n = np.unique(np.delete(pair, ends), return_counts=True)
+            pair = np.delete(at[:-1].astype(np.int64) * len(word) + at[1:], ends)
+            seen = np.delete(np.repeat(np.array(learnt), sizes)[:-1], ends)
+            # Training pairs come with their count, asked ones with 0.
+            pair, where = np.unique(pair * 2 + ~seen, return_inverse=True)
+            n = np.where(pair & 1, 0, np.bincount(where, minlength=len(pair)))
+            pair >>= 1
             first, second = word[pair // len(word)], word[pair % len(word)]
             own = mix(first)
             often = np.isin(first, hot)
@@ -163,31 +181,51 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
         del firsts, seconds, counts
         order = np.lexsort((second, first))
         first, second, n = first[order], second[order], n[order]
+        del order
         starts = _starts(first, second)
-        n = np.add.reduceat(n.astype(np.int64), starts)
-        starts, n = starts[n > 1], n[n > 1]
-        first, second = first[starts], second[starts]
+        asked = np.logical_or.reduceat(n == 0, starts)
+        first, second, n = first[starts], second[starts], np.add.reduceat(n.astype(np.int64), starts)
+        # Pairs that are asked for but were never seen are unknown.
+        first, second, n, asked = (x[n > 0] for x in (first, second, n, asked))
+        here, place = head.at(second)
+        of = head.get("n", here, place, 0).astype(np.int64)
+        begins = _starts(first)
+        if len(begins):
+            sums = lambda x: np.add.reduceat(x.astype(np.int64), begins)
+            kinds = np.stack([sums(n == r) for r in range(1, CUT + 2)], axis=1)
+            lower = np.stack([sums(of == r) for r in range(1, CUT + 1)] + [sums(np.where(of > CUT, of, 0))], axis=1)
+            big, history = sums(np.where(n > CUT, n, 0)), first[begins]
+            for k in range(0, len(history), 100_000):
+                part = slice(k, k + 100_000)
+                none = [pa.nulls(len(history[part]), pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(history[part]), *none, pa.nulls(len(none[0]), pa.bool_()), rows_array(kinds[part]), pa.array(big[part]), rows_array(lower[part])], names)
+        keep = (n > 1) | asked
+        first, second, n, of, here, keep = (x[keep | ~here] for x in (first, second, n, of, here, keep))
         for k in range(0, len(n), 100_000):
-            f, s = first[k : k + 100_000], second[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(s), pa.array(n[k : k + 100_000]), head.counts(f), head.counts(s)], ["first", "second", "n", "n_first", "n_second"])
+            part = slice(k, k + 100_000)
+            lists = pa.nulls(len(n[part]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first[part]), pa.array(second[part]), pa.array(n[part]), pa.array(of[part], mask=~here[part]), pa.array(keep[part]), lists, pa.nulls(len(lists), pa.int64()), lists], names
+            )
 
     sent = docs.mapInArrow(run, "part int, firsts array<long>, runs array<int>, seconds array<long>, ns array<int>")
-    return sent.repartition(parts, "part").mapInArrow(merge, "first long, second long, n long, n_first long, n_second long")
+    return sent.repartition(parts, "part").mapInArrow(merge, "first long, second long, n long, n_second long, keep boolean, kinds array<long>, big long, of_head array<long>")
 
 
 class Head:
     """The most frequent keys, sorted, with their counts and values."""
 
     def __init__(self, table: DataFrame, key: str, columns: list[str], order: str = "n", limit: int = HEAD, always: tuple[int, ...] = ()):
-        # The least count of which no more than the limit are as frequent.
-        sizes = sorted(((r[order], r["rows"]) for r in table.where(F.col(order) <= 10_000).groupBy(order).agg(F.count("*").alias("rows")).collect()), reverse=True)
-        room = limit - table.where(F.col(order) > 10_000).limit(limit).count()
-        self.least = 10_001
-        for n, rows in sizes:
+        # The least level of which no more than the limit are as frequent; above 10,000 a
+        # level is a sixteenth of a power of two, so there are few at every size.
+        level = F.when(F.col(order) <= 10_000, F.col(order)).otherwise(10_000 + F.floor(F.log2(F.col(order) / 10_000) * 16))
+        sizes = [(r["level"], r["rows"], r["least"]) for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min(order).alias("least")).collect()]
+        room, self.least = limit, 1 << 62
+        for _, rows, least in sorted(sizes, reverse=True):
             if rows > room:
                 break
             room -= rows
-            self.least = n
+            self.least = least
         chosen = F.col(order) >= self.least
         for one in always:
             chosen = chosen | (F.col(key) == one)
@@ -217,21 +255,17 @@ class Head:
         """Values at places that :meth:`at` gave."""
         return np.where(here, self.values[column][place], otherwise) if len(self.keys) else np.full(len(here), otherwise)
 
-    def counts(self, keys: np.ndarray) -> pa.Array:
-        here, place = self.at(keys)
-        return pa.array(self.values["n"][place] if len(self.keys) else np.zeros(len(keys), np.int64), mask=~here)
-
 
-def discounts(counts_of: dict[int, int], cut: int = CUT, least: int = 1) -> dict[int, float]:
-    """Katz's ratios for counts ``least..cut``; counts below ``least`` get 0.
+def discounts(counts_of: dict[int, int], cut: int = CUT) -> dict[int, float]:
+    """Katz's ratios for counts ``1..cut``.
 
     Where the counts of counts are too thin for a ratio strictly between 0 and 1, the
     ratio is that of absolute discounting by one half.
     """
     n = [0, *(counts_of.get(r, 0) for r in range(1, cut + 2))]
     common = (cut + 1) * n[cut + 1] / n[1] if n[1] else 1.0
-    out = {r: 0.0 for r in range(1, least)}
-    for r in range(least, cut + 1):
+    out = {}
+    for r in range(1, cut + 1):
         raw = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) if n[r] and common < 1 else 0.0
         out[r] = raw if 0 < raw < 1 else (r - 0.5) / r
     return out
@@ -267,57 +301,64 @@ class KatzModel:
 
         counted = Head(words, "word", ["n"])
         hot = counted.keys[counted.values["n"] > self.total * HOT].view(np.uint64)
-        pairs = ws.save(pair_counts(docs, parts, hot, counted), "pairs")
+        found = ws.save(pair_counts(docs, parts, hot, counted), "pairs")
         del counted
-        rest = pairs.where("n_first is null or n_second is null")
-        f, s = words.select(F.col("word").alias("first"), F.col("n").alias("n_first")), words.select(F.col("word").alias("second"), F.col("n").alias("n_second"))
-        filled = rest.drop("n_first", "n_second").join(f, "first").join(s, "second").select(pairs.columns)
-        whole = pairs.where("n_first is not null and n_second is not null").union(filled)
-        few = {r["n"]: r["k"] for r in pairs.where(F.col("n") <= CUT + 1).groupBy("n").agg(F.count("*").alias("k")).collect()}
-        seen_twice = pairs.agg(F.sum("n")).first()[0] or 0
-        few[1] = self.total - seen_twice
-        ratio2 = discounts(few, least=2)
-        lower = discounted("n_second", ratios) * (scale / max(1, self.total))
-        count = discounted("n", ratio2)
-        scored = ws.save(whole.select("first", "second", "n", "n_first", count.alias("count"), F.log10(count / F.col("n_first")).alias("lp"), lower.alias("lower")), "scored")
-        ws.drop(pairs)
-        left = scored.groupBy("first").agg(F.sum("count").alias("count"), F.first("n_first").alias("n_first"), F.sum("lower").alias("lower"))
+        kinds = [F.sum(F.col("kinds")[r]) for r in range(CUT + 1)]
+        few = {r: k or 0 for r, k in enumerate(found.where("second is null").agg(*kinds).first(), 1)}
+        ratio2 = discounts(few)
+        self.once = math.log10(ratio2[1])
+        lower = lambda n: discounted(n, ratios) * (scale / max(1, self.total))
+
+        # What each history's pairs sum up to: by counts, and by their words' probabilities.
+        sums = found.where("second is null")
+        kept_sum = sum((F.col("kinds")[r - 1] * F.lit(r * d) for r, d in ratio2.items()), F.col("big").cast("double"))
+        seen_sum = sum((F.col("kinds")[r - 1] * F.lit(r) for r in ratio2), F.col("big"))
+        head_sum = sum((F.col("of_head")[r - 1] * F.lit(r * d) for r, d in ratios.items()), F.col("of_head")[CUT].cast("double"))
+        sums = sums.select("first", seen_sum.alias("seen"), kept_sum.alias("count"), (head_sum * (scale / max(1, self.total))).alias("lower"))
+        second = words.select(F.col("word").alias("second"), F.col("n").alias("of"))
+        late = found.where("second is not null and n_second is null").select("first", "second").join(second, "second")
+        late = late.groupBy("first").agg(F.sum(lower("of")).alias("lower")).select("first", F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("count"), "lower")
+        left = sums.union(late).groupBy("first").agg(F.sum("seen").alias("seen"), F.sum("count").alias("count"), F.sum("lower").alias("lower"))
         # A history none of whose pairs is discounted is counted once more, for what follows unseen.
-        full = F.when(F.col("count") > F.col("n_first") - 1e-6, F.col("n_first") / (F.col("n_first") + 1)).otherwise(1.0)
-        weight = F.log10((1 - F.col("count") / F.col("n_first") * full) / F.greatest(1 - F.col("lower"), F.lit(self.unknown * 0.5)))
-        left = left.select(F.col("first").alias("word"), weight.alias("back"), (F.log10(full) - weight).alias("turn"))
+        full = F.when(F.col("count") > F.col("seen") - 1e-6, F.col("seen") / (F.col("seen") + 1)).otherwise(1.0)
+        weight = F.log10((1 - F.col("count") / F.col("seen") * full) / F.greatest(1 - F.col("lower"), F.lit(self.unknown * 0.5)))
+        left = left.select(F.col("first").alias("word"), weight.alias("back"), (F.log10(full) - F.log10("seen")).alias("each"))
         own = words.join(left, "word", "left")
-        own = own.select("word", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("back", "turn")], F.log10(p_word).alias("lw"))
+        own = own.select("word", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("back", "each")], F.log10(p_word).alias("lw"))
         self.words = ws.save(own, "words")
         ws.drop(words)
-        self.word_head = Head(self.words, "word", ["n", "back", "turn", "lw"], always=(MARK,))
-
-        gained = self._gains(scored)
-        f, s = self.words.select(F.col("word").alias("first"), "turn"), self.words.select(F.col("word").alias("second"), "lw")
-        late = gained.where("gain is null").drop("gain").join(f, "first").join(s, "second").select("key", "n", (F.col("lp") + F.col("turn") - F.col("lw")).alias("gain"))
-        self.pairs = ws.save(gained.where("gain is not null").select("key", "n", "gain").union(late), "gains")
-        ws.drop(scored)
-        self.pair_head = Head(self.pairs, "key", ["n", "gain"])
-        tail_words = self.words.where((F.col("n") < self.word_head.least) & (F.col("word") != MARK)).select(F.col("word").alias("key"), "n", (F.col("back") + F.col("lw")).alias("value"))
-        tail_pairs = self.pairs.where(F.col("n") < self.pair_head.least).select("key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("value"))
+        self.word_head = Head(self.words, "word", ["n", "back", "each", "lw"], always=(MARK,))
+
+        # A pair's discounted count is its gain over a pair seen once, in a training document.
+        more = F.log10(discounted("n", ratio2)) - F.lit(self.once)
+        gained = self._gains(found.where("keep").select("first", "second", "n", more.alias("more")))
+        f, s = self.words.select(F.col("word").alias("first"), "each", "back"), self.words.select(F.col("word").alias("second"), "lw")
+        late = gained.where("gain is null").drop("gain").join(f, "first").join(s, "second")
+        late = late.select("key", "n", "more", (F.col("more") + self.once + F.col("each") - F.col("back") - F.col("lw")).alias("gain"))
+        self.pairs = ws.save(gained.where("gain is not null").select("key", "n", "more", "gain").union(late), "gains")
+        ws.drop(found)
+        self.pair_head = Head(self.pairs, "key", ["more", "gain"])
+        tail_words = self.words.where((F.col("n") < self.word_head.least) & (F.col("word") != MARK)).select(F.col("word").alias("key"), "n", (F.col("back") + F.col("lw")).alias("out"), F.col("each").alias("inside"))
+        tail_pairs = self.pairs.where(F.col("n") < self.pair_head.least).select("key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("out"), F.col("more").alias("inside"))
         self.tail = tail_words.union(tail_pairs)
         self.bitmap = self._bitmap()
-        self.shared = spark.sparkContext.broadcast((self.word_head.only("n", "back", "lw"), self.pair_head.only("gain"), self.bitmap, self.total, self.kinds, self.unknown))
+        self.shared = spark.sparkContext.broadcast((self.word_head, self.pair_head, self.bitmap, self.total, self.kinds, self.unknown, self.once))
 
     def _gains(self, scored: DataFrame) -> DataFrame:
-        head = scored.sparkSession.sparkContext.broadcast(self.word_head.only("turn", "lw"))
+        head = scored.sparkSession.sparkContext.broadcast(self.word_head.only("back", "each", "lw"))
+        once = self.once
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = head.value
             for batch in batches:
-                first, second, lp = (batch.column(k).to_numpy() for k in range(3))
+                first, second, more = (batch.column(k).to_numpy() for k in (0, 1, 3))
                 (a, i), (b, j) = words.at(first), words.at(second)
-                known = a & b
-                gain = lp + words.values["turn"][i] - words.values["lw"][j] if len(words.keys) else lp
+                get = words.get
+                gain = more + once + get("each", a, i, 0.0) - get("back", a, i, 0.0) - get("lw", b, j, 0.0)
                 key = pair_key(first.view(np.uint64), second.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1), batch.column(3), batch.column(2), pa.array(gain, mask=~known)], ["key", "first", "second", "n", "lp", "gain"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns, pa.array(gain, mask=~(a & b))], ["key", *batch.schema.names, "gain"])
 
-        return scored.select("first", "second", "lp", "n").mapInArrow(run, "key long, first long, second long, n long, lp double, gain double")
+        return scored.mapInArrow(run, "key long, first long, second long, n long, more double, gain double")
 
     def _bitmap(self) -> np.ndarray:
         """A bit for every key of the tail at its hash; ``BITS`` bits at every size."""
@@ -329,16 +370,20 @@ class KatzModel:
         return out
 
     def scores(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, held_out, n_tokens, n_known, base_score, score`` of every row."""
+        """``doc_id, held_out, n_tokens, n_known, base_score, score`` of every row.
+
+        Rows that are not held out are those that the model has learnt from.
+        """
         shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, pairs, bitmap, total, kinds, unknown = shared.value
+            words, pairs, bitmap, total, kinds, unknown, once = shared.value
             none = math.log10(unknown)
-            names = ["cid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key", "many", "word", "own"]
+            names = ["cid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key", "many", "word", "own", "outside"]
             # A slice's words and pairs are looked up once each, in the order of their keys.
             for batch in slices(batches, 256):
                 ids, texts = batch.column(0).to_pylist(), [x.as_py() or "" for x in batch.column(1)]
+                outside = np.array([held_out(d) for d in ids])
                 each = [tokens(t) for t in texts]
                 sizes = np.array([len(t) for t in each])
                 starts = np.cumsum(sizes) - sizes
@@ -351,14 +396,15 @@ class KatzModel:
                 known = (real & (counts > 0))[at]
                 base = np.where(real, np.log10((counts + 1) / (total + kinds + 1)), 0.0)[at]
                 # Every token but the first is predicted, every token but the last predicts.
-                value = (np.where(real, words.get("lw", here, place, none), 0.0) + words.get("back", here, place, 0.0))[at]
+                backed = (np.where(real, words.get("lw", here, place, none), 0.0) + words.get("back", here, place, 0.0))[at]
+                value = np.where(outside[owner], backed, words.get("each", here, place, 0.0)[at])
                 inside = np.ones(len(flat) - 1, bool)
                 inside[starts[1:] - 1] = False
                 holder = owner[:-1][inside]
                 key, pair_at = np.unique(pair_key(flat[:-1][inside], flat[1:][inside]).view(np.int64), return_inverse=True)
                 got, spot = pairs.at(key)
-                gain = np.bincount(holder, weights=pairs.get("gain", got, spot, 0.0)[pair_at], minlength=len(each))
-                score = np.add.reduceat(value, starts) + gain
+                gain = np.where(outside[holder], pairs.get("gain", got, spot, 0.0)[pair_at], once + pairs.get("more", got, spot, 0.0)[pair_at])
+                score = np.add.reduceat(value, starts) + np.bincount(holder, weights=gain, minlength=len(each))
                 asks = []
                 for keys, missing, where, whose in ((word, ~here, at, owner), (key, ~got, pair_at, holder)):
                     slot = keys % BITS
@@ -368,24 +414,25 @@ class KatzModel:
                     asks.append((asked // len(keys), keys[asked % len(keys)], times))
                 cid = [xxh3_64_intdigest(f"{d} {t}".encode("utf-8", "surrogatepass")) - (1 << 63) for d, t in zip(ids, texts, strict=True)]
                 n = len(each)
-                local = [pa.array(cid, pa.int64()), pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(sizes - 1, pa.int64())]
+                local = [pa.array(cid, pa.int64()), pa.array(ids, pa.int64()), pa.array(outside), pa.array(sizes - 1, pa.int64())]
                 local += [pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(score)]
                 # The document's own row joins nothing; its key is its own id.
-                yield pa.RecordBatch.from_arrays([*local, local[0], pa.array([1] * n, pa.int32()), pa.array([False] * n), pa.array([True] * n)], names)
+                yield pa.RecordBatch.from_arrays([*local, local[0], pa.array([1] * n, pa.int32()), pa.array([False] * n), pa.array([True] * n), local[2]], names)
                 whose, keys, many = (np.concatenate(x) for x in zip(*asks, strict=True))
                 is_word = np.arange(len(keys)) < len(asks[0][0])
                 nulls = [pa.nulls(len(keys), x.type) for x in local[1:]]
-                asked = [pa.array(keys), pa.array(many.astype(np.int32)), pa.array(is_word), pa.array(np.zeros(len(keys), bool))]
+                asked = [pa.array(keys), pa.array(many.astype(np.int32)), pa.array(is_word), pa.array(np.zeros(len(keys), bool)), pa.array(outside[whose])]
                 yield pa.RecordBatch.from_arrays([local[0].take(pa.array(whose)), *nulls, *asked], names)
 
-        schema = "cid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, many int, word boolean, own boolean"
+        schema = "cid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, many int, word boolean, own boolean, outside boolean"
         asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
         floor, none = math.log10(1 / (self.total + self.kinds + 1)), math.log10(self.unknown)
         tail = self.tail.withColumnRenamed("n", "n_word")
-        met = asked.join(tail, "key", "left").where("own or value is not null")
-        # A word of the tail replaces what the unknown word was given for it.
-        met = met.withColumn("hit", ~F.col("own") & F.col("value").isNotNull())
-        add = F.when(F.col("hit"), F.col("many") * (F.col("value") - F.when(F.col("word"), F.lit(none)).otherwise(0.0)))
+        met = asked.join(tail, "key", "left").where("own or out is not null")
+        # In a held-out document a word of the tail replaces what the unknown word was given for it.
+        met = met.withColumn("hit", ~F.col("own") & F.col("out").isNotNull())
+        gain = F.when(F.col("outside"), F.col("out") - F.when(F.col("word"), F.lit(none)).otherwise(0.0)).otherwise(F.col("inside"))
+        add = F.when(F.col("hit"), F.col("many") * gain)
         base = F.when(F.col("hit") & F.col("word"), F.col("many") * (F.log10((F.col("n_word") + 1) / F.lit(self.total + self.kinds + 1.0)) - F.lit(floor)))
         known = F.when(F.col("hit") & F.col("word"), F.col("many"))
         sums = met.groupBy("cid").agg(

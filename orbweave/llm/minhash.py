@@ -1,22 +1,24 @@
 """Document fingerprints by MinHash.
 
 A fingerprint keeps, for each of ``PERMUTATIONS`` universal hash functions
-``(a * x + b) mod 2**64`` with odd ``a``, 16 high bits of the smallest value over a
-text's word shingles; all functions are evaluated by numpy on a block of shingles at a
-time. The share of equal places estimates the Jaccard similarity of two shingle sets.
+``(a * x + b) mod 2**64`` with odd ``a``, 16 bits of the smallest value over a text's
+word shingles; all functions are evaluated by numpy on a block of shingles at a time. The
+smallest of many values is small, so it is scrambled before bits are taken: otherwise all
+long texts would look alike. The share of equal places estimates the Jaccard similarity
+of two shingle sets.
 
 ``fingerprint_table`` compares each document with an edited text and with the next
-document by id. The order needs one shuffle of the texts: ids of a few thousand
-quantiles cut the ids into ranges, each range is one sorted stream, and the first row of
-a range is also sent to the range before it.
+document by id. The order needs one range shuffle of the texts; each sorted range is one
+stream that also reports its first and its last row, and the last row of a range meets
+the first one of the next range in a join of two rows a range.
 
 ``minhash_components`` joins bands of signatures in Spark; every candidate is verified
-on its whole shingle sets, see ``ngram_jaccard.block_components``.
+on its whole shingle sets, see ``ngram_jaccard.block_links``.
 
 Defined cases: null text counts as empty; texts without words share one fingerprint of
-their own, alike to nothing else; rows with one id follow each other by text; null ids
-come before all others; a table of one row is its own next document; an empty table
-gives an empty result.
+their own, alike to nothing else; rows with one id follow each other by a hash of their
+text; null ids come before all others; a table of one row is its own next document; an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.ngram_jaccard import block_components, by_component
+from orbweave.llm.ngram_jaccard import block_links, by_component, joined_components
 from orbweave.llm.words import fingerprint as content_mark
-from orbweave.llm.words import list_array, shingles, slices, split_words
+from orbweave.llm.words import list_array, mix, shingles, slices, split_words
 from orbweave.plans.workspace import Workspace
 
 PERMUTATIONS = 128
@@ -55,9 +58,11 @@ A, B = universal()
 def signature(values: np.ndarray, a: np.ndarray = A, b: np.ndarray = B) -> np.ndarray:
     """The 16-bit MinHash values of shingle hashes; all ones for no shingles."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    if not len(values):
+        return np.full(len(a), 0xFFFF, np.uint16)
     for k in range(0, len(values), 1024):
         np.minimum(least, (a * values[k : k + 1024] + b).min(axis=1), out=least)
-    return (least >> np.uint64(48)).astype(np.uint16)
+    return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
 def text_signature(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -78,72 +83,74 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """``range, last, doc_id, text`` so that a range holds a run of ids and what follows it."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"))
-    total = ids.count()
-    ranges = max(1, min(64, total // 64), total // RANGE_ROWS)
-    marks = ids.stat.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if total and ranges > 1 else []
-    least = ids.agg(F.min("id")).first()[0]
-    # Ids travel as doubles through the quantiles; the smallest id at or above each is exact.
-    cuts = np.array(sorted({int(m) for m in marks}), dtype=np.int64)
-    heads = docs.sparkSession.sparkContext.broadcast((cuts, least))
-
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, _ = heads.value
-        for batch in slices(batches):
-            at = np.searchsorted(cuts, batch.column(0).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["range", "id", *batch.schema.names[1:]])
-
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), "doc_id", "text")
-    placed = ids.mapInArrow(ranged, "range int, id long").groupBy("range").agg(F.min("id").alias("id")).collect()
-    order = sorted((r["range"], r["id"]) for r in placed)
-    before = {i: order[k - 1][0] for k, (_, i) in enumerate(order)}  # the first id's rows follow the last range
-    sent = docs.sparkSession.sparkContext.broadcast(before)
-
-    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, _ = heads.value
-        firsts = np.array(sorted(sent.value), dtype=np.int64)
-        for batch in slices(batches):
-            ids = batch.column(0).to_numpy()
-            at = np.searchsorted(cuts, ids, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(ids), bool)), batch.column(1), batch.column(2)], ["range", "last", "doc_id", "text"])
-            own = np.flatnonzero(np.isin(ids, firsts))
-            if len(own):
-                extra = batch.take(pa.array(own))
-                to = pa.array([sent.value[i] for i in ids[own].tolist()], pa.int32())
-                yield pa.RecordBatch.from_arrays([to, pa.array([True] * len(own)), extra.column(1), extra.column(2)], ["range", "last", "doc_id", "text"])
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
-    out = keyed.mapInArrow(doubled, "range int, last boolean, doc_id long, text string")
-    return out.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "last", "doc_id", "text")
 
+def _compared(own: tuple, following: tuple, n: int) -> tuple:
+    """A row of the result; both sides are (doc_id, text, signature)."""
+    doc, text, mark = own
+    changed = edited_text(text, following[1])
+    other = text_signature(changed, n)
+    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc, len(text), digest, as_string(mark), as_string(other), alike(mark, other), alike(mark, following[2])
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in sorted ranges; rows that share an id are cut too."""
+    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    total = keyed.count()
+    ranges = max(1, min(64, total // 64), total // RANGE_ROWS)
+    order = ["id", "mark", "row"]
+    keyed = keyed.withColumns({"id": F.coalesce("doc_id", F.lit(FIRST)), "mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    return keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
-def fingerprint_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+
+def fingerprint_table(docs: DataFrame, n: int = SHINGLE, workspace: Workspace | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they are."""
+    spark = docs.sparkSession
+    ws = workspace or Workspace(spark)
+    edge_kinds, edge_names = [*KINDS, pa.int32(), pa.bool_(), pa.string()], [*NAMES, "part", "first", "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = [f.split()[0] for f in RESULT.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        edge = lambda first: (held[0], *[None] * 6, part, first, held[1])
+        for batch in slices(batches):
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                mine = (doc, text, text_signature(text, n))
+                if held:
+                    rows.append((*_compared(held, mine, n), None, None, None))
+                    held = mine
+                else:
+                    held = mine
+                    rows.append(edge(True))
+            yield _batch(rows, edge_kinds, edge_names)
+        if held:
+            yield _batch([edge(False)], edge_kinds, edge_names)
+
+    def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for place, last, doc, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                place, last, doc, text = place.as_py(), last.as_py(), doc.as_py(), text.as_py() or ""
-                # Of several rows that share the id after this range only the first counts.
-                mine = (place, last, doc, text, text_signature(text, n)) if not last or (held and held[0] == place) else None
-                if held and held[0] == place and mine:
-                    changed = edited_text(held[3], text)
-                    other = text_signature(changed, n)
-                    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((held[2], len(held[3]), digest, as_string(held[4]), as_string(other), alike(held[4], other), alike(held[4], mine[4])))
-                held = None if last else mine
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return _dealt(docs).mapInArrow(run, RESULT)
+            for doc, text, following in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows.append(_compared((doc, text, text_signature(text, n)), (None, following, text_signature(following, n)), n))
+            yield _batch(rows, KINDS, NAMES)
+
+    done = ws.save(_in_order(docs).mapInArrow(stream, f"{RESULT}, part int, first boolean, text string"), "ranges")
+    # A number for each range, of which the driver knows as many as it has tasks.
+    parts = sorted(r["part"] for r in done.where("first").select("part").collect())
+    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    ends = done.where("not first").select("part", "doc_id", "text").join(following, "part")
+    heads = done.where("first").select(F.col("part").alias("next"), F.col("text").alias("head"))
+    last = ends.join(heads, "next").select("doc_id", "text", "head").mapInArrow(closing, RESULT)
+    return done.where("first is null").select(*NAMES).union(last)
 
 
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,4 +188,10 @@ def minhash_components(
     classes = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     classes = ws.save(classes.where("doc is not null"), "classes")
     blocks = classes.select("doc", F.col("n_shingles").alias("size"), F.explode("bands").alias("token"))
-    return by_component(rows, classes, block_components(docs, classes, blocks, n, num, den, ws))
+    links = block_links(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
+    return by_component(rows, classes, joined_components(rows, classes, links, ws))
+
+
+def query_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all ``documents`` by bands, verified: five words, 0.8 or more."""
+    return minhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

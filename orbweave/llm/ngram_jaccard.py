@@ -25,10 +25,14 @@
    so a family of near copies costs a tree, not all pairs. Of two classes the one in the
    smaller component asks.
 
+5. Sets too small to reach the threshold with any other set are left out of the matrix:
+   one that has ``x`` elements can at best share them all with a set of ``x + 1``.
+
 Defined cases: null or word-less text has an empty set, size 0, and is linked with
-nothing; rows that share an id are one node, so each of them gets the same component;
-rows with a null id get a null component and take no part; an empty table gives an
-empty result; other columns of the input are ignored.
+nothing; rows that share an id are one node, so the classes of their texts are linked
+and each of them gets the same component (an empty one keeps its own id); rows with a
+null id get a null component and take no part; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -104,12 +108,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for doc, text, f1, f2, group in zip(*(batch.column(k) for k in range(5)), strict=True):
-                if doc.as_py() == last:
+                here = doc.as_py(), f1.as_py(), f2.as_py()
+                if here == last:
                     continue
                 tokens = shingle_set(text.as_py(), n)
-                if fingerprint(tokens) == (f1.as_py(), f2.as_py()):
-                    last = doc.as_py()
-                    rows.append((last, group.as_py(), len(tokens), tokens.tobytes()))
+                if fingerprint(tokens) == here[1:]:
+                    last = here
+                    rows.append((here[0], group.as_py(), len(tokens), tokens.tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "group", "size", "tokens"])
@@ -211,8 +216,8 @@ def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) ->
     return left.cogroup(queries.groupBy("q_group", "q_part")).applyInPandas(run, "a long, b long")
 
 
-def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n: int, num: int, den: int, ws: Workspace) -> DataFrame:
-    """``(node, component)`` over the verified links of classes that share a block.
+def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n: int, num: int, den: int, ws: Workspace) -> DataFrame:
+    """Verified links ``(a, b)`` that connect the classes that share a block.
 
     ``classes(doc, f1, f2)`` are the distinct sets and ``blocks(doc, size, token)`` the
     memberships; every two classes with a token in common are told linked or not, except
@@ -254,7 +259,15 @@ def block_components(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n:
     dealt = dealt.join(whole, "doc").select("q_group", "q_part", F.col("doc").alias("query"), "q_component", F.col("tokens").alias("words"))
     members = placed.join(load, "group").select("doc", "component", "group", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).join(whole, "doc")
     more = ws.save(opened_groups(members, dealt, num, den), "opened")
-    return ws.save(connected_components(links.union(more), ws), "components")
+    return links.union(more)
+
+
+def joined_components(rows: DataFrame, classes: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """``(node, component)`` over the links and over classes whose rows share an id."""
+    named = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select("f1", "f2", "n_shingles", "doc"), ["f1", "f2", "n_shingles"])
+    several = named.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("b < most").select("doc_id", "b")
+    same_id = named.join(several, "doc_id").select(F.col("doc").alias("a"), "b")
+    return ws.save(connected_components(links.union(same_id), ws), "components")
 
 
 def by_component(rows: DataFrame, classes: DataFrame, whole: DataFrame) -> DataFrame:
@@ -281,16 +294,18 @@ def jaccard_components(
     filled = rows.where("n_shingles > 0")
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("forget").alias("forget"), F.first("prefix").alias("prefix"))
     classes = ws.save(classes.where("doc is not null"), "classes")
-    tokens = classes.select("doc", F.col("n_shingles").alias("size"), "forget", F.explode("prefix").alias("token"))
+    linkable = classes.where(F.col("n_shingles") * den >= (F.col("n_shingles") + 1) * num)
+    tokens = linkable.select("doc", F.col("n_shingles").alias("size"), "forget", F.explode("prefix").alias("token"))
 
-    spread = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    # A table of its own, so that a token of very many classes can be split where they meet.
+    spread = ws.save(tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "spread")
     shared = tokens.join(spread, "token")
     per_doc = shared.groupBy("doc", "size", "forget").agg(F.sort_array(F.collect_list(F.struct(-F.col("held"), "token"))).alias("held"))
     left = F.slice("held", F.col("forget") + 1, F.greatest(F.size("held") - F.col("forget"), F.lit(0)))
     # Tokens that only one class holds may be counted among the forgotten ones or not.
     blocks = per_doc.select("doc", "size", F.explode(left).alias("t")).select("doc", "size", F.col("t.token").alias("token"))
-    whole = block_components(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
-    return by_component(rows, classes, whole)
+    links = block_links(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
+    return by_component(rows, classes, joined_components(rows, classes, links, ws))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

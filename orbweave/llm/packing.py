@@ -15,7 +15,8 @@ share is spread over many tasks.
 
 Token ids are those of the ``tokenizers`` file that ``tokenizer_path`` names. The default
 engine feeds the file's own vocabulary to ``tiktoken``, which gives the same ids at about
-four times the speed; ``engine="tokenizers"`` uses the other library.
+four times the speed; texts and files that this cannot serve, and
+``engine="tokenizers"``, use the other library.
 
 Defined cases: null text counts as empty; every document ends with id 0, so an empty one
 is a piece of length 1; a document longer than the capacity is cut into full pieces, the
@@ -58,9 +59,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def splits_as_known(file: dict) -> bool:
+    """Whether a tokenizer file says no more than a vocabulary of ranks and ``WORD_PATTERN``."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    extras = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if not plain or file.get("normalizer") or model.get("type") != "BPE" or any(model.get(k) for k in extras):
+        return False
+    if any(not t["special"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
+        return False
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    ids = np.array([model["vocab"][a + b] for a, b in pairs])
+    return bool((np.diff(ids) > 0).all())
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, engine: str):
-    """A function from a text to its ids, loaded once per Python worker."""
+    """A function from a text to its ids, loaded once per Python worker.
+
+    The fast engine serves files that :func:`splits_as_known`, and hands the other
+    library what its pattern matcher refuses, such as a million blanks in a row.
+    """
     if engine == "tokenizers":
         from tokenizers import Tokenizer
 
@@ -70,11 +89,20 @@ def encoder(path: str, engine: str):
 
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
+    if not splits_as_known(model):
+        return encoder(path, "tokenizers")
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
     coder = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coder.encode(text, allowed_special="all")
+        except ValueError:  # the matcher's stack is bounded
+            return encoder(path, "tokenizers")(text)
+
+    return encode
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from orbweave.llm import exact_dedup, katz, minhash, mixing, ngram_jaccard, packing, resampling, substring_dedup, toxicity, url_filter
 
 QUERIES = {
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op9_importance_resampling": resampling.op9_importance_resampling,
     "op10_katz_scores": katz.op10_katz_scores,
-    "pipeline": corpus_pipeline.run,
+    "minhash_components": minhash.query_minhash_components,
 }
 
 ORACLES = {

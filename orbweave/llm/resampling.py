@@ -1,27 +1,30 @@
 """Quality filter by importance resampling with hashed n-gram models.
 
 A bag of hashed word and word-pair features is modelled for the target (texts labelled
-good) and for the raw corpus. A document's log importance weight is the sum over its
-features of ``log p_target - log p_raw``; adding Gumbel noise and taking the ``k``
-highest keys samples without replacement in proportion to the weights, raised to the
-power ``1 / temperature``.
+good) and for the raw corpus. The log ratio ``log p_target - log p_raw`` of a document's
+features, taken per feature, is its evidence; a whole sum would span hundreds of units
+and leave nothing to sampling. Two calibrated numbers turn the evidence into a log
+importance weight, the log odds that a text of the corpus is a target text. Gumbel noise
+is added to the log weights and the ``k`` highest keys are kept, which samples without
+replacement in proportion to the weights (to their power ``1 / temperature``).
 
 Features: lower-cased runs of letters and digits and runs of other signs, and pairs of
 neighbours; a word that repeats the word before it counts as one common feature of
-repetition, so that stuttering is seen whatever the word.
+repetition, so that stuttering is seen whatever the word. ``PRIOR`` neutral features are
+added to every text, so that a handful of rare words says little.
 
 The raw model counts every feature of every document; counts are summed per task over
 ``BUCKETS`` fixed buckets, so the model's size does not grow. The target model and the
-threshold come from at most ``LABELLED`` labelled rows of each class, taken by hash
+calibration come from at most ``LABELLED`` labelled rows of each class, taken by hash
 order; rows whose crc32(doc_id) mod 5 is 0 are left out of the fit to measure on, and
-good rows where it is 1 set the threshold alone, as the target model favours its own. ``k``
-is the number of documents whose weight reaches the threshold that best tells the
-labelled classes apart, where rejecting a good document costs ``CLEAN_COST`` times as
-much as keeping a bad one.
-
-Defined cases: null text counts as empty; an empty text has no features, weight 0 and
-is judged by that; rows tied at the k-th key are all kept; without labels of both
-classes every document is kept; an empty table gives an empty result.
+good rows where it is 1 calibrate alone, as the target model favours its own. In the
+calibration a good document counts ``CLEAN_COST`` times as much as a bad one. ``k`` is a
+parameter; left out, it is the sum of all documents' probabilities of being a target text.
+
+Defined cases: null text counts as empty; an empty text has no features and evidence 0;
+rows that share an id share their noise; rows tied at the k-th key are all kept; without
+labels of both classes every document is kept; an empty table gives an empty result;
+other columns of the input pass through the filter and are otherwise ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from orbweave.llm.logistic import fit_logistic
 from orbweave.llm.words import M1, mix, slices
 from orbweave.plans.workspace import Workspace
 
 BUCKETS = 1 << 14
 LABELLED = 10_000
 CLEAN_COST = 20.0
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
+PRIOR = 8
 SEED = np.uint64(0x5EED)
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 REPEAT = 0
@@ -102,66 +107,81 @@ def log_ratio(total: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((total + 1) / (total.sum() + BUCKETS))
 
 
-def keyed(ids: list[int | None], texts: list[str | None], ratio: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log weights and Gumbel keys; the noise is a hash of the id."""
-    weight = np.array([ratio[features(t)].sum() for t in texts], dtype=float).reshape(len(texts))
+def evidence(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
+    """Per text the log ratio of its features, averaged with ``PRIOR`` neutral ones."""
+    each = [features(t) for t in texts]
+    return np.array([ratio[f].sum() / (len(f) + PRIOR) for f in each], dtype=float).reshape(len(texts))
+
+
+def gumbel(ids: list[int | None]) -> np.ndarray:
+    """Standard Gumbel noise from a hash of the id."""
     h = mix(np.array([i or 0 for i in ids], dtype=np.int64).astype(np.uint64) * M1 + SEED)
     unit = ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
-    return weight, weight - temperature * np.log(-np.log(unit))
+    return -np.log(-np.log(unit))
 
 
 class Resampler:
-    """The fitted models, the threshold of the weights and that of the keys."""
+    """The fitted models, the calibration and the least key that is kept."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, temperature: float = TEMPERATURE, workspace: Workspace | None = None):
+    def __init__(
+        self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int | None = None, temperature: float = TEMPERATURE, workspace: Workspace | None = None
+    ):
         ws = workspace or Workspace(docs.sparkSession)
         self.temperature = temperature
         sample = labelled_sample(labels, labelled)
         aside = {i for i, q in sample.items() if q == 1 and zlib.crc32(str(i).encode()) % 5 == 1}
         self.ratio = log_ratio(*feature_counts(docs, {i: q for i, q in sample.items() if i not in aside}))
-        self.scores = ws.save(self.scored(docs), "weights")
-        self.threshold = self.best_threshold({i: q for i, q in sample.items() if q == 0 or i in aside} if aside else sample)
-        k = self.scores.where(F.col("log_weight") >= self.threshold).count()
+        self.drawn = ws.save(self._drawn(docs), "evidence")
+        self.offset, self.slope = self._calibrated({i: q for i, q in sample.items() if q == 0 or i in aside} if aside else sample, labels)
+        log_weight = F.lit(self.offset) + F.lit(self.slope) * F.col("evidence")
+        self.scores = self.drawn.select("doc_id", "evidence", log_weight.alias("log_weight"), (log_weight + temperature * F.col("noise")).alias("key"))
+        if not np.isfinite(self.offset):
+            self.key = -np.inf
+            return
+        if k is None:
+            k = round(self.scores.agg(F.sum(1 / (1 + F.exp(-F.col("log_weight"))))).first()[0] or 0)
         self.key = kth_largest(self.scores, "key", k)
 
-    def scored(self, docs: DataFrame) -> DataFrame:
-        ratio, temperature = self.ratio, self.temperature
+    def _drawn(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, evidence, noise`` of every row."""
+        ratio = self.ratio
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                weight, key = keyed(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ratio, temperature)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(key)], ["doc_id", "log_weight", "key"])
+                found, noise = evidence(batch.column(1).to_pylist(), ratio), gumbel(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(noise)], ["doc_id", "evidence", "noise"])
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, log_weight double, key double")
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, evidence double, noise double")
 
-    def best_threshold(self, sample: dict[int, int]) -> float:
-        """The weight that parts the labelled classes at the least cost."""
+    def _calibrated(self, sample: dict[int, int], labels: DataFrame) -> tuple[float, float]:
+        """Offset and slope of the log odds, from the labelled documents' evidence."""
+        everything = np.inf, 0.0
         if len(set(sample.values())) < 2:
-            return -np.inf
-        spark = self.scores.sparkSession
-        marks = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, quality int"))
-        rows = self.scores.join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min("log_weight").alias("w")).collect()
-        w = np.array([r["w"] for r in rows])
-        q = np.array([r["quality"] for r in rows])
-        order = np.argsort(w, kind="stable")
-        w, q = w[order], q[order]
-        # Cutting before i rejects the first i rows.
-        lost = np.concatenate([[0], np.cumsum(q == 1)]) / max(1, (q == 1).sum())
-        caught = np.concatenate([[0], np.cumsum(q == 0)]) / max(1, (q == 0).sum())
-        i = int(np.argmax(caught - CLEAN_COST * lost))
-        if i == 0:
-            return -np.inf
-        return float(w[i - 1] + w[i]) / 2 if i < len(w) else float(w[-1]) + 1.0
+            return everything
+        share = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+        marks = F.broadcast(self.drawn.sparkSession.createDataFrame(list(sample.items()), "doc_id long, quality int"))
+        rows = self.drawn.join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min("evidence").alias("x")).collect()
+        x, q = np.array([r["x"] for r in rows], float), np.array([r["quality"] for r in rows], int)
+        many = np.bincount(q, minlength=2)
+        if not many.all():
+            return everything
+        weight = np.array([share[0], share[1] * CLEAN_COST]) / many
+        unit = x.std() or 1.0
+        offset, slope = fit_logistic(x[:, None] / unit, q.astype(float), (weight / weight.sum() * len(q) / 2)[q])
+        return float(offset), float(slope / unit)
 
     def kept_rows(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` that the sample holds, with all their columns."""
-        ratio, temperature, least = self.ratio, self.temperature, self.key
+        if not np.isfinite(self.offset):
+            return docs
+        ratio, temperature, least, offset, slope = self.ratio, self.temperature, self.key, self.offset, self.slope
         at, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                _, key = keyed(batch.column(at).to_pylist(), batch.column(text).to_pylist(), ratio, temperature)
-                yield batch.filter(pa.array(key >= least))
+                key = offset + slope * evidence(batch.column(text).to_pylist(), ratio) + temperature * gumbel(batch.column(at).to_pylist())
+                # The same sum as in the table, but for the last bits.
+                yield batch.filter(pa.array(key >= least - 1e-9 * max(1.0, abs(least))))
 
         return docs.mapInArrow(run, docs.schema)
 

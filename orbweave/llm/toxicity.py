@@ -8,13 +8,17 @@ the clean state. Forward-backward gives each word's marginal; a document's score
 logistic function, fitted to the documents' labels, of the odds that any of its words is
 toxic and of how many are. Words above one half form the offending spans.
 
-The fit uses at most ``LABELLED`` documents of each class, taken by hash order, one of
-each family of likely copies; only rows whose crc32(doc_id) mod 5 is not 0. Every word
-of every whole text is scored.
+The fit uses at most ``LABELLED`` documents of each class, taken by hash order, with all
+words of their texts; only rows whose crc32(doc_id) mod 5 is not 0. They are gathered
+into one table in one pass. For the lexicon likely copies, documents that agree in
+``MINIMA`` MinHash values of their words, count as one family. Every word of every whole
+text is scored.
 
 Defined cases: null text counts as empty; a text without words gets the score of no
-toxic word; rows with a null id are scored, never learnt from and not held out; without
-both classes among the labels every score is 0; an empty table gives an empty result.
+toxic word; rows with a null id are scored, never learnt from and not held out; of rows
+that share a sampled id one text, the least by hash, is learnt from; without both classes
+among the labels every score is 0; an empty table gives an empty result; other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from orbweave.llm.words import slices, split_words
+from orbweave.llm.logistic import fit_logistic
+from orbweave.llm.words import M1, fingerprint, hash_words, mix, slices, split_words
+from orbweave.plans.workspace import Workspace
 
 BUCKETS, LENGTH = 1 << 18, 64
-LABELLED, SEGMENTS = 4000, 4
+LABELLED, MINIMA, EPOCHS = 4000, 3, 6
 EDGES = ".,;:!?\"'()[]{}<>%$*&#|-_«»¿¡"
 
 
@@ -107,7 +113,7 @@ def marginals(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndar
     return p, moves, log_z
 
 
-def fit_chain(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, epochs: int = 8, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def fit_chain(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and transitions by AdaGrad on the exact gradient.
 
     ``features(rows, length, 5)``, ``labels(rows, length)``.
@@ -156,25 +162,10 @@ def evidence(p: np.ndarray) -> tuple[float, float]:
     return float(np.clip(np.log(max(some, 1e-9)) - none, -20, 20)), float(np.log1p(p.sum()))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weighted ridge logistic regression with intercept, by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (weight * (y - p)) - ridge * beta
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        step = np.linalg.solve(h, g)
-        beta += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 class ToxicityModel:
     """A chain fitted to ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED):
+    def __init__(self, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, workspace: Workspace | None = None):
         known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
         share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -185,11 +176,18 @@ class ToxicityModel:
         self.weights, self.move, self.beta = np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(3)
         if not self.fitted:
             return
-        ids = docs.sparkSession.sparkContext.broadcast(sample)
-        lexicon = self._lexicon(docs, ids)
-        x, y, n = self._sequences(docs, ids, lexicon)
-        self.weights, self.move = fit_chain(x, y, n)
-        rows = [r for r in self.scored(docs, ids).select("doc_id", "odds", "amount").collect() if r["doc_id"] in sample]
+        spark = docs.sparkSession
+        ids = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, toxic int"))
+        chosen = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+        # Rows that share an id are merged map-side, so at most one text an id comes together.
+        once = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        once = (workspace or Workspace(spark)).save(once, "sample")
+        features, marks, lengths = self._sequences(once, self._lexicon(once))
+        self.fitted = len(features) > 0
+        if not self.fitted:
+            return
+        self.weights, self.move = fit_chain(features, marks, lengths)
+        rows = self.scored(once).select("doc_id", "odds", "amount").collect()
         truth = np.array([sample[r["doc_id"]] for r in rows], float)
         # The sample holds the classes evenly; the labels do not.
         many = Counter(truth.tolist())
@@ -197,55 +195,51 @@ class ToxicityModel:
         self.beta = fit_logistic(np.array([[r["odds"], r["amount"]] for r in rows]), truth, weight)
 
     @staticmethod
-    def _chosen(batches: Iterator[pa.RecordBatch], ids) -> Iterator[tuple[int, list[bytes]]]:
-        for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc in ids.value:
-                    yield ids.value[doc], split_words(text.as_py(), lower=True)
-
-    def _lexicon(self, docs: DataFrame, ids) -> frozenset[str]:
+    def _lexicon(sample: DataFrame) -> frozenset[str]:
         """Forms of at least 1 % of the toxic families and a fiftieth as often in clean ones."""
-        chosen = self._chosen
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for toxic, words in chosen(batches, ids):
-                each = {f for w in set(words) for f in forms(w)}
-                family = min((xxh3_64_intdigest(w) for w in set(words)), default=0) - (1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array([*each, ""]), pa.array([family] * (len(each) + 1)), pa.array([toxic] * (len(each) + 1))], ["form", "family", "toxic"])
-
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "form string, family long, toxic long")
-        counts = rows.groupBy("form", "family").agg(F.max("toxic").alias("toxic")).groupBy("form").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+            for batch in slices(batches):
+                for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words = set(split_words(text.as_py(), lower=True))
+                    each = [*{f for w in words for f in forms(w)}, ""]
+                    hashes = hash_words(list(words))
+                    least = [mix(hashes + np.uint64(k) * M1).min() for k in range(MINIMA)] if words else [np.uint64(0)]
+                    family = fingerprint(np.array(least))[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array([family] * len(each)), pa.array([toxic] * len(each), pa.int32())], ["form", "family", "toxic"])
+
+        rows = sample.select("toxic", "text").mapInArrow(run, "form string, family long, toxic int")
+        by_family = rows.groupBy("form", "family").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good"))
+        counts = by_family.groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         families = counts.where("form = ''").first()
         least = max(3, families["bad"] * 0.01) if families else 3
-        good = (F.col("n") - F.col("bad")) * 50 <= F.col("bad")
-        return frozenset(r["form"] for r in counts.where((F.col("bad") >= least) & good & (F.col("form") != "")).select("form").limit(20_000).collect())
+        return frozenset(r["form"] for r in counts.where((F.col("bad") >= least) & (F.col("good") * 50 <= F.col("bad")) & (F.col("form") != "")).select("form").collect())
 
-    def _sequences(self, docs: DataFrame, ids, lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At most ``SEGMENTS`` sequences of every chosen document, those with labels first."""
-        chosen = self._chosen
+    @staticmethod
+    def _sequences(sample: DataFrame, lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, labels and lengths of every sequence of every sampled document."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for toxic, words in chosen(batches, ids):
-                marks = [int(bool(toxic) and not lexicon.isdisjoint(forms(w))) for w in words]
-                starts = sorted(range(0, len(words), LENGTH), key=lambda k: (-sum(marks[k : k + LENGTH]), xxh3_64_intdigest(b" ".join(words[k : k + LENGTH]))))
-                for k in starts[:SEGMENTS]:
-                    part = words[k : k + LENGTH]
-                    flat = [f for w in part for f in feature_buckets(w)]
-                    yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.int32())), pa.array([marks[k : k + LENGTH]], pa.list_(pa.int32()))], ["features", "marks"])
-
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "features array<int>, marks array<int>").toArrow()
-        x, y = np.zeros((len(rows), LENGTH, 5), np.int32), np.zeros((len(rows), LENGTH))
-        n = np.zeros(len(rows), int)
-        order = sorted(range(len(rows)), key=lambda i: str(rows.column(0)[i].as_py()[:20]))
-        for at, i in enumerate(order):
-            marks = rows.column(1)[i].as_py()
-            n[at] = len(marks)
-            x[at, : n[at]] = np.array(rows.column(0)[i].as_py(), np.int32).reshape(-1, 5)
-            y[at, : n[at]] = marks
+            for batch in slices(batches):
+                for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words = split_words(text.as_py(), lower=True)
+                    marks = np.array([int(bool(toxic) and not lexicon.isdisjoint(forms(w))) for w in words], np.int8)
+                    flat = np.array([feature_buckets(w) for w in words], "<i4").reshape(-1, 5)
+                    cuts = range(0, len(words), LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array([a[k : k + LENGTH].tobytes() for k in cuts], pa.binary()) for a in (flat, marks)], ["features", "marks"])
+
+        rows = sample.select("toxic", "text").mapInArrow(run, "features binary, marks binary").toArrow()
+        order = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+        x, y = np.zeros((len(order), LENGTH, 5), np.int32), np.zeros((len(order), LENGTH), np.int8)
+        n = np.zeros(len(order), int)
+        for i, (features, marks) in enumerate(order):
+            n[i] = len(marks)
+            x[i, : n[i]] = np.frombuffer(features, "<i4").reshape(-1, 5)
+            y[i, : n[i]] = np.frombuffer(marks, np.int8)
         return x, y, n
 
-    def scored(self, docs: DataFrame, only=None) -> DataFrame:
-        """``doc_id, held_out, odds, amount, score, spans`` of every row, or of some ids."""
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, held_out, odds, amount, score, spans`` of every row."""
         weights, move, beta, fitted = self.weights, self.move, self.beta, self.fitted
         model = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -254,7 +248,7 @@ class ToxicityModel:
             names = ["doc_id", "held_out", "odds", "amount", "score", "spans"]
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             for batch in slices(batches, 256):
-                pairs = [(d, x.as_py()) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if only is None or d in only.value]
+                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
                 emitted = [emissions(split_words(t, lower=True), model.value, known) for _, t in pairs]
                 rows = []
                 for (doc, text), p in zip(pairs, document_marginals(emitted, move), strict=True):

@@ -66,6 +66,12 @@ def list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64, copy=False)))
 
 
+def rows_array(matrix: np.ndarray) -> pa.Array:
+    """An Arrow list<int64> column from the rows of a matrix."""
+    rows, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(matrix.ravel().astype(np.int64, copy=False)))
+
+
 def release() -> None:
     """Give memory that the allocators keep back to the system."""
     pa.default_memory_pool().release_unused()

@@ -142,6 +142,13 @@ def test_jaccard_on_awkward_rows(spark, docs):
     assert {7, None} <= {r["doc_id"] for r in kept.collect()} and 8 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(i, t, "en", "a", 1) for i, t in [(3, a), (5, a), (5, b), (9, b), (10, a + " z")]]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows), 3, 90, 100).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 10: 3}
+
+
 def test_prefixes_leave_a_common_token():
     for num in (50, 80, 90):
         for size in range(1, 300):
@@ -175,6 +182,26 @@ def test_fingerprints(spark, docs):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_signatures_of_unrelated_sets_differ_at_every_size():
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for size in (100, 1_000, 20_000, 100_000, 1_000_000):
+        x, y, both = draw(size // 2), draw(size // 2), draw(size)
+        assert minhash.alike(minhash.signature(x), minhash.signature(y)) < 0.05
+        half = minhash.alike(minhash.signature(np.append(both, x)), minhash.signature(np.append(both, y)))
+        assert abs(half - 0.5) < 0.15
+
+
+def test_fingerprints_follow_the_order_of_ids(spark):
+    rows = [(i, " ".join(f"w{i * k % 97}" for k in range(3 + i % 50)), "en", "a", 1) for i in range(0, 900, 3)]
+    got = {r["doc_id"]: r for r in minhash.fingerprint_table(frame(spark, rows).repartition(7)).collect()}
+    assert len(got) == len(rows)
+    for (i, t, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1], strict=True):
+        changed = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert got[i]["near_next"] == minhash.alike(minhash.text_signature(t), minhash.text_signature(after))
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
@@ -238,6 +265,30 @@ def test_toxicity_on_awkward_rows(spark, docs, labels):
 # Packing
 
 
+def test_packing_of_long_white_space(spark):
+    fast, slow = (packing.encoder(packing.default_tokenizer(), e) for e in ("tiktoken", "tokenizers"))
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000):
+        assert list(fast(text)) == list(slow(text))
+    docs = frame(spark, [(1, " " * 1_500_000, "en", "a", 1)])
+    assert packing.pack(docs).agg(F.sum("length")).first()[0] == len(slow(" " * 1_500_000)) + 1
+
+
+def test_other_tokenizer_files_are_left_to_their_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "Some words, THREE times 12 of them."
+    assert list(packing.encoder(path, "tiktoken")(text)) == list(packing.encoder(path, "tokenizers")(text))
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_packing_under_three_binding_capacities(spark, score):
+    docs = frame(spark, [(i, "word " * (1 + i * 37 % 90), "en", "a", 1) for i in range(120)])
+    out = packing.pack(docs, capacity=200, max_documents=4, max_attention=15_000, score=score)
+    bins = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum(F.col("length") * F.col("length")).alias("cost")).collect()
+    assert max(r["n"] for r in bins) <= 200 and max(r["k"] for r in bins) == 4 and 14_000 < max(r["cost"] for r in bins) <= 15_000
+
+
 def test_packing_is_an_exact_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -400,6 +451,23 @@ def test_substring_dedup_equals_brute_force(spark, docs):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_by_themselves(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"{p} one"), (5, f"{p} two two"), (5, f"start {p} three four five"), (7, f" {p}\ttwo two "), (7, p.upper())]
+    got = substring_dedup.substring_dedup(frame(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+    kept = {hashlib.sha256(t.encode()).hexdigest(): t for t in ("two two", "start three four five", f"{p} one", "", p.upper())}
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], kept[r["kept_sha256"]]) for r in got) == [
+        (1, 61, 0, f"{p} one"), (5, 62, 60, "two two"), (5, 64, 60, "start three four five"), (7, 60, 0, p.upper()), (7, 62, 62, "")
+    ]
+
+
+def test_window_marks_do_not_depend_on_the_place():
+    words = [f"w{k}".encode() for k in range(300)]
+    h, g = hash_words(words), hash_words([b"x"] * 17 + words)
+    for x, y in zip(substring_dedup.window_marks(h, 50), substring_dedup.window_marks(g, 50), strict=True):
+        assert len(x) == 251 and (x == y[17:]).all() and len(np.unique(x)) == 251
+
+
 def test_anchors_are_sliding_minima():
     x = np.random.default_rng(0).integers(0, 1 << 62, 200).astype(np.uint64)
     for span in (1, 2, 5, 43):
@@ -460,6 +528,37 @@ def test_resampling_keeps_clean_documents(spark):
     assert kept == {i for i in range(600) if i % 5}
 
 
+def test_resampling_keeps_the_highest_keys(spark):
+    rng = np.random.default_rng(2)
+    rows, marks = [], []
+    for i in range(800):
+        w = [f"{'gb'[int(rng.random() < i / 800)]}{k}" for k in rng.integers(0, 40, 30)]
+        rows.append((i, " ".join(w), "en", "a", 1))
+        marks.append((i, int(i < 400), 0))
+    df, lab = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = resampling.Resampler(df, lab, k=300)
+    got = sorted(map(tuple, model.scores.collect()))
+    total, target = np.zeros(resampling.BUCKETS), np.zeros(resampling.BUCKETS)
+    for i, t, *_ in rows:
+        counts = np.bincount(resampling.features(t), minlength=resampling.BUCKETS)
+        total += counts
+        target += counts * (i < 400 and zlib.crc32(str(i).encode()) % 5 > 1)
+    ratio = np.log((target + 1) / (target.sum() + resampling.BUCKETS)) - np.log((total + 1) / (total.sum() + resampling.BUCKETS))
+    x = np.array([ratio[resampling.features(t)].sum() / (len(resampling.features(t)) + resampling.PRIOR) for _, t, *_ in rows])
+    weight = model.offset + model.slope * x
+    key = weight + resampling.gumbel(list(range(800)))
+    assert np.allclose([r[1:] for r in got], np.stack([x, weight, key], axis=1))
+    kept = {r["doc_id"] for r in model.kept_rows(df).collect()}
+    assert kept == set(np.argsort(-key)[:300].tolist()) and kept != set(np.argsort(-weight)[:300].tolist())
+
+
+def test_gumbel_keys_sample_by_weight():
+    weight = np.repeat([0.0, np.log(2), np.log(4)], 20_000)
+    kept = np.argsort(-(weight + resampling.gumbel(list(range(60_000)))))[:3000]
+    shares = np.bincount(kept // 20_000, minlength=3) / 3000
+    assert np.allclose(shares, [1 / 7, 2 / 7, 4 / 7], atol=0.03)
+
+
 def test_resampling_on_awkward_rows(spark, docs, labels):
     kept = resampling.resampled_documents(clashing(docs), labels)
     assert kept.columns == clashing(docs).columns and 0 < kept.count() <= docs.count()
@@ -493,12 +592,11 @@ def test_katz_scores_equal_brute_force(spark, monkeypatch, head):
     r1 = katz.discounts(Counter(real.values()))
     kept = sum(c * r1.get(c, 1) for c in real.values())
     lower = lambda w: real[w] * r1.get(real[w], 1) / total if w in real else 1 - kept / total
-    r2 = katz.discounts(Counter(two.values()), least=2)
+    r2 = katz.discounts(Counter(two.values()))
     mass = Counter()
     for (h, _), c in two.items():
-        if c > 1:
-            mass[h] += c * r2.get(c, 1)
-    seen = {(h, w): c * r2.get(c, 1) / (one[h] + (mass[h] > one[h] - 1e-6)) for (h, w), c in two.items() if c > 1}
+        mass[h] += c * r2.get(c, 1)
+    seen = {(h, w): c * r2.get(c, 1) / (one[h] + (mass[h] > one[h] - 1e-6)) for (h, w), c in two.items()}
     used, under = Counter(), Counter()
     for (h, w), p in seen.items():
         used[h] += p
@@ -514,6 +612,13 @@ def test_katz_scores_equal_brute_force(spark, monkeypatch, head):
         assert math.isclose(r["score"], sum(math.log10(p_of(h, x)) for h, x in zip(w, w[1:], strict=False)), rel_tol=1e-9)
 
 
+def test_katz_head_is_bounded_at_every_count(spark):
+    table = spark.createDataFrame([(k, 20_000 + k * 7) for k in range(50)] + [(100 + k, 3) for k in range(9)], "word long, n long")
+    for limit in (3, 20, 55):
+        head = katz.Head(table, "word", ["n"], limit=limit)
+        assert len(head.keys) <= limit and set(head.values["n"]) == {n for n in (r["n"] for r in table.collect()) if n >= head.least}
+
+
 def test_katz_on_awkward_rows(spark, docs):
     got = katz.KatzModel(clashing(docs)).scores(clashing(docs)).collect()
     rows = awkward()
