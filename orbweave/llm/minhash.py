@@ -73,8 +73,8 @@ def alike(x: np.ndarray, y: np.ndarray) -> float:
     return float((x == y).mean())
 
 
-def as_string(x: np.ndarray) -> str:
-    return x.astype(">u2").tobytes().hex()
+def as_bytes(x: np.ndarray) -> bytes:
+    return x.astype(">u2").tobytes()
 
 
 def edited_text(text: str, following: str) -> str:
@@ -83,8 +83,9 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Digests and fingerprints travel as bytes and become text last.
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 NAMES = [f.split()[0] for f in RESULT.split(", ")]
 
 
@@ -93,8 +94,8 @@ def _compared(own: tuple, following: tuple, n: int) -> tuple:
     doc, text, mark = own
     changed = edited_text(text, following[1])
     other = text_signature(changed, n)
-    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc, len(text), digest, as_string(mark), as_string(other), alike(mark, other), alike(mark, following[2])
+    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest()
+    return doc, len(text), digest, as_bytes(mark), as_bytes(other), alike(mark, other), alike(mark, following[2])
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -150,7 +151,8 @@ def fingerprint_table(docs: DataFrame, n: int = SHINGLE, workspace: Workspace |
     ends = done.where("not first").select("part", "doc_id", "text").join(following, "part")
     heads = done.where("first").select(F.col("part").alias("next"), F.col("text").alias("head"))
     last = ends.join(heads, "next").select("doc_id", "text", "head").mapInArrow(closing, RESULT)
-    return done.where("first is null").select(*NAMES).union(last)
+    out = done.where("first is null").select(*NAMES).union(last)
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
