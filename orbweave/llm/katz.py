@@ -49,7 +49,7 @@ CUT = 5
 HEAD = 1 << 20
 BITS = 1 << 26
 #: Tokens that a task gathers before it merges them, and tokens of one partition, about.
-CHUNK, PART = 1_000_000, 1_000_000
+CHUNK, PART = 600_000, 700_000
 #: Share of all tokens above which a history's pairs are cut by their second word too.
 HOT = 1 / 2000
 BEGIN, END = np.uint64(xxh3_64_intdigest(b"\x00begin")), np.uint64(xxh3_64_intdigest(b"\x00end"))
@@ -121,6 +121,8 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
             n = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
             for k in range(0, len(word), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(word[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["word", "n"])
+            del words, counts, word, where, n
+            release()
 
     sent = docs.mapInArrow(run, "part int, words array<long>, ns array<long>")
     return sent.repartition(parts, "part").mapInArrow(merge, "word long, n long")
@@ -181,7 +183,8 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
         del firsts, seconds, counts
         order = np.lexsort((second, first))
         first, second, n = first[order], second[order], n[order]
-        del order
+        del order, batch, f, r, s, c
+        release()
         starts = _starts(first, second)
         asked = np.logical_or.reduceat(n == 0, starts)
         first, second, n = first[starts], second[starts], np.add.reduceat(n.astype(np.int64), starts)
@@ -207,6 +210,8 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [pa.array(first[part]), pa.array(second[part]), pa.array(n[part]), pa.array(of[part], mask=~here[part]), pa.array(keep[part]), lists, pa.nulls(len(lists), pa.int64()), lists], names
             )
+        del first, second, n, of, here, keep, place, asked
+        release()
 
     sent = docs.mapInArrow(run, "part int, firsts array<long>, runs array<int>, seconds array<long>, ns array<int>")
     return sent.repartition(parts, "part").mapInArrow(merge, "first long, second long, n long, n_second long, keep boolean, kinds array<long>, big long, of_head array<long>")
