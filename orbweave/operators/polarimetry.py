@@ -83,6 +83,28 @@ def averaged(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return matrix.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in names])
 
 
+def kennaugh(keys: list[str]) -> list[Column]:
+    """Upper triangle ``k11, k12, ...`` of the real 4 x 4 power matrix of a target."""
+    hh, hv, vh, vv = map(channel, ("hh", "hv", "vh", "vv"))
+    cross = hv - vh
+    w = [hh + vv, hh - vv, hv + vh, Complex(cross.im, -cross.re)]
+    return [*map(F.col, keys), *[((w[i] * w[j].conj()).re / 4).alias(f"k{i + 1}{j + 1}") for i in range(4) for j in range(i, 4)]]
+
+
+PAULI_NAMES = ("surface", "double_bounce", "volume")
+
+
+def pauli_of_coherency() -> dict[str, Column]:
+    """Pauli magnitudes from the diagonal of a coherency matrix; phase is lost."""
+    return {n: F.sqrt(F.greatest(F.col(f"t{k}{k}"), F.lit(0.0))) for k, n in enumerate(PAULI_NAMES, 1)}
+
+
+def pauli_of_covariance() -> dict[str, Column]:
+    """Pauli magnitudes from a covariance matrix."""
+    half, cross = (F.col("c11") + F.col("c33")) / 2, F.col("c13_re")
+    return {n: F.sqrt(F.greatest(x, F.lit(0.0))) for n, x in zip(PAULI_NAMES, (half + cross, half - cross, F.col("c22")), strict=True)}
+
+
 def stokes(x: str, y: str) -> dict[str, Column]:
     a, b = channel(x), channel(y)
     c = a * b.conj()

@@ -136,6 +136,33 @@ def density_stretch(pixels: DataFrame, dmin: float = 30.0, mmult: float = 40.0,
     return _by_image(pixels, s, F.when(F.col("mean") == 0, F.lit(0.0)).otherwise(unit_clip(n)))
 
 
+#: Presets of :func:`density_stretch`.
+DENSITY_PRESETS = {"brighter": {"dmin": 60.0}, "darker": {"dmin": 0.0}, "high_contrast": {"mmult": 4.0}}
+
+
+def graze_stretch(pixels: DataFrame, graze_deg: float, slope_deg: float, weighting: str = "uniform", eps: float = 1e-5) -> DataFrame:
+    """Density between cutoffs that depend on the graze angle and on how far mean and median lie apart.
+
+    The constants are fixed values of the published remap.
+    """
+    tilt = math.sin(math.radians(graze_deg)) / math.cos(math.radians(slope_deg))
+    c3, w1, w2, w5 = {"uniform": 1.23}.get(weighting, 1.33), 0.77, -0.0422, -1.95
+    s = pixels.groupBy("image_id").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"))
+    first = F.col("median") * w1
+    last = F.col("median") * F.pow(F.lit(10.0), F.log10(F.col("median") / F.col("mean")) * w5 + (c3 + w2 * tilt))
+    spread = F.log10(last / first) * 20
+    beta = F.pow(F.lit(10.0), F.when(spread < 24, spread - 24).when(spread > 40, spread - 40).otherwise(0.0) / 40)
+    low, high = first * beta, last / beta
+    slope = F.lit(255.0 - 30.0) / F.log10(high / low)
+    density = slope * F.log10(F.greatest(F.abs("value"), F.lit(eps))) + (F.lit(30.0) - slope * F.log10(low))
+    return _by_image(pixels, s, unit_clip(density / 255))
+
+
+def recommended_contrast(modality: Column) -> Column:
+    """Name of the contrast operator that suits a kind of imagery; unknown kinds get the safe one."""
+    return F.when(F.upper(modality) == "SAR", "brighter").when(F.upper(modality) == "EO", "gamma").otherwise("percentile")
+
+
 def histogram_equalize(pixels: DataFrame, bins: int = 256) -> DataFrame:
     """Values mapped through the cumulative histogram, linear between bin centres."""
     s = pixels.groupBy("image_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
@@ -362,9 +389,28 @@ def ordered_statistic(pixels: DataFrame, training: int = 3, percent: float = 75.
     return neighbours(pixels, training).withColumn("threshold", limit).withColumn("hit", F.col("value") > F.col("threshold")).drop("window")
 
 
+def quadrant_detector(pixels: DataFrame, which: str, guard: int = 1, training: int = 3, pfa: float = 1e-3, assumption: str = "gaussian") -> DataFrame:
+    """Adds ``threshold`` and ``hit`` with the greatest (``go``) or smallest (``so``) corner mean as background.
+
+    The spread is that of the whole ring.
+    """
+    k = false_alarm_factor(pfa, guard, training, assumption)
+    ring = annular_stats(pixels, guard, training).drop("mean")
+    fold = {"go": F.greatest, "so": F.least}[which]
+    out = quadrant_means(ring, guard, training).withColumn("mean", fold("q1", "q2", "q3", "q4")).drop("q1", "q2", "q3", "q4")
+    limit = F.col("mean") + F.col("std") * k if assumption == "gaussian" else F.col("mean") * k
+    return out.withColumn("threshold", limit).withColumn("hit", F.col("value") > F.col("threshold"))
+
+
+def _pixel(row: Column, col: Column) -> Column:
+    """A pixel's number: images in order, then 2**20 lines of 2**20 pixels; exact in 38 digits."""
+    whole = F.col("image_id").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)")
+    return (whole + (row.cast("long") * (1 << 20) + col.cast("long")).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def pixel_edges(hits: DataFrame) -> DataFrame:
     """``a, b`` between hits that touch along a row or a column; ids join image, row and column."""
-    node = lambda r, c: F.col("image_id") * (1 << 40) + r.cast("long") * (1 << 20) + c.cast("long")
+    node = _pixel
     right = Window.partitionBy("image_id", "row").orderBy("col")
     down = Window.partitionBy("image_id", "col").orderBy("row")
     rows = hits.withColumn("a", node(F.col("row"), F.col("col")))
@@ -378,8 +424,7 @@ def label_hits(hits: DataFrame, workspace) -> DataFrame:
     from orbweave.plans.components import connected_components
 
     found = connected_components(pixel_edges(hits), workspace)
-    node = F.col("image_id") * (1 << 40) + F.col("row").cast("long") * (1 << 20) + F.col("col").cast("long")
-    return hits.withColumn("_id", node).join(found, F.col("_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "_id")).drop("_id", "node", "component")
+    return hits.withColumn("_id", _pixel(F.col("row"), F.col("col"))).join(found, F.col("_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "_id")).drop("_id", "node", "component")
 
 
 def detections(labelled: DataFrame, min_pixels: int = 1) -> DataFrame:

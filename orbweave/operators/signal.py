@@ -170,3 +170,97 @@ def eigen_entropy(matrices: DataFrame, keys: list[str]) -> DataFrame:
             yield pdf[keys].assign(entropy=np.clip(entropy, 0, 1), alpha=alpha, anisotropy=(values[:, 1] - values[:, 2]) / np.where(low > 0, low, 1))
 
     return matrices.select(*keys, *names).mapInPandas(run, schema)
+
+
+def kaiser_weight(half: int, beta: float = 5.0) -> Callable[[Column], Column]:
+    """Sinc under a Kaiser window; the Bessel function is its power series."""
+    terms = [1 / math.factorial(k) ** 2 for k in range(24)]
+    whole = sum(c * (beta * beta / 4) ** k for k, c in enumerate(terms))
+
+    def weight(d: Column) -> Column:
+        y = F.greatest(1 - d * d / float(half * half), F.lit(0.0)) * (beta * beta / 4)
+        series = F.lit(0.0)
+        for c in reversed(terms):
+            series = series * y + c
+        return F.when(F.abs(d) <= half, sinc(d) * series / whole).otherwise(0.0)
+
+    return weight
+
+
+def thiran_coefficients(delay: float, order: int) -> np.ndarray:
+    """Denominator of the all-pass filter that delays by ``delay`` samples with a flat group delay."""
+    if delay < order - 0.5:
+        raise ValueError(f"a filter of order {order} needs a delay of at least {order - 0.5}")
+    out = [1.0]
+    for k in range(1, order + 1):
+        parts = [(delay - order + n) / (delay - order + k + n) for n in range(order + 1)]
+        out.append((-1) ** k * math.comb(order, k) * math.prod(parts))
+    return np.array(out)
+
+
+def thiran_delay(samples: DataFrame, delay: float, order: int = 3) -> DataFrame:
+    """``key, t, value`` delayed by a fraction of a sample and whole samples.
+
+    The filter feeds back, so a signal is one group; it is zero before its first sample.
+    """
+    whole = max(int(math.floor(delay)) - order, 0)
+    a = thiran_coefficients(delay - whole, order)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = pdf["value"].to_numpy(float)
+        fed = np.convolve(x, a[::-1])[: len(x)]
+        y = np.zeros(len(x))
+        for n in range(len(x)):
+            back = y[max(0, n - order) : n][::-1]
+            y[n] = fed[n] - back @ a[1 : len(back) + 1]
+        return pdf[["key", "t"]].assign(value=np.concatenate([np.zeros(whole), y])[: len(x)])
+
+    kinds = dict(samples.dtypes)
+    return samples.select("key", "t", "value").groupBy("key").applyInPandas(run, f"key {kinds['key']}, t {kinds['t']}, value double")
+
+
+def spline_values(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through four or more points whose third derivative is even at the second and last but one."""
+    h = np.diff(t)
+    slope = np.diff(y) / h
+    n = len(t)
+    right = 6 * np.diff(slope)
+    low, mid, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    mid[0] += h[0] * (1 + h[0] / h[1])
+    high[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] * (1 + h[-1] / h[-2])
+    low[-1] -= h[-1] ** 2 / h[-2]
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        right[i] -= f * right[i - 1]
+    m = np.zeros(n)
+    m[n - 2] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (right[i] - high[i] * m[i + 2]) / mid[i]
+    m[0] = m[1] + (m[1] - m[2]) * h[0] / h[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * h[-1] / h[-2]
+    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+    a, b = (t[i + 1] - at) / h[i], (at - t[i]) / h[i]
+    return a * y[i] + b * y[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h[i] ** 2 / 6
+
+
+def orbit_spline(vectors: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``key, t`` and ``columns`` at the wanted times of each track ``vectors(key, t, ...)``.
+
+    Positions, velocities and quaternions alike; tracks of fewer than four vectors raise.
+    A track is one group: its curve depends on all of its vectors.
+    """
+
+    def run(track: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return asked.assign(**{c: [] for c in columns})[["key", "t", *columns]]
+        if len(track) < 4:
+            raise ValueError("a track needs at least four vectors")
+        track = track.sort_values("t")
+        return asked[["key", "t"]].assign(**{c: spline_values(track["t"].to_numpy(float), track[c].to_numpy(float), asked["t"].to_numpy(float)) for c in columns})
+
+    kinds = dict(vectors.dtypes)
+    schema = f"key {kinds['key']}, t double, " + ", ".join(f"{c} double" for c in columns)
+    return vectors.groupBy("key").cogroup(wanted.select("key", F.col("t").cast("double")).groupBy("key")).applyInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import raster as R
 from orbweave.plans.workspace import Workspace
 from orbweave.queries.common import r6
-from orbweave.sources.views import PIXELS, load, oracle
+from orbweave.sources.views import PIXELS, SCANS, load, oracle
 
 
 def px(spark, sf):
@@ -82,6 +82,24 @@ def contrast_pedf(spark, sf):
     return out(R.density_stretch(px(spark, sf), compress=True))
 
 
+def _preset(name):
+    def run(spark, sf):
+        return out(R.density_stretch(px(spark, sf), **R.DENSITY_PRESETS[name]))
+
+    return run
+
+
+contrast_brighter, contrast_darker, contrast_high = map(_preset, ("brighter", "darker", "high_contrast"))
+
+
+def contrast_gdm(spark, sf):
+    return out(R.graze_stretch(px(spark, sf).withColumn("value", F.abs("value")), 30.0, 5.0))
+
+
+def contrast_auto(spark, sf):
+    return load(spark, sf, SCANS).select("filepath", R.recommended_contrast(F.col("modality")).alias("operator"))
+
+
 def contrast_histeq(spark, sf):
     return out(R.histogram_equalize(px(spark, sf), 64))
 
@@ -172,8 +190,9 @@ def cfar_os(spark, sf):
 
 
 def cfar_detect(spark, sf):
-    hits = px(spark, sf).where("value > 0.15")
-    return R.detections(R.label_hits(hits, Workspace(spark)), 2).select("image_id", "label", "pixels", r6("mean_value").alias("mean_value"), "min_row", "max_row", "min_col", "max_col")
+    """Cell averaging, then connected hits of at least two pixels."""
+    hits = R.cell_averaging(px(spark, sf), 1, 2, 0.2).where("hit").select("image_id", "row", "col", "value")
+    return R.detections(R.label_hits(hits, Workspace(spark)), 2).select("image_id", F.col("label").cast("long").alias("label"), "pixels", r6("mean_value").alias("mean_value"), "min_row", "max_row", "min_col", "max_col")
 
 
 def _asked(spark, sf, fr, fc):
@@ -222,7 +241,7 @@ DENSITY = "WITH s AS (SELECT image_id, avg(abs(value)) AS mean FROM px GROUP BY
 MAD = "WITH a AS (SELECT image_id, median(value) AS median FROM px GROUP BY image_id), b AS (SELECT image_id, any_value(median) AS median, median(abs(value - median)) AS mad FROM px JOIN a USING (image_id) GROUP BY image_id)"
 GAUSS = "exp(-0.5 * (dr * dr + dc * dc) / 0.49::DOUBLE)"
 ASKED = "w AS (SELECT image_id, row * 64 + col AS id, row * 0.9::DOUBLE + 0.3::DOUBLE AS r, col * 0.95::DOUBLE + 0.6::DOUBLE AS c FROM px)"
-HITS = "h AS MATERIALIZED (SELECT *, image_id * 1099511627776 + row * 1048576 + col AS id FROM px WHERE value > 0.15), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.image_id = b.image_id AND ((a.row = b.row AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a.row - b.row) = 1)))"
+HITS = "h AS MATERIALIZED (SELECT *, image_id * 1099511627776 + row * 1048576 + col AS id FROM hp WHERE hit), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.image_id = b.image_id AND ((a.row = b.row AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a.row - b.row) = 1)))"
 
 ORACLES = {
     "stats_moments": oracle("SELECT image_id, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS least, round(max(value), 6) AS most, round(sqrt(sum(value * value)), 6) AS l2_norm FROM px GROUP BY image_id", **P),
@@ -241,6 +260,9 @@ ORACLES = {
     "contrast_sigmoid": map_sql(CUT.format(x=f"(1 / (1 + exp(-8 * ({CUT.format(x='value')} - 0.5))) - 1 / (1 + exp(4::DOUBLE))) / (1 / (1 + exp(-4::DOUBLE)) - 1 / (1 + exp(4::DOUBLE)))")),
     "contrast_nrl": oracle(f"WITH {ABS}, s AS (SELECT image_id, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.99) AS t FROM ap GROUP BY image_id) SELECT image_id, row, col, round(CASE WHEN lo = hi THEN 0 WHEN value <= t THEN CASE WHEN t > lo THEN 0.8::DOUBLE * {CUT.format(x='(value - lo) / (t - lo)')} ELSE 0 END WHEN t = hi THEN 0.8 ELSE log2((value - t) / (hi - t) + 1) * (1 - 0.8::DOUBLE) + 0.8 END, 6) + 0.0 AS value FROM ap JOIN s USING (image_id)", **P),
     "contrast_mangis": oracle(DENSITY.format(n=CUT.format(x="n")), **P),
+    **{f"contrast_{n}": oracle(DENSITY.replace("(255 - 30)", f"(255 - {d})").replace("+ 30 -", f"+ {d} -").replace("40::DOUBLE", f"{m}::DOUBLE").format(n=CUT.format(x="n")), **P) for n, d, m in (("brighter", 60, 40), ("darker", 0, 40), ("high", 30, 4))},
+    "contrast_gdm": oracle(f"WITH {ABS}, s AS (SELECT image_id, avg(value) AS mean, median(value) AS med FROM ap GROUP BY image_id), c AS (SELECT image_id, med * 0.77::DOUBLE AS a, med * pow(10::DOUBLE, 1.23::DOUBLE - 0.0422::DOUBLE * sin(radians(30)) / cos(radians(5)) - 1.95::DOUBLE * log10(med / mean)) AS b FROM s), r AS (SELECT *, 20 * log10(b / a) AS r FROM c), f AS (SELECT image_id, a * beta AS lo, b / beta AS hi FROM (SELECT *, pow(10::DOUBLE, CASE WHEN r < 24 THEN (r - 24) / 40 WHEN r > 40 THEN (r - 40) / 40 ELSE 0 END) AS beta FROM r)), k AS (SELECT image_id, row, col, (225 / log10(hi / lo) * (log10(greatest(value, 1e-5)) - log10(lo)) + 30) / 255 AS n FROM ap JOIN f USING (image_id)) SELECT image_id, row, col, round({CUT.format(x='n')}, 6) + 0.0 AS value FROM k", **P),
+    "contrast_auto": oracle("SELECT filepath, CASE upper(coalesce(modality, '')) WHEN 'SAR' THEN 'brighter' WHEN 'EO' THEN 'gamma' ELSE 'percentile' END AS operator FROM scans", scans=SCANS),
     "contrast_pedf": oracle(DENSITY.format(n=CUT.format(x="CASE WHEN n > 0.5 THEN 0.5 * (n + 0.5) ELSE n END")), **P),
     "contrast_histeq": oracle("WITH s AS (SELECT image_id, min(value) AS lo, max(value) AS hi, count(*) AS total FROM px GROUP BY image_id), c AS (SELECT image_id, least(floor((value - lo) / ((hi - lo) / 64)), 63)::INT AS bin, count(*) AS n FROM px JOIN s USING (image_id) GROUP BY ALL), g AS (SELECT image_id, unnest(range(64)) AS bin FROM s), f AS (SELECT g.image_id, g.bin, sum(coalesce(n, 0)) OVER (PARTITION BY g.image_id ORDER BY g.bin) AS c FROM g LEFT JOIN c USING (image_id, bin)), k AS (SELECT image_id, row, col, total, least(greatest((value - lo) / ((hi - lo) / 64) - 0.5, 0), 63) AS pos FROM px JOIN s USING (image_id)) SELECT k.image_id, row, col, round((a.c + (coalesce(b.c, a.c) - a.c) * (pos - floor(pos))) / total, 6) + 0.0 AS value FROM k JOIN f a ON a.image_id = k.image_id AND a.bin = floor(pos) LEFT JOIN f b ON b.image_id = k.image_id AND b.bin = floor(pos) + 1", **P),
     "percentile_stretch": norm_sql(P2, f"{P98} - {P2}", "least(greatest(value, a), a + b)"),
@@ -263,7 +285,7 @@ ORACLES = {
     "cfar_ca": oracle(f"WITH {around(2)}, s AS (SELECT image_id, row, col, x, avg(v) AS mean, stddev_pop(v) AS std FROM n WHERE abs(dr) > 1 OR abs(dc) > 1 GROUP BY ALL) SELECT image_id, row, col, round(mean + 1.6448536269514722::DOUBLE * std, 4) + 0.0 AS threshold, x > mean + 1.6448536269514722::DOUBLE * std AS hit FROM s", **P),
     "cfar_exponential": oracle(f"WITH {ABS}, {around(2, 'ap')}, s AS (SELECT image_id, row, col, x, avg(v) * 16 * (pow(0.1::DOUBLE, -1 / 16::DOUBLE) - 1) AS t FROM n WHERE abs(dr) > 1 OR abs(dc) > 1 GROUP BY ALL) SELECT image_id, row, col, round(t, 4) + 0.0 AS threshold, x > t AS hit FROM s", **P),
     "cfar_os": oracle(f"WITH {ABS}, {around(1, 'ap')}, s AS (SELECT image_id, row, col, x, list_sort(list(v))[7] * 1.2::DOUBLE AS t FROM n GROUP BY ALL) SELECT image_id, row, col, round(t, 6) + 0.0 AS threshold, x > t AS hit FROM s", **P),
-    "cfar_detect": oracle(f"WITH {HITS}, r AS (SELECT id AS n, id AS m FROM h UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a WHERE e.b < r.m OR true), c AS (SELECT n, min(m) AS label FROM r GROUP BY n) SELECT image_id, label, count(*) AS pixels, round(avg(value), 6) + 0.0 AS mean_value, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col FROM c JOIN h ON h.id = c.n GROUP BY image_id, label HAVING count(*) >= 2", **P),
+    "cfar_detect": oracle(f"WITH {around(2)}, hp AS (SELECT image_id, row, col, x AS value, x > avg(v) + 0.8416212335729143::DOUBLE * stddev_pop(v) AS hit FROM n WHERE abs(dr) > 1 OR abs(dc) > 1 GROUP BY image_id, row, col, x), {HITS}, r AS (SELECT id AS n, id AS m FROM h UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a WHERE e.b < r.m OR true), c AS (SELECT n, min(m) AS label FROM r GROUP BY n) SELECT image_id, label, count(*) AS pixels, round(avg(value), 6) + 0.0 AS mean_value, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col FROM c JOIN h ON h.id = c.n GROUP BY image_id, label HAVING count(*) >= 2", **P),
     "ortho_bilinear": oracle(f"WITH {ASKED}, k AS (SELECT w.image_id, w.id, count(p.value) AS n, sum(p.value * (CASE WHEN p.row = floor(r) THEN 1 - (r - floor(r)) ELSE r - floor(r) END) * (CASE WHEN p.col = floor(c) THEN 1 - (c - floor(c)) ELSE c - floor(c) END)) AS v FROM w LEFT JOIN px p ON p.image_id = w.image_id AND p.row BETWEEN floor(r) AND floor(r) + 1 AND p.col BETWEEN floor(c) AND floor(c) + 1 GROUP BY ALL) SELECT image_id, id, round(CASE WHEN n = 4 THEN v ELSE 0 END, 6) + 0.0 AS value FROM k", **P),
     "ortho_nearest": oracle(f"WITH {ASKED} SELECT w.image_id, w.id, round(coalesce(p.value, 0), 6) + 0.0 AS value FROM w LEFT JOIN px p ON p.image_id = w.image_id AND p.row = floor(r + 0.5) AND p.col = floor(c + 0.5)", **P),
 }

@@ -58,7 +58,7 @@ def diamonds(spark, sf):
 
 
 def rasterize_polygon(spark, sf):
-    return S.rasterize(diamonds(spark, sf), 700, 700)
+    return S.rasterize(diamonds(spark, sf), 5200, 5200)
 
 
 def geo_corner(spark, sf):
@@ -88,18 +88,15 @@ def vec3(spark, sf):
     return d.select("filepath", r6(S.dot(a, b)).alias("dot"), *[r6(x).alias(k) for k, x in zip(("x", "y", "z"), c, strict=True)])
 
 
-def _quadrant(name):
-    fold = {"cfar_go": F.greatest, "cfar_so": F.least}[name]
-
+def _quadrant(which):
     def run(spark, sf):
         p = load(spark, sf, PIXELS).withColumn("value", F.abs("value"))
-        out = R.quadrant_means(p, 1, 2).withColumn("threshold", fold("q1", "q2", "q3", "q4") * 1.5)
-        return out.select("image_id", "row", "col", r6("threshold").alias("threshold"), (F.col("value") > F.col("threshold")).alias("hit"))
+        return R.quadrant_detector(p, which, 1, 2, 0.05).select("image_id", "row", "col", r6("threshold", 4).alias("threshold"), "hit")
 
     return run
 
 
-cfar_go, cfar_so = _quadrant("cfar_go"), _quadrant("cfar_so")
+cfar_go, cfar_so = _quadrant("go"), _quadrant("so")
 
 
 def warp_image(spark, sf):
@@ -140,7 +137,7 @@ def h_sql(k):
 def quad_sql(fold):
     part = lambda a, b: f"avg(CASE WHEN dr {a} AND dc {b} THEN v END)"
     four = ", ".join(part(a, b) for a in ("= -2", "= 2") for b in ("= -2", "= 2"))
-    return oracle(f"WITH {ABS}, {around(2, 'ap')}, s AS (SELECT image_id, row, col, x, 1.5::DOUBLE * {fold}({four}) AS t FROM n GROUP BY ALL) SELECT image_id, row, col, round(t, 6) + 0.0 AS threshold, x > t AS hit FROM s", **P)
+    return oracle(f"WITH {ABS}, {around(2, 'ap')}, s AS (SELECT image_id, row, col, x, {fold}({four}) + 1.6448536269514722::DOUBLE * stddev_pop(CASE WHEN abs(dr) > 1 OR abs(dc) > 1 THEN v END) AS t FROM n GROUP BY ALL) SELECT image_id, row, col, round(t, 4) + 0.0 AS threshold, x > t AS hit FROM s", **P)
 
 
 def bil_sql(source, asked, nodata, name="value"):
@@ -160,7 +157,7 @@ ORACLES = {
     "ellipse_cov": oracle("WITH e AS (SELECT id, pow(maxx - minx + 3, 2) AS a, pow(maxy - miny, 2) AS b, sin(radians(seq % 180)) AS s, cos(radians(seq % 180)) AS c FROM boxes) SELECT id, round(a * s * s + b * c * c, 6) + 0.0 AS ee, round((a - b) * s * c, 6) + 0.0 AS en, round(a * c * c + b * s * s, 6) + 0.0 AS nn FROM e", **B),
     "ellipse_convolve": oracle(f"WITH {EL} SELECT brand, round(sum(ee), 4) AS ee, round(sum(en), 4) AS en, round(sum(nn), 4) AS nn FROM e GROUP BY brand", **B),
     "ellipse_fuse": oracle(f"WITH {EL}, i AS (SELECT brand, sum(nn / (ee * nn - en * en)) AS a, sum(-en / (ee * nn - en * en)) AS b, sum(ee / (ee * nn - en * en)) AS c FROM e GROUP BY brand) SELECT brand, round(c / (a * c - b * b), 6) + 0.0 AS ee, round(-b / (a * c - b * b), 6) + 0.0 AS en, round(a / (a * c - b * b), 6) + 0.0 AS nn FROM i", **B),
-    "rasterize_polygon": oracle(f"WITH {DIAMOND} SELECT id, row::INT AS row, col::INT AS col FROM h WHERE ({RING}) % 2 = 1 AND row < 700 AND col < 700", **B),
+    "rasterize_polygon": oracle(f"WITH {DIAMOND} SELECT id, row::INT AS row, col::INT AS col FROM h WHERE ({RING}) % 2 = 1 AND row < 5200 AND col < 5200", **B),
     "geo_corner": oracle(f"SELECT id, round({h_sql(0)}, 6) + 0.0 AS lat, round({h_sql(1)}, 6) + 0.0 AS lon FROM boxes", **B),
     "rpc_forward": oracle(f"WITH {LOC}, k AS (SELECT filepath, (lat - 10) / 70::DOUBLE AS p, (lon - 20) / 160::DOUBLE AS l, (h - 500) / 900::DOUBLE AS z FROM l) SELECT filepath, round({poly('line_num')} / {poly('line_den')} * 2600 + 2500, 4) + 0.0 AS line, round({poly('samp_num')} / {poly('samp_den')} * 3100 + 3000, 4) + 0.0 AS sample FROM k", **SC),
     "ray_ellipsoid": oracle(f"WITH {RAY} SELECT filepath, CASE WHEN h * h - q * c >= 0 THEN round((-h - sqrt(greatest(h * h - q * c, 0))) / q, 2) + 0.0 END AS range_m FROM q", **SC),

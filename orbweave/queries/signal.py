@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from orbweave.operators import raster as R
@@ -74,7 +76,7 @@ def filter_lee_complex(spark, sf):
 
 
 def sar_dominance(spark, sf):
-    looks = load(spark, sf, PIXELS).select((F.col("image_id") * 64 + F.col("row")).alias("key"), F.col("col").alias("look"), (F.col("value") * F.col("value")).alias("power")).where("look < 7")
+    looks = load(spark, sf, PIXELS).select((F.col("image_id") * 64 + F.col("row")).alias("key"), F.col("col").alias("look"), (F.col("value") * F.col("value")).alias("power"))
     out = S.dominance(looks, 3)
     return out.select("key", r6("dominance").alias("dominance"), r6("entropy").alias("entropy"))
 
@@ -144,6 +146,21 @@ def pipeline_filters(spark, sf):
     return out.select("image_id", "row", "col", r6("value").alias("value"))
 
 
+def interp_kaiser(spark, sf):
+    return S.resample(series(spark, sf), _wanted(spark, sf), 4, S.kaiser_weight(4, 5.0)).select("key", "id", r6("value", 4).alias("value"))
+
+
+def interp_thiran(spark, sf):
+    lines = load(spark, sf, PIXELS).select((F.col("image_id") * 64 + F.col("row")).alias("key"), F.col("col").alias("t"), "value")
+    return S.thiran_delay(lines, 3.3, 3).select("key", "t", r6("value").alias("value"))
+
+
+def orbit_spline(spark, sf):
+    lines = load(spark, sf, PIXELS).select((F.col("image_id") * 64 + F.col("row")).alias("key"), F.col("col").cast("double").alias("t"), F.col("value").alias("x"), (F.col("value") * F.col("value")).alias("v"))
+    wanted = lines.where("t < 63").select("key", (F.col("t") + 0.4).alias("t"))
+    return S.orbit_spline(lines, wanted, ["x", "v"]).select("key", r6("t").alias("t"), r6("x").alias("x"), r6("v").alias("v"))
+
+
 def synth_image(spark, sf):
     return probe.synthesize(spark, 64, 64).select("row", "col", r6("re").alias("re"), r6("im").alias("im"))
 
@@ -164,16 +181,24 @@ LAGRANGE = "CASE r.k - floor(p.p) " + " ".join(
 ) + " ELSE 0 END"
 NARROW = around(1, "ap").replace("FROM px GROUP BY", "FROM ap GROUP BY").replace("64 AS cols", "8 AS cols")
 
+#: The Kaiser window's power series over its value at the centre, by nested products.
+BESSEL = "0"
+for _k in reversed(range(24)):
+    BESSEL = f"({BESSEL}) * YY + {1 / math.factorial(_k) ** 2!r}::DOUBLE"
+BESSEL = f"({BESSEL}) / {sum((6.25**k) / math.factorial(k) ** 2 for k in range(24))!r}::DOUBLE".replace("YY", f"(6.25 * greatest(1 - ({DD}) * ({DD}) / 16.0::DOUBLE, 0))")
+
 ORACLES = {
     "poly1d": oracle("SELECT image_id, row, col, round(0.5 + value * (-1.25::DOUBLE + value * (0.75::DOUBLE + value * 0.1::DOUBLE)), 6) + 0.0 AS poly, round(-1.25::DOUBLE + value * (1.5::DOUBLE + value * 0.3::DOUBLE), 6) + 0.0 AS slope FROM px", **PX),
     "poly2d": oracle("SELECT image_id, row, col, round(1 + 0.5::DOUBLE * (col / 10.0::DOUBLE) + value * (-0.25::DOUBLE + 2 * (col / 10.0::DOUBLE)), 6) + 0.0 AS value FROM px", **PX),
     "interp_linear": weights(1, f"greatest(1 - abs({DD}), 0)"),
     "interp_lanczos": weights(3, f"CASE WHEN abs({DD}) < 3 THEN ({SINC.format(d=DD)}) * ({SINC.format(d=f'({DD} / 3)')}) ELSE 0 END"),
+    "interp_kaiser": weights(4, f"CASE WHEN abs({DD}) <= 4 THEN ({SINC.format(d=DD)}) * ({BESSEL}) ELSE 0 END"),
+    "pipeline_filters": oracle(f"WITH m1 AS (WITH {around(1)} SELECT image_id, row, col, avg(v) AS value FROM n GROUP BY image_id, row, col), m2 AS (WITH {around(1, 'm1')} SELECT image_id, row, col, max(v) AS value FROM n GROUP BY image_id, row, col) SELECT image_id, row, col, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) + 0.0 AS value FROM m2 WINDOW w AS (PARTITION BY image_id)", **PX),
     "interp_lagrange": weights(2, LAGRANGE),
     "xyzpoly": oracle("SELECT image_id, row, col, round(1 + 0.5::DOUBLE * value, 6) + 0.0 AS x, round(0.25 - value + 2 * value * value, 6) + 0.0 AS y, round(value * value, 6) + 0.0 AS z FROM px", **PX),
     "cued_detect": oracle(f"WITH {around(2)}, s AS (SELECT image_id, row, col, x, avg(v) + 1.6448536269514722::DOUBLE * stddev_pop(v) AS t FROM n WHERE abs(dr) > 1 OR abs(dc) > 1 GROUP BY ALL) SELECT image_id, row, col, round(t, 4) + 0.0 AS threshold FROM s WHERE x > t AND (row - 32) * (row - 32) + (col - 32) * (col - 32) <= 400", **PX),
     "filter_lee_complex": oracle(f"WITH ap AS (SELECT row // 64 AS image_id, (row % 64)::INT AS row, col, sqrt(vv_re * vv_re + vv_im * vv_im) AS value, vv_re AS re, vv_im AS im FROM ch), {NARROW}, {LM}, f AS (SELECT image_id, row, col, x, mean + CASE WHEN var > 0 THEN {CUT.format(x='1 - 0.25 / (var / (mean * mean))')} ELSE 0 END * (x - mean) AS v FROM m) SELECT f.image_id, f.row, f.col, round(re * v / x, 6) + 0.0 AS re, round(im * v / x, 6) + 0.0 AS im FROM f JOIN ap USING (image_id, row, col)", **CP),
-    "sar_dominance": oracle("WITH l AS (SELECT image_id * 64 + row AS key, col AS look, value * value AS power FROM px WHERE col < 7), k AS (SELECT *, sum(power) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s, sum(power) OVER (PARTITION BY key) AS t FROM l) SELECT key, round(max(CASE WHEN look <= 4 THEN s / t END), 6) AS dominance, round(-sum(CASE WHEN power > 0 THEN power / t * ln(power / t) ELSE 0 END), 6) AS entropy FROM k GROUP BY key", **PX),
+    "sar_dominance": oracle("WITH l AS (SELECT image_id * 64 + row AS key, col AS look, value * value AS power FROM px), k AS (SELECT *, sum(power) OVER (PARTITION BY key ORDER BY look ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s, sum(power) OVER (PARTITION BY key) AS t FROM l) SELECT key, round(max(CASE WHEN look <= 61 THEN s / t END), 6) AS dominance, round(-sum(CASE WHEN power > 0 THEN power / t * ln(power / t) ELSE 0 END), 6) AS entropy FROM k GROUP BY key", **PX),
     "sar_doppler_centroid": oracle("WITH k AS (SELECT row AS key, hh_re AS re, hh_im AS im, lag(hh_re) OVER w AS pr, lag(hh_im) OVER w AS pi FROM ch WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT key, round(atan2(sum(im * pr - re * pi), sum(re * pr + im * pi)) / (2 * pi() * 0.001::DOUBLE), 4) + 0.0 AS hz FROM k WHERE pr IS NOT NULL GROUP BY key", **CP),
     "sniff": "SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 64)), '^\\s*<(!doctype|html)') THEN 'HTML' WHEN regexp_matches(substr(html, 1, 64), '^\\s*<') THEN 'XML' ELSE 'unknown' END AS format FROM pages",
     "parse_header": "SELECT p_partkey, (p_size + 1)::BIGINT AS samples, p_brand AS names, 2::BIGINT AS n FROM part",
@@ -185,4 +210,4 @@ ORACLES = {
     "stats_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)) + 1800)::BIGINT AS \"end\", count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY user_id, s",
 }
 
-QUERIES = {name: globals()[name] for name in [*ORACLES, "sar_sublook", "pol_haalpha", "pipeline_filters", "synth_image"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "sar_sublook", "pol_haalpha", "synth_image", "interp_thiran", "orbit_spline"]}

@@ -68,8 +68,10 @@ def vector_filter_geometry(spark, sf):
 
 
 def vector_intersection(spark, sf):
-    left, right = boxes(spark, sf).where("seq % 2 = 0"), boxes(spark, sf).where("seq % 2 = 1")
-    return V.intersecting_boxes(left, right, CELL).select("l_id", "r_id", "minx", "miny", "maxx", "maxy")
+    """Boxes and the neighbourhoods, grown by 150, of all boxes that follow them."""
+    b = boxes(spark, sf)
+    grown = b.withColumns({"maxx": F.col("maxx") + 150, "maxy": F.col("maxy") + 150})
+    return V.intersecting_boxes(b, grown, CELL).where("l_seq < r_seq").select("l_id", "r_id", "minx", "miny", "maxx", "maxy")
 
 
 def spatial_join_inner(spark, sf):
@@ -119,7 +121,7 @@ def gmti_to_detections(spark, sf):
 
 
 def gmti_filter(spark, sf):
-    return M.filter_reports(targets(spark, sf), 10.0, 2.0, 3, (-100.0, -30.0, 120.0, 30.0)).select("seq")
+    return M.filter_reports(targets(spark, sf), 5.0, 1.0, 4, (-170.0, -45.0, 170.0, 45.0)).select("seq")
 
 
 def gmti_ground_velocity(spark, sf):
@@ -251,6 +253,20 @@ def pol_pauli(spark, sf):
     return channels(spark, sf).select(*KEYS, *[r6(v.magnitude()).alias(k) for k, v in P.pauli().items()])
 
 
+def pol_kennaugh(spark, sf):
+    k = channels(spark, sf).select(*P.kennaugh(KEYS)).withColumn("block", F.floor(F.col("row") / 8)).drop("row")
+    k = P.averaged(k, ["block", "col"])
+    return rounded(k, ["block", "col"], [c for c in k.columns if c[0] == "k"])
+
+
+def pol_pauli_t3(spark, sf):
+    return coherency(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.pauli_of_coherency().items()])
+
+
+def pol_pauli_c3(spark, sf):
+    return covariances(spark, sf).select("block", "col", *[r6(v).alias(k) for k, v in P.pauli_of_covariance().items()])
+
+
 def pol_stokes(spark, sf):
     return channels(spark, sf).select(*KEYS, *[r6(v).alias(k) for k, v in P.stokes("hh", "hv").items()])
 
@@ -358,7 +374,7 @@ HAV_RING = " + ".join(
     f"CASE WHEN ({a[1]} > lat) <> ({b[1]} > lat) AND lon < ({b[0]} - {a[0]}) * (lat - {a[1]}) / ({b[1]} - {a[1]})::DOUBLE + {a[0]} THEN 1 ELSE 0 END"
     for a, b in zip(RING, RING[1:] + RING[:1], strict=True)
 ).replace("- -", "+ ")
-INTER = "SELECT l.id AS l_id, r.id AS r_id, greatest(l.minx, r.minx) AS minx, greatest(l.miny, r.miny) AS miny, least(l.maxx, r.maxx) AS maxx, least(l.maxy, r.maxy) AS maxy FROM boxes l JOIN boxes r ON l.minx <= r.maxx AND l.maxx >= r.minx AND l.miny <= r.maxy AND l.maxy >= r.miny WHERE l.seq % 2 = 0 AND r.seq % 2 = 1"
+INTER = "SELECT l.id AS l_id, r.id AS r_id, greatest(l.minx, r.minx) AS minx, greatest(l.miny, r.miny) AS miny, least(l.maxx, r.maxx) AS maxx, least(l.maxy, r.maxy) AS maxy FROM boxes l JOIN (SELECT * REPLACE (maxx + 150 AS maxx, maxy + 150 AS maxy) FROM boxes) r ON l.minx <= r.maxx AND l.maxx >= r.minx AND l.miny <= r.maxy AND l.maxy >= r.miny WHERE l.seq < r.seq"
 WRAP = "CASE WHEN {x} - 360 * floor({x} / 360) > 180 THEN {x} - 360 * floor({x} / 360) - 360 ELSE {x} - 360 * floor({x} / 360) END"
 AT_LON = "CASE WHEN lat IS NOT NULL THEN lon WHEN dlat IS NOT NULL THEN center_lon + dlon * lon_scale END"
 MOVED = [(f"{x} * 0.8::DOUBLE - {y} * 0.6::DOUBLE + 5", f"{x} * 0.6::DOUBLE + {y} * 0.8::DOUBLE + 3") for x in ("minx", "maxx") for y in ("miny", "maxy")]
@@ -383,7 +399,7 @@ ORACLES = {
     "rasterize": oracle("WITH c AS (SELECT seq, val, floor(miny + 1)::INT AS r0, ceil(maxy - 1)::INT AS r1, floor(minx + 1)::INT AS c0, ceil(maxx - 1)::INT AS c1 FROM boxes), r AS (SELECT *, unnest(range(r0, r1 + 1))::INT AS row FROM c), k AS (SELECT *, unnest(range(c0, c1 + 1))::INT AS col FROM r) SELECT row, col, arg_max(val, seq) AS value FROM k GROUP BY row, col", **B),
     "transform_detections": oracle(f"SELECT id, round(least({', '.join(x for x, _ in MOVED)}), 6) + 0.0 AS minx, round(least({', '.join(y for _, y in MOVED)}), 6) + 0.0 AS miny, round(greatest({', '.join(x for x, _ in MOVED)}), 6) + 0.0 AS maxx, round(greatest({', '.join(y for _, y in MOVED)}), 6) + 0.0 AS maxy FROM boxes", **B),
     "gmti_to_detections": oracle(f"WITH k AS (SELECT *, coalesce(lat, center_lat + dlat * lat_scale) AS la, {AT_LON} AS lo FROM t) SELECT seq, round(la, 6) + 0.0 AS lat, round({WRAP.format(x='lo')}, 6) + 0.0 AS lon, CASE WHEN snr IS NOT NULL THEN round(least(greatest(snr / 40, 0), 1), 6) END AS confidence, v_los / 100 AS velocity_radial FROM k WHERE la IS NOT NULL AND lo IS NOT NULL", **TG),
-    "gmti_filter": oracle(f"SELECT seq FROM t WHERE snr >= 10 AND abs(v_los) / 100 >= 2 AND classification = 3 AND {WRAP.format(x='lon')} BETWEEN -100 AND 120 AND lat BETWEEN -30 AND 30", **TG),
+    "gmti_filter": oracle(f"SELECT seq FROM t WHERE snr >= 5 AND abs(v_los) / 100 >= 1 AND classification = 4 AND {WRAP.format(x='lon')} BETWEEN -170 AND 170 AND lat BETWEEN -45 AND 45", **TG),
     "gmti_ground_velocity": oracle(f"WITH k AS (SELECT *, radians(lat - sensor_lat) AS a, radians({WRAP.format(x='lon')} - {WRAP.format(x='sensor_lon')}) * cos(radians(sensor_lat)) AS b FROM t WHERE lat IS NOT NULL) SELECT seq, round(v_los / 100 + v_sensor / 1000 * cos(radians(track) - atan2(b, a)), 6) + 0.0 AS mps FROM k", **TG),
     "gmti_footprint": oracle(f"WITH k AS (SELECT *, {WRAP.format(x='center_lon')} AS lo, 2000 / (pi() * 6371000 / 180) AS dy, 5000 / (pi() * 6371000 / 180) / greatest(cos(radians(center_lat)), 1e-9) AS dx FROM t) SELECT seq, round(lo - dx, 6) + 0.0 AS west, round(center_lat - dy, 6) + 0.0 AS south, round(lo + dx, 6) + 0.0 AS east, round(center_lat + dy, 6) + 0.0 AS north FROM k", **TG),
     "gmti_summary": oracle("SELECT count(DISTINCT dwell_index) AS dwells, count(*) AS reports, min(dwell_time_ms) AS first_ms, max(dwell_time_ms) AS last_ms, arg_min(dwell_index, seq) AS first_dwell, round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lon), 6) AS west, round(max(lon), 6) AS east FROM t", **TG),
@@ -408,6 +424,14 @@ ORACLES = {
     "pol_pauli": oracle(f"WITH {PAULI} SELECT row, col, round(sqrt(a_re * a_re + a_im * a_im), 6) AS surface, round(sqrt(b_re * b_re + b_im * b_im), 6) AS double_bounce, round(sqrt(c_re * c_re + c_im * c_im), 6) AS volume FROM p", **CP),
     "pol_stokes": oracle("SELECT row, col, round(hh_re * hh_re + hh_im * hh_im + hv_re * hv_re + hv_im * hv_im, 6) AS s0, round(hh_re * hh_re + hh_im * hh_im - hv_re * hv_re - hv_im * hv_im, 6) + 0.0 AS s1, round(2 * (hh_re * hv_re + hh_im * hv_im), 6) + 0.0 AS s2, round(-2 * (hh_im * hv_re - hh_re * hv_im), 6) + 0.0 AS s3 FROM ch", **CP),
     "pol_stokes_dop": oracle("WITH s AS (SELECT row, avg(hh_re * hh_re + hh_im * hh_im + hv_re * hv_re + hv_im * hv_im) AS a, avg(hh_re * hh_re + hh_im * hh_im - hv_re * hv_re - hv_im * hv_im) AS b, avg(2 * (hh_re * hv_re + hh_im * hv_im)) AS c, avg(-2 * (hh_im * hv_re - hh_re * hv_im)) AS d FROM ch GROUP BY row) SELECT row, round(least(sqrt(b * b + c * c + d * d) / a, 1), 6) AS dop FROM s", **CP),
+    "pol_kennaugh": oracle(
+        "WITH w AS (SELECT row // 8 AS block, col, hh_re + vv_re AS a_re, hh_im + vv_im AS a_im, hh_re - vv_re AS b_re, hh_im - vv_im AS b_im, hv_re + vh_re AS c_re, hv_im + vh_im AS c_im, hv_im - vh_im AS d_re, vh_re - hv_re AS d_im FROM ch) SELECT block, col, "
+        + ", ".join(f"round(avg({a}_re * {b}_re + {a}_im * {b}_im) / 4, 6) + 0.0 AS k{i}{j}" for i, a in enumerate("abcd", 1) for j, b in enumerate("abcd", 1) if j >= i)
+        + " FROM w GROUP BY ALL",
+        **CP,
+    ),
+    "pol_pauli_t3": oracle(f"WITH {COH} SELECT block, col, round(sqrt(t11), 6) AS surface, round(sqrt(t22), 6) AS double_bounce, round(sqrt(t33), 6) AS volume FROM t", **CP),
+    "pol_pauli_c3": oracle(f"WITH {COH} SELECT block, col, round(sqrt(t11), 6) AS surface, round(sqrt(t22), 6) AS double_bounce, round(sqrt(t33), 6) AS volume FROM t", **CP),
     "pol_dop": oracle(f"WITH {COH} SELECT block, col, round({DOP}, 6) AS dop FROM t", **CP),
     "pol_shannon": oracle(f"WITH {COH}, s AS (SELECT block, col, 3 * ln(exp(1) * pi() * {TRACE} / 3) AS i, ln(27 * {DET} / (pow({TRACE}, 3) + 1e-8)) AS p FROM t) SELECT block, col, round(i, 6) + 0.0 AS h_intensity, round(p, 6) + 0.0 AS h_polarimetric, round(i + p, 6) + 0.0 AS h_total FROM s", **CP),
     "pol_mf3": oracle(f"WITH {COH}, {MF}, {MFP.format(pc='0')} SELECT block, col, {MFO} FROM pp", **CP),

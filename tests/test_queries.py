@@ -31,7 +31,7 @@ def test_query_equals_oracle(spark, sf_dir, con, name):
     got = registry.QUERIES[name](spark, sf_dir).toPandas()
     want = con.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+    assert len(want) and rows(got) == rows(want)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
