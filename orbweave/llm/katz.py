@@ -142,7 +142,7 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
     names = ["first", "second", "n", "n_second", "keep", "kinds", "big", "of_head"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, _ = shared.value
+        hot, head = shared.value
         for chunk, learnt in _chunks(batches, training=False):
             flat = np.concatenate(chunk)
             sizes = [len(c) for c in chunk]
@@ -158,24 +158,29 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
             own = mix(first)
             often = np.isin(first, hot)
             own[often] = mix(own[often] + (second[often] >> np.uint64(56)))
-            rows = list(_cut((own % np.uint64(parts)).astype(np.int64), first, second, n))
-            out = [[], [], [], []]
-            for _, f, s, c in rows:
+            # Words of the head travel as their place there, in half the bytes.
+            here, place = head.at(second.view(np.int64))
+            code = np.where(here, place, -1)
+            rows = list(_cut((own % np.uint64(parts)).astype(np.int64), first, second, code, n))
+            out = [[], [], [], [], []]
+            for _, f, s, k, c in rows:
                 starts = _starts(f)
-                for column, x in zip(out, (f[starts].view(np.int64), np.diff(np.append(starts, len(f))), s.view(np.int64), c), strict=True):
+                for column, x in zip(out, (f[starts].view(np.int64), np.diff(np.append(starts, len(f))), k, s[k < 0].view(np.int64), c), strict=True):
                     column.append(x)
+            small = lambda x: list_array(x).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), list_array(out[0]), list_array(out[1]).cast(pa.list_(pa.int32())), list_array(out[2]), list_array(out[3]).cast(pa.list_(pa.int32()))],
-                ["part", "firsts", "runs", "seconds", "ns"],
+                [pa.array([r[0] for r in rows], pa.int32()), list_array(out[0]), small(out[1]), small(out[2]), list_array(out[3]), small(out[4])], ["part", "firsts", "runs", "codes", "seconds", "ns"]
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, head = shared.value
         firsts, seconds, counts = [], [], []
         for batch in batches:
-            f, r, s, c = (batch.column(k).flatten().to_numpy() for k in range(1, 5))
+            f, r, k, s, c = (batch.column(k).flatten().to_numpy() for k in range(1, 6))
+            second = np.empty(len(k), np.int64)
+            second[k >= 0], second[k < 0] = head.keys[k[k >= 0]], s
             firsts.append(np.repeat(f, r))
-            seconds.append(s)
+            seconds.append(second)
             counts.append(c)
         if not firsts:
             return
@@ -183,7 +188,7 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
         del firsts, seconds, counts
         order = np.lexsort((second, first))
         first, second, n = first[order], second[order], n[order]
-        del order, batch, f, r, s, c
+        del order, batch, f, r, k, s, c
         release()
         starts = _starts(first, second)
         asked = np.logical_or.reduceat(n == 0, starts)
@@ -213,7 +218,7 @@ def pair_counts(docs: DataFrame, parts: int, hot: np.ndarray, head: Head) -> Dat
         del first, second, n, of, here, keep, place, asked
         release()
 
-    sent = docs.mapInArrow(run, "part int, firsts array<long>, runs array<int>, seconds array<long>, ns array<int>")
+    sent = docs.mapInArrow(run, "part int, firsts array<long>, runs array<int>, codes array<int>, seconds array<long>, ns array<int>")
     return sent.repartition(parts, "part").mapInArrow(merge, "first long, second long, n long, n_second long, keep boolean, kinds array<long>, big long, of_head array<long>")
 
 
