@@ -7,6 +7,7 @@ back, so a lost executor costs a re-read and never a recomputation from the sour
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,15 @@ class Workspace:
         for table in tables:
             self._delete(table._orbweave_path)
 
+    def reclaim(self) -> None:
+        """Let Spark remove the shuffle files of finished steps now.
+
+        They go once the driver's collector has met the plans that wrote them, which a
+        driver with memory to spare may put off for half an hour. No result depends on it.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
