@@ -313,6 +313,7 @@ class KatzModel:
         hot = counted.keys[counted.values["n"] > self.total * HOT].view(np.uint64)
         found = ws.save(pair_counts(docs, parts, hot, counted), "pairs")
         del counted
+        ws.reclaim()
         kinds = [F.sum(F.col("kinds")[r]) for r in range(CUT + 1)]
         few = {r: k or 0 for r, k in enumerate(found.where("second is null").agg(*kinds).first(), 1)}
         ratio2 = discounts(few)
@@ -337,6 +338,7 @@ class KatzModel:
         own = own.select("word", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("back", "each")], F.log10(p_word).alias("lw"))
         self.words = ws.save(own, "words")
         ws.drop(words)
+        ws.reclaim()
         self.word_head = Head(self.words, "word", ["n", "back", "each", "lw"], always=(MARK,))
 
         # A pair's discounted count is its gain over a pair seen once, in a training document.
@@ -347,11 +349,13 @@ class KatzModel:
         late = late.select("key", "n", "more", (F.col("more") + self.once + F.col("each") - F.col("back") - F.col("lw")).alias("gain"))
         self.pairs = ws.save(gained.where("gain is not null").select("key", "n", "more", "gain").union(late), "gains")
         ws.drop(found)
+        ws.reclaim()
         self.pair_head = Head(self.pairs, "key", ["more", "gain"])
         tail_words = self.words.where((F.col("n") < self.word_head.least) & (F.col("word") != MARK)).select(F.col("word").alias("key"), "n", (F.col("back") + F.col("lw")).alias("out"), F.col("each").alias("inside"))
         tail_pairs = self.pairs.where(F.col("n") < self.pair_head.least).select("key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("out"), F.col("more").alias("inside"))
         self.tail = tail_words.union(tail_pairs)
         self.bitmap = self._bitmap()
+        ws.reclaim()
         self.shared = spark.sparkContext.broadcast((self.word_head, self.pair_head, self.bitmap, self.total, self.kinds, self.unknown, self.once))
 
     def _gains(self, scored: DataFrame) -> DataFrame:
