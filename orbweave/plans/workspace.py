@@ -7,13 +7,13 @@ back, so a lost executor costs a re-read and never a recomputation from the sour
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a local session that names no folder of its own, as in tests.
 DEFAULT_DIR = "file:///tmp/checkpoints/orbweave"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +48,19 @@ class Workspace:
         self._delete(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read back from there."""
+        """Write ``df`` and return the table read back from there.
+
+        Shuffle files that the write needed go as soon as the table stands; otherwise they
+        stay until the driver's garbage collector meets the plan.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._orbweave_path = path
         return out
@@ -61,15 +70,6 @@ class Workspace:
         for table in tables:
             self._delete(table._orbweave_path)
 
-    def reclaim(self) -> None:
-        """Let Spark remove the shuffle files of finished steps now.
-
-        They go once the driver's collector has met the plans that wrote them, which a
-        driver with memory to spare may put off for half an hour. No result depends on it.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def _delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
