@@ -297,7 +297,7 @@ class KatzModel:
         spark = docs.sparkSession
         docs = docs.select(F.col("doc_id").cast("long"), "text")
         size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        parts = max(64, size // 6 // PART)
+        parts = self.parts = max(64, size // 6 // PART)
         words = ws.save(word_counts(docs, parts), "words")
         real = words.where(F.col("word") != MARK)
         self.total, self.kinds = (int(x or 0) for x in real.agg(F.sum("n"), F.count("*")).first())
@@ -313,7 +313,6 @@ class KatzModel:
         hot = counted.keys[counted.values["n"] > self.total * HOT].view(np.uint64)
         found = ws.save(pair_counts(docs, parts, hot, counted), "pairs")
         del counted
-        ws.reclaim()
         kinds = [F.sum(F.col("kinds")[r]) for r in range(CUT + 1)]
         few = {r: k or 0 for r, k in enumerate(found.where("second is null").agg(*kinds).first(), 1)}
         ratio2 = discounts(few)
@@ -338,7 +337,6 @@ class KatzModel:
         own = own.select("word", "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("back", "each")], F.log10(p_word).alias("lw"))
         self.words = ws.save(own, "words")
         ws.drop(words)
-        ws.reclaim()
         self.word_head = Head(self.words, "word", ["n", "back", "each", "lw"], always=(MARK,))
 
         # A pair's discounted count is its gain over a pair seen once, in a training document.
@@ -349,13 +347,11 @@ class KatzModel:
         late = late.select("key", "n", "more", (F.col("more") + self.once + F.col("each") - F.col("back") - F.col("lw")).alias("gain"))
         self.pairs = ws.save(gained.where("gain is not null").select("key", "n", "more", "gain").union(late), "gains")
         ws.drop(found)
-        ws.reclaim()
         self.pair_head = Head(self.pairs, "key", ["more", "gain"])
         tail_words = self.words.where((F.col("n") < self.word_head.least) & (F.col("word") != MARK)).select(F.col("word").alias("key"), "n", (F.col("back") + F.col("lw")).alias("out"), F.col("each").alias("inside"))
         tail_pairs = self.pairs.where(F.col("n") < self.pair_head.least).select("key", F.lit(0).cast("long").alias("n"), F.col("gain").alias("out"), F.col("more").alias("inside"))
         self.tail = tail_words.union(tail_pairs)
-        self.bitmap = self._bitmap()
-        ws.reclaim()
+        self.bitmap = self._bitmap(ws)
         self.shared = spark.sparkContext.broadcast((self.word_head, self.pair_head, self.bitmap, self.total, self.kinds, self.unknown, self.once))
 
     def _gains(self, scored: DataFrame) -> DataFrame:
@@ -374,11 +370,11 @@ class KatzModel:
 
         return scored.mapInArrow(run, "key long, first long, second long, n long, more double, gain double")
 
-    def _bitmap(self) -> np.ndarray:
+    def _bitmap(self, ws: Workspace) -> np.ndarray:
         """A bit for every key of the tail at its hash; ``BITS`` bits at every size."""
         slot = F.pmod(F.col("key"), F.lit(BITS))
         word = F.floor(slot / 64)
-        rows = self.tail.groupBy(word.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(key, 64)))")).alias("bits")).toArrow()
+        rows = ws.save(self.tail.groupBy(word.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(key, 64)))")).alias("bits")), "bitmap").toArrow()
         out = np.zeros(BITS // 64, np.int64)
         out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
         return out
@@ -393,7 +389,7 @@ class KatzModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, pairs, bitmap, total, kinds, unknown, once = shared.value
             none = math.log10(unknown)
-            names = ["cid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "key", "many", "word", "own", "outside"]
+            names, of_doc = ["cid", "key", "code", "doc"], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
             # A slice's words and pairs are looked up once each, in the order of their keys.
             for batch in slices(batches, 256):
                 ids, texts = batch.column(0).to_pylist(), [x.as_py() or "" for x in batch.column(1)]
@@ -427,22 +423,26 @@ class KatzModel:
                     asked, times = np.unique(whose[chosen] * len(keys) + where[chosen], return_counts=True)
                     asks.append((asked // len(keys), keys[asked % len(keys)], times))
                 cid = [xxh3_64_intdigest(f"{d} {t}".encode("utf-8", "surrogatepass")) - (1 << 63) for d, t in zip(ids, texts, strict=True)]
-                n = len(each)
-                local = [pa.array(cid, pa.int64()), pa.array(ids, pa.int64()), pa.array(outside), pa.array(sizes - 1, pa.int64())]
-                local += [pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(score)]
-                # The document's own row joins nothing; its key is its own id.
-                yield pa.RecordBatch.from_arrays([*local, local[0], pa.array([1] * n, pa.int32()), pa.array([False] * n), pa.array([True] * n), local[2]], names)
+                # A document's own row joins nothing; its key is its own id.
+                cid, zero = pa.array(cid, pa.int64()), pa.array(np.zeros(len(each), np.int64))
+                own = [pa.array(ids, pa.int64()), pa.array(outside), pa.array(sizes - 1, pa.int64())]
+                own += [pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(score)]
+                own = pa.StructArray.from_arrays(own, of_doc)
+                yield pa.RecordBatch.from_arrays([cid, cid, zero, own], names)
                 whose, keys, many = (np.concatenate(x) for x in zip(*asks, strict=True))
-                is_word = np.arange(len(keys)) < len(asks[0][0])
-                nulls = [pa.nulls(len(keys), x.type) for x in local[1:]]
-                asked = [pa.array(keys), pa.array(many.astype(np.int32)), pa.array(is_word), pa.array(np.zeros(len(keys), bool)), pa.array(outside[whose])]
-                yield pa.RecordBatch.from_arrays([local[0].take(pa.array(whose)), *nulls, *asked], names)
+                # How often, whether the key is a word's, whether the document is held out.
+                code = many * 4 + (np.arange(len(keys)) < len(asks[0][0])) * 2 + outside[whose]
+                yield pa.RecordBatch.from_arrays([cid.take(pa.array(whose)), pa.array(keys), pa.array(code), pa.nulls(len(keys), own.type)], names)
 
-        schema = "cid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, key long, many int, word boolean, own boolean, outside boolean"
-        asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        row = "cid long, key long, code long, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double>"
+        asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, row)
         floor, none = math.log10(1 / (self.total + self.kinds + 1)), math.log10(self.unknown)
-        tail = self.tail.withColumnRenamed("n", "n_word")
-        met = asked.join(tail, "key", "left").where("own or out is not null")
+        # Both sides are cut by size, and the tail's keys are unique: it is hashed, nothing is sorted.
+        tail = self.tail.withColumnRenamed("n", "n_word").repartition(self.parts, "key").hint("shuffle_hash")
+        met = asked.repartition(self.parts, "key").join(tail, "key", "left").where("doc is not null or out is not null")
+        met = met.withColumn("own", F.col("doc").isNotNull()).withColumn("many", F.shiftright("code", 2))
+        for bit, name in ((2, "word"), (1, "outside")):
+            met = met.withColumn(name, F.col("code").bitwiseAND(F.lit(bit)) != 0)
         # In a held-out document a word of the tail replaces what the unknown word was given for it.
         met = met.withColumn("hit", ~F.col("own") & F.col("out").isNotNull())
         gain = F.when(F.col("outside"), F.col("out") - F.when(F.col("word"), F.lit(none)).otherwise(0.0)).otherwise(F.col("inside"))
@@ -451,7 +451,7 @@ class KatzModel:
         known = F.when(F.col("hit") & F.col("word"), F.col("many"))
         sums = met.groupBy("cid").agg(
             F.sum(F.col("own").cast("int")).alias("copies"),
-            *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")],
+            *[F.max(f"doc.{c}").alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")],
             F.sum(add).alias("add_score"),
             F.sum(base).alias("add_base"),
             F.sum(known).alias("add_known"),
