@@ -297,7 +297,8 @@ class KatzModel:
         spark = docs.sparkSession
         docs = docs.select(F.col("doc_id").cast("long"), "text")
         size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        parts = self.parts = max(64, size // 6 // PART)
+        parts = max(64, size // 6 // PART)
+        self.parts = parts // 4
         words = ws.save(word_counts(docs, parts), "words")
         real = words.where(F.col("word") != MARK)
         self.total, self.kinds = (int(x or 0) for x in real.agg(F.sum("n"), F.count("*")).first())
@@ -438,6 +439,7 @@ class KatzModel:
         asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, row)
         floor, none = math.log10(1 / (self.total + self.kinds + 1)), math.log10(self.unknown)
         # Both sides are cut by size, and the tail's keys are unique: it is hashed, nothing is sorted.
+        # Larger parts than the pairs': a document sends one sum from each part.
         tail = self.tail.withColumnRenamed("n", "n_word").repartition(self.parts, "key").hint("shuffle_hash")
         met = asked.repartition(self.parts, "key").join(tail, "key", "left").where("doc is not null or out is not null")
         met = met.withColumn("own", F.col("doc").isNotNull()).withColumn("many", F.shiftright("code", 2))
