@@ -7,8 +7,11 @@ so a whole decomposition is one generated stage.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,6 +205,156 @@ def freeman(matrices: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFra
     return out.select(*keys, *[F.when(some, F.col(k)).alias(k) for k in held], "span")
 
 
+def yamaguchi(matrices: DataFrame, keys: list[str], model: str = "y4r", eps: float = 1e-6) -> DataFrame:
+    """Surface, double-bounce, volume and helix powers of coherency matrices ``t11 .. t33``.
+
+    ``y4o`` is the original model, ``y4r`` first turns each matrix to its least cross
+    power, ``y4s`` also tells volumes of double bounces. Where the volume would be
+    negative three components without a helix serve. Powers are held to the largest
+    span, one broadcast row.
+    """
+    if model not in ("y4o", "y4r", "y4s"):
+        raise ValueError(f"model must be y4o, y4r or y4s, not {model!r}")
+    t = {c: F.col(c) for c in ("t11", "t12_re", "t12_im", "t13_re", "t13_im", "t22", "t23_re", "t23_im", "t33")}
+    gap = t["t22"] - t["t33"]
+    angle = F.when(F.abs(gap) < eps, 0.0).otherwise(F.atan(t["t23_re"] * 2 / gap) / 2) if model != "y4o" else F.lit(0.0)
+    rows = matrices.withColumn("_g", angle).withColumns({"_c": F.cos("_g"), "_s": F.sin("_g")})
+    c, s = F.col("_c"), F.col("_s")
+    shared = t["t23_re"] * c * s * 2
+    rows = rows.withColumns(
+        {
+            "_a": t["t11"],
+            "_b": t["t22"] * c * c + t["t33"] * s * s + shared,
+            "_d": t["t22"] * s * s + t["t33"] * c * c - shared,
+            "_pr": t["t12_re"] * c + t["t13_re"] * s,
+            "_pi": t["t12_im"] * c + t["t13_im"] * s,
+            "_qr": t["t13_re"] * c - t["t12_re"] * s,
+            "_qi": t["t13_im"] * c - t["t12_im"] * s,
+            "_pc": F.abs(t["t23_im"]) * 2,
+            "span": t["t11"] + t["t22"] + t["t33"],
+        }
+    )
+    a, b, d, pr, pi, pc, span = (F.col(n) for n in ("_a", "_b", "_d", "_pr", "_pi", "_pc", "span"))
+    decibels = lambda x, y: F.when(y < eps, 0.0).otherwise(F.log10(F.greatest(x / y, F.lit(eps))) * 10)
+    bounced = a - b + d * 7 / 8 + pc / 16 <= 0 if model == "y4s" else F.lit(False)
+    rows = rows.withColumns(
+        {
+            "_x": bounced,
+            "_r": decibels(a + b - pr * 2, a + b + pr * 2),
+            "_hh": (a + b) / 2 + pr,
+            "_vv": (a + b) / 2 - pr,
+        }
+    ).withColumn("_f", decibels(F.col("_vv"), F.col("_hh")))
+    near = lambda r: (r > -2) & (r <= 2)
+    two = F.col("_x")
+    volume = (d * 2 - pc) * F.when(two, 15 / 16).when(near(F.col("_r")), 2.0).otherwise(15 / 8)
+
+    # Three components: what a volume of the orientation that the ratio shows takes away.
+    f = F.col("_f")
+    by_ratio = lambda low, even, high: F.when(f <= -2, low).when(f > 2, high).otherwise(even)
+    rows = rows.withColumn("_pv", volume).withColumn("_fv", d * by_ratio(15 / 8, 2.0, 15 / 8))
+    fv = F.col("_fv")
+    rows = rows.withColumns(
+        {
+            "_h": F.col("_hh") - fv * by_ratio(8 / 15, 3 / 8, 3 / 15),
+            "_v": F.col("_vv") - fv * by_ratio(3 / 15, 3 / 8, 8 / 15),
+            "_re": (a - b) / 2 - fv * by_ratio(2 / 15, 1 / 8, 2 / 15),
+        }
+    )
+    h, v = F.col("_h"), F.col("_v")
+    power = F.col("_re") * F.col("_re") + pi * pi
+    rows = rows.withColumn("_k", F.when(power > h * v, F.sqrt(F.greatest(h * v, F.lit(0.0)) / F.greatest(power, F.lit(eps)))).otherwise(1.0))
+    rows = rows.withColumns({"_re": F.col("_re") * F.col("_k"), "_im": -pi * F.col("_k")})
+    re, im = F.col("_re"), F.col("_im")
+    # Where nothing is left to divide by, the volume has all power.
+    rows = rows.withColumn("_w", F.try_divide(h * v - re * re - im * im, h + v + F.abs(re) * 2))
+    weak, strong = F.col("_w"), F.col("_v") - F.col("_w")
+    high = F.when(F.abs(strong) > eps, strong * (1 + ((weak + F.abs(re)) ** 2 + im * im) / (strong * strong))).otherwise(strong)
+    only, odd = (h <= eps) | (v <= eps), re >= 0
+    three = {
+        "surface": F.when(only, F.col("_hh") + d / 2 + F.col("_vv")).when(odd, high).otherwise(weak * 2),
+        "double_bounce": F.when(only, 0.0).when(odd, weak * 2).otherwise(high),
+        "volume": F.when(only, 0.0).otherwise(fv),
+        "helix": F.lit(0.0),
+    }
+
+    # Four components: the cross term goes to the stronger of surface and double bounce.
+    pv = F.col("_pv")
+    shift = F.when(two | near(F.col("_r")), 0.0).when(F.col("_r") <= -2, -pv / 6).otherwise(pv / 6)
+    rows = rows.withColumns(
+        {
+            "_cross": (pr + F.col("_qr") + shift) ** 2 + (pi + F.col("_qi")) ** 2,
+            "_S": a - F.when(two, 0.0).otherwise(pv / 2),
+            "_full": ~two & (pv + pc > span),
+            "_led": ~two & (a * 2 + pc - span > 0),
+        }
+    ).withColumn("_D", span - pv - pc - F.col("_S"))
+    led = F.col("_led")
+    base = F.when(led, F.col("_S")).otherwise(F.col("_D"))
+    rows = rows.withColumn("_q", F.col("_cross") / F.when(F.abs(base) > eps, base).otherwise(eps) * F.when(led, 1.0).otherwise(-1.0))
+    rows = rows.withColumns({"_S": F.col("_S") + F.col("_q"), "_D": F.col("_D") - F.col("_q")})
+    ps, pd, full = F.col("_S"), F.col("_D"), F.col("_full")
+    rest = span - pv - pc
+    none = full | ((ps < 0) & (pd < 0))
+    four = {
+        "surface": F.when(none | (ps < 0), 0.0).when(pd < 0, rest).otherwise(ps),
+        "double_bounce": F.when(none | (pd < 0), 0.0).when(ps < 0, rest).otherwise(pd),
+        "volume": F.when(none, span - pc).otherwise(pv),
+        "helix": pc,
+    }
+    top = F.broadcast(matrices.agg(F.max(t["t11"] + t["t22"] + t["t33"]).alias("_top")))
+    held = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.col("_top"))
+    return rows.join(top).select(*keys, *[held(F.when(pv < 0, three[k]).otherwise(four[k])).alias(k) for k in four], "span")
+
+
+def coherency_of_covariance(keys: list[str]) -> list[Column]:
+    """Coherency matrices ``t11 .. t33`` of covariance matrices ``c11 .. c33``."""
+    c11, c22, c33 = (F.col(f"c{i}{i}") for i in (1, 2, 3))
+    x, y, z = (Complex(F.col(f"c{ij}_re"), F.col(f"c{ij}_im")) for ij in ("12", "13", "23"))
+    s = 1 / math.sqrt(2)
+    zc = z.conj()
+    t12 = Complex((c11 - c33) / 2, -y.im)
+    t13, t23 = (x + zc) * s, (x - zc) * s
+    out = {"t11": (c11 + c33) / 2 + y.re, "t12_re": t12.re, "t12_im": t12.im, "t13_re": t13.re, "t13_im": t13.im}
+    out |= {"t22": (c11 + c33) / 2 - y.re, "t23_re": t23.re, "t23_im": t23.im, "t33": c22}
+    return [*map(F.col, keys), *[e.alias(k) for k, e in out.items()]]
+
+
+TOUZI = [f"{n}{k}" for n in ("alpha", "phi", "tau", "psi") for k in (1, 2, 3)] + [f"{n}_mean" for n in ("alpha", "phi", "tau", "psi")]
+
+
+def touzi(matrices: DataFrame, keys: list[str], eps: float = 1e-8) -> DataFrame:
+    """Scattering type, its phase, helicity and orientation, in degrees, of each eigenvector
+    of coherency matrices, strongest first, and their means weighted by the eigenvalues."""
+    kinds = dict(matrices.dtypes)
+    names = ["t11", "t12_re", "t12_im", "t13_re", "t13_im", "t22", "t23_re", "t23_im", "t33"]
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in TOUZI])
+    phase = lambda im, re: np.arctan2(im, re + eps)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = np.zeros((len(pdf), 3, 3), complex)
+            for n in names:
+                i, j = int(n[1]) - 1, int(n[2]) - 1
+                m[:, i, j] += pdf[n].to_numpy(float) * (1j if n.endswith("im") else 1)
+                m[:, j, i] = m[:, i, j].conj()
+            values, vectors = np.linalg.eigh(m)
+            values, vectors = np.maximum(values[:, ::-1], 0), vectors[:, :, ::-1]
+            x, y, z = (vectors * np.exp(-1j * phase(vectors[:, :1].imag, vectors[:, :1].real))).transpose(1, 0, 2)
+            turn = phase(z.real, y.real)
+            y, z = y * np.cos(turn) + z * np.sin(turn), z * np.cos(turn) - y * np.sin(turn)
+            twist = phase(-z.imag, x.real)
+            alpha = np.arccos(np.clip((x * np.cos(twist) + 1j * z * np.sin(twist)).real, -1, 1))
+            sign = np.where(np.abs(turn) > np.pi / 2, -1, 1)
+            parts = [alpha, phase(y.imag, y.real) * sign, twist / 2 * sign, turn / 2]
+            total = values.sum(axis=1, keepdims=True)
+            share = np.clip(values / np.where(total > 0, total, 1), 0, 1)
+            table = np.hstack([*parts, np.stack([(p * share).sum(axis=1) for p in parts], 1)])
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(np.degrees(table), columns=TOUZI)], axis=1)
+
+    return matrices.select(*keys, *names).mapInPandas(run, schema)
+
+
 def neumann(eps: float = 2.220446049250313e-16) -> dict[str, Column]:
     """Orientation, particle anisotropy's size and phase, and orientation randomness."""
     t11, t22, t33 = (F.col(f"t{i}{i}") for i in (1, 2, 3))

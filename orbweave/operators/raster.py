@@ -13,6 +13,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.tiles import ranked
+
 KEYS = ["image_id"]
 MAD_TO_STD = 1.4826
 
@@ -290,21 +292,8 @@ def gaussian(pixels: DataFrame, sigma: float, truncate: float = 4.0) -> DataFram
     return out
 
 
-def neighbours(pixels: DataFrame, half: int) -> DataFrame:
-    """Adds ``window``, the values of each pixel's neighbourhood.
-
-    Each line collects its own runs and the lines of a column are then gathered: a pixel
-    meets (2 half + 1) arrays, never a join of all pairs.
-    """
-    across = Window.partitionBy("image_id", "row").orderBy("col").rowsBetween(-half, half)
-    down = Window.partitionBy("image_id", "col").orderBy("row").rowsBetween(-half, half)
-    out = mirrored(pixels, "col", half).withColumn("window", F.collect_list("value").over(across)).where("_in").drop("_in")
-    return mirrored(out, "row", half).withColumn("window", F.flatten(F.collect_list("window").over(down))).where("_in").drop("_in")
-
-
 def median_filter(pixels: DataFrame, half: int) -> DataFrame:
-    middle = F.element_at(F.array_sort("window"), ((2 * half + 1) ** 2 + 1) // 2)
-    return neighbours(pixels, half).withColumn("value", middle).drop("window")
+    return ranked(pixels, half, (2 * half + 1) ** 2 // 2)
 
 
 def looks(pixels: DataFrame, half: int, share: float = 0.1) -> DataFrame:
@@ -385,8 +374,8 @@ def ordered_statistic(pixels: DataFrame, training: int = 3, percent: float = 75.
     """Adds ``threshold`` and ``hit`` with a percentile of the whole window as background."""
     n = (2 * training + 1) ** 2
     rank = min(int(n * percent / 100), n - 1)
-    limit = F.element_at(F.array_sort("window"), rank + 1) * factor
-    return neighbours(pixels, training).withColumn("threshold", limit).withColumn("hit", F.col("value") > F.col("threshold")).drop("window")
+    limits = ranked(pixels, training, rank, "threshold").withColumn("threshold", F.col("threshold") * factor)
+    return pixels.join(limits, ["image_id", "row", "col"]).withColumn("hit", F.col("value") > F.col("threshold"))
 
 
 def quadrant_detector(pixels: DataFrame, which: str, guard: int = 1, training: int = 3, pfa: float = 1e-3, assumption: str = "gaussian") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,45 @@ def rational(lat: Column, lon: Column, h: Column, model: dict[str, Sequence[floa
     return value("line_num") / value("line_den") * s[0] + o[0], value("samp_num") / value("samp_den") * s[1] + o[1]
 
 
+def rational_inverse(images: DataFrame, model: dict[str, Sequence[float]], rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """Adds ``lat, lon`` to ``line, sample, h`` by Newton's iteration on the rational model.
+
+    Steps are taken in normalised coordinates with differences as derivatives, whole
+    batches at once; a row that does not settle gets null.
+    """
+    o, s = np.array(model["offset"], float), np.array(model["scale"], float)
+    coefficients = np.array([model[k] for k in ("line_num", "line_den", "samp_num", "samp_den")], float)
+
+    def image(p: np.ndarray, l: np.ndarray, z: np.ndarray) -> np.ndarray:  # noqa: E741
+        first = [np.ones_like(p), l, p, z]
+        second = [l * p, l * z, p * z, l * l, p * p, z * z]
+        third = [p * l * z, l**3, l * p * p, l * z * z, l * l * p, p**3, p * z * z, l * l * z, p * p * z, z**3]
+        a, b, c, d = coefficients @ np.stack(first + second + third)
+        return np.stack([a / b, c / d])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            want = np.stack([(pdf[c].to_numpy(float) - o[k]) / s[k] for k, c in enumerate(("line", "sample"))])
+            z = (pdf["h"].to_numpy(float) - o[4]) / s[4]
+            at, e = np.zeros_like(want), 1e-6
+            change = np.full(want.shape[1], np.inf)
+            with np.errstate(all="ignore"):
+                for _ in range(rounds):
+                    gap = want - image(*at, z)
+                    by_p = (image(at[0] + e, at[1], z) - image(at[0] - e, at[1], z)) / (2 * e)
+                    by_l = (image(at[0], at[1] + e, z) - image(at[0], at[1] - e, z)) / (2 * e)
+                    det = by_p[0] * by_l[1] - by_p[1] * by_l[0]
+                    move = np.stack([by_l[1] * gap[0] - by_l[0] * gap[1], by_p[0] * gap[1] - by_p[1] * gap[0]]) / det
+                    at, change = at + move, np.abs(move).max(axis=0)
+                    if np.nanmax(change, initial=0) < tolerance:
+                        break
+            found = np.where(change < 1e-6, at * s[2:4, None] + o[2:4, None], np.nan)
+            yield pdf.assign(lat=pd.Series(found[0], index=pdf.index).astype(object).where(~np.isnan(found[0]), None), lon=pd.Series(found[1], index=pdf.index).astype(object).where(~np.isnan(found[1]), None))
+
+    schema = ", ".join([f"`{n}` {t}" for n, t in images.dtypes] + ["lat double", "lon double"])
+    return images.mapInPandas(run, schema)
+
+
 # Vectors
 
 

@@ -187,6 +187,69 @@ def kaiser_weight(half: int, beta: float = 5.0) -> Callable[[Column], Column]:
     return weight
 
 
+def phased_weight(half: int, phases: int = 128, beta: float = 5.0) -> Callable[[Column], Column]:
+    """Taps from a bank of ``phases`` Kaiser filters, blended between the two nearest phases."""
+    exact = kaiser_weight(half, beta)
+
+    def weight(d: Column) -> Column:
+        place = d * phases
+        low = F.floor(place)
+        part = place - low
+        return exact(low / phases) * (1 - part) + exact((low + 1) / phases) * part
+
+    return weight
+
+
+def farrow_weight(half: int, degree: int = 3) -> Callable[[Column], Column]:
+    """Lagrange taps whose dependence on the fraction is a fitted polynomial, by Horner's rule.
+
+    The fit of degree ``2 * half - 1`` or more is exact; a lower one is the least-squares
+    fit over even fractions.
+    """
+    at = np.linspace(0, 1, max(4 * degree, 20) + 1)
+    places = range(-half + 1, half + 1)
+    taps = np.stack([np.prod([(at - j) / (k - j) for j in places if j != k], axis=0) for k in places], 1)
+    fitted = np.linalg.lstsq(np.vander(at, degree + 1), taps, rcond=None)[0]
+
+    def weight(d: Column) -> Column:
+        before = F.floor(d)
+        fraction, out = d - before, F.lit(0.0)
+        for k, powers in zip(places, fitted.T, strict=True):
+            term = F.lit(0.0)
+            for c in powers:
+                term = term * fraction + float(c)
+            out = F.when(before == -k, term).otherwise(out)
+        return out
+
+    return weight
+
+
+def multilook_images(images: DataFrame, looks: tuple[int, int], overlap: float = 0.0) -> DataFrame:
+    """``image_id, look, row, col, re, im``: sub-images of the parts of each image's spectrum.
+
+    The centred spectrum of rows and columns is cut into ``looks``; the part (m, n) has the
+    number ``m * looks[1] + n`` and keeps the image's size. A task holds one image.
+    """
+    kinds = dict(images.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
+        z = np.zeros((rows, cols), complex)
+        z[pdf["row"], pdf["col"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        spectrum = np.fft.fftshift(np.fft.fft2(z))
+        parts = []
+        for m, (r0, r1) in enumerate(subbands(rows, looks[0], overlap)):
+            for n, (c0, c1) in enumerate(subbands(cols, looks[1], overlap)):
+                one = np.zeros_like(spectrum)
+                one[r0:r1, c0:c1] = spectrum[r0:r1, c0:c1]
+                at = np.fft.ifft2(np.fft.ifftshift(one))[pdf["row"], pdf["col"]]
+                parts.append(pdf[["image_id", "row", "col"]].assign(look=m * looks[1] + n, re=at.real, im=at.imag))
+        return pd.concat(parts)
+
+    schema = f"image_id {kinds['image_id']}, look int, row {kinds['row']}, col {kinds['col']}, re double, im double"
+    return images.groupBy("image_id").applyInPandas(run, schema)
+
+
 def thiran_coefficients(delay: float, order: int) -> np.ndarray:
     """Denominator of the all-pass filter that delays by ``delay`` samples with a flat group delay."""
     if delay < order - 0.5:
