@@ -297,12 +297,24 @@ def median_filter(pixels: DataFrame, half: int) -> DataFrame:
 
 
 def looks(pixels: DataFrame, half: int, share: float = 0.1) -> DataFrame:
-    """``image_id, enl``: one over the mean of the lowest tenth of squared variation."""
-    rows = local_moments(pixels, half).withColumn("ci2", F.when(F.col("mean") != 0, F.col("variance") / (F.col("mean") * F.col("mean")))).where("ci2 is not null")
-    order = Window.partitionBy("image_id").orderBy("ci2")
-    rows = rows.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("image_id")))
-    low = rows.where(F.col("r") <= F.greatest(F.floor(F.col("n") * share), F.lit(1)))
-    return low.groupBy("image_id").agg((1 / F.avg("ci2")).alias("enl"))
+    """``image_id, enl``: one over the mean of the lowest tenth of squared variation; 1 where that is 0.
+
+    Values are counted in bins of their logarithm; only the bin in which the tenth ends is
+    ranked, and not even that where all its values are equal.
+    """
+    moments_ = local_moments(pixels, half)
+    ci2 = F.when(F.col("mean") != 0, F.col("variance") / (F.col("mean") * F.col("mean")))
+    place = F.when(F.col("ci2") > 0, F.floor(F.log2("ci2") * 256)).otherwise(F.lit(-(1 << 20)).cast("long"))
+    rows = moments_.select("image_id", ci2.alias("ci2")).where("ci2 is not null").withColumn("bin", place)
+    bins = rows.groupBy("image_id", "bin").agg(F.count("*").alias("n"), F.sum("ci2").alias("s"), F.min("ci2").alias("lo"), F.max("ci2").alias("hi"))
+    upto = F.sum("n").over(Window.partitionBy("image_id").orderBy("bin"))
+    most = F.greatest(F.floor(F.sum("n").over(Window.partitionBy("image_id")) * share), F.lit(1))
+    bins = bins.withColumns({"left": most - (upto - F.col("n")), "k": most}).where("left > 0")
+    parts = bins.where("n <= left or lo = hi").select("image_id", "k", F.when(F.col("n") <= F.col("left"), F.col("s")).otherwise(F.col("lo") * F.col("left")).alias("s"))
+    last = bins.where("n > left and lo < hi").select("image_id", "bin", "left", "k")
+    inside = rows.join(last, ["image_id", "bin"]).withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("ci2"))).where("r <= left")
+    sums = parts.union(inside.select("image_id", "k", F.col("ci2").alias("s"))).groupBy("image_id").agg(F.max("k").alias("k"), F.sum("s").alias("s"))
+    return sums.select("image_id", F.when(F.col("s") > 0, F.col("k") / F.col("s")).otherwise(1.0).alias("enl"))
 
 
 def lee_filter(pixels: DataFrame, half: int, enl: float) -> DataFrame:

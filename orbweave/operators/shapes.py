@@ -136,6 +136,24 @@ def rational_inverse(images: DataFrame, model: dict[str, Sequence[float]], round
     return images.mapInPandas(run, schema)
 
 
+def undulation(places: DataFrame, grid: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Adds ``undulation`` to ``id, lat, lon``: a geoid grid's height, bilinear.
+
+    ``grid(row, col, value)`` covers the globe: its first row lies at the north pole, its
+    last at the south pole, its first column on the meridian; columns go round. Nodes that
+    are missing give null. An orthometric height is the ellipsoidal one less this.
+    """
+    y, x = (90 - F.col("lat")) / 180 * (rows - 1), F.pmod(F.col("lon"), F.lit(360.0)) / 360 * cols
+    r0, c0 = F.least(F.floor(y), F.lit(rows - 1).cast("long")), F.floor(x)
+    spot = lambda r, c, w: F.struct(F.least(r, F.lit(rows - 1).cast("long")).alias("row"), F.pmod(c, F.lit(cols).cast("long")).alias("col"), w.alias("w"))
+    dy, dx = y - r0, x - c0
+    nodes = F.array(spot(r0, c0, (1 - dy) * (1 - dx)), spot(r0, c0 + 1, (1 - dy) * dx), spot(r0 + 1, c0, dy * (1 - dx)), spot(r0 + 1, c0 + 1, dy * dx))
+    asked = places.select("id", F.explode(nodes).alias("n")).select("id", "n.row", "n.col", "n.w")
+    met = asked.join(grid.select("row", "col", "value"), ["row", "col"], "left").groupBy("id")
+    found = met.agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("undulation"))
+    return places.join(found, "id", "left")
+
+
 # Vectors
 
 

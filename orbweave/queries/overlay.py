@@ -116,6 +116,13 @@ def rpc_inverse(spark, sf):
     return out.select("filepath", r6("lat", 5).alias("lat"), r6("lon", 5).alias("lon"))
 
 
+def geoid_height(spark, sf):
+    """Heights of scans above a geoid of 64 x 64 nodes, the mean of all images."""
+    d = C.located(load(spark, sf, SCANS)).select(F.col("filepath").alias("id"), "lat", "lon", (F.col("seq") % 1000 * 1.5).alias("h"))
+    grid = load(spark, sf, PIXELS).groupBy("row", "col").agg(F.avg("value").alias("value"))
+    return S.undulation(d, grid, 64, 64).select("id", r6("undulation").alias("undulation"), r6(F.col("h") - F.col("undulation")).alias("height"))
+
+
 ASKED = ("sar.coherence", "physical.rcs_db", "identity.label", "gmti.mdv_dmps", "volume.tree_count", "context.cluster_id", "temporal.dwell_time", "trait.color", "spectral.ndvi", "no.such_field")
 
 
@@ -207,6 +214,10 @@ ORACLES = {
     "pol_yamaguchi_y4s": oracle(yamaguchi_sql("y4s"), **CP),
     "interp_farrow": signal_queries.ORACLES["interp_lagrange"],
     "rpc_inverse": oracle(f"WITH {LOC} SELECT filepath, round(lat, 5) + 0.0 AS lat, round(lon, 5) + 0.0 AS lon FROM l", **SC),
+    "geoid_height": oracle(
+        f"WITH {LOC}, p AS (SELECT filepath AS id, h, (90 - lat) / 180 * 63 AS y, (CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) / 360 * 64 AS x FROM l), q AS (SELECT *, floor(y) AS r0, floor(x) AS c0, i, j FROM p, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS j) b), "
+        "w AS (SELECT id, h, least(r0 + i, 63) AS r, (c0 + j) % 64 AS c, (CASE i WHEN 0 THEN 1 - (y - r0) ELSE y - r0 END) * (CASE j WHEN 0 THEN 1 - (x - c0) ELSE x - c0 END) AS w FROM q), "
+        "g AS (SELECT row, col, avg(value) AS value FROM px GROUP BY ALL), u AS (SELECT id, h, sum(w * value) AS u FROM w JOIN g ON g.row = r AND g.col = c GROUP BY ALL) SELECT id, round(u, 6) + 0.0 AS undulation, round(h - u, 6) + 0.0 AS height FROM u", **SC, **PX),
     "field_lookup": oracle(f"WITH f AS (SELECT id, ([{', '.join(map(quoted, ASKED))}])[seq % {len(ASKED)} + 1] AS field FROM boxes), e(name, domain, type, unit) AS (VALUES {ENTRIES}) SELECT id, field, domain, type, unit, domain IS NOT NULL AS known FROM f LEFT JOIN e ON field = name", **B),
 }
 

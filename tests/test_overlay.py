@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import overlay, polarimetry, shapes, signal, tiles, vector
+from orbweave.operators import overlay, polarimetry, raster, shapes, signal, tiles, vector
 from orbweave.sources import fields
 
 
@@ -214,3 +214,25 @@ def test_field_dictionary(spark):
     assert fields.lookup("physical.speed") == ("physical.speed", "physical", "float", "m/s") and fields.lookup("speed") is None
     row = spark.createDataFrame([("7", "x")], "a string, b string").select(fields.typed(F.col("a"), "int").alias("a"), fields.typed(F.col("b"), "float").alias("b")).first()
     assert row["a"] == 7 and row["b"] is None
+
+
+@pytest.mark.parametrize("kind", ["noise", "flat", "halves"])
+def test_looks_equal_a_full_sort(spark, kind):
+    rng = np.random.default_rng(8)
+    values = {"noise": rng.gamma(4, 1, (20, 15)), "flat": np.full((6, 6), 2.0), "halves": np.where(np.arange(12) < 6, 1.0, 7.0) * np.ones((12, 1))}[kind]
+    w = np.lib.stride_tricks.sliding_window_view(np.pad(values, 1, mode="symmetric"), (3, 3))
+    ci2 = np.sort(np.maximum((w * w).mean((-2, -1)) - w.mean((-2, -1)) ** 2, 0).ravel() / w.mean((-2, -1)).ravel() ** 2)
+    low = ci2[: max(1, int(ci2.size * 0.1))].mean()
+    got = raster.looks(image(spark, values), 1).first()["enl"]
+    assert got > 1e6 or got == 1.0 if low < 1e-9 else math.isclose(got, 1 / low, rel_tol=1e-9)
+
+
+def test_geoid_heights(spark):
+    grid = np.random.default_rng(9).normal(size=(5, 8))
+    nodes = spark.createDataFrame([(r, c, float(v)) for (r, c), v in np.ndenumerate(grid)], "row int, col int, value double")
+    rows = [(0, 90.0, 0.0), (1, -90.0, 45.0), (2, 22.5, -45.0), (3, 45.0, 359.0), (4, 0.0, 22.5)]
+    got = {r["id"]: r["undulation"] for r in shapes.undulation(spark.createDataFrame(rows, "id int, lat double, lon double"), nodes, 5, 8).collect()}
+    assert math.isclose(got[0], grid[0, 0]) and math.isclose(got[1], grid[4, 1])
+    assert math.isclose(got[2], (grid[1, 7] + grid[2, 7]) / 2)
+    assert math.isclose(got[3], grid[1, 7] / 45 + grid[1, 0] * 44 / 45, rel_tol=1e-9)
+    assert math.isclose(got[4], (grid[2, 0] + grid[2, 1]) / 2)
