@@ -59,7 +59,7 @@ def vector_filter_bbox(spark, sf):
 
 
 def vector_filter_property(spark, sf):
-    return V.filter_property(points(spark, sf), "nation", 7).select("id", "x", "y")
+    return V.filter_property(points(spark, sf), "nation", 8).select("id", "x", "y")
 
 
 def vector_filter_geometry(spark, sf):
@@ -387,7 +387,7 @@ ORACLES = {
     "vector_types": oracle("SELECT geom_type FROM boxes UNION SELECT geom_type FROM points", **B, **PT),
     "vector_property": oracle("SELECT id, brand, val FROM boxes", **B),
     "vector_filter_bbox": oracle("SELECT id, minx, maxy FROM boxes WHERE minx <= 2600 AND maxx >= 500 AND miny <= 3100 AND maxy >= 700", **B),
-    "vector_filter_property": oracle("SELECT id, x, y FROM points WHERE nation IS NOT DISTINCT FROM 7", **PT),
+    "vector_filter_property": oracle("SELECT id, x, y FROM points WHERE nation IS NOT DISTINCT FROM 8", **PT),
     "vector_filter_geometry": oracle(f"WITH {LOC} SELECT filepath FROM l WHERE ({HAV_RING}) % 2 = 1", **SC),
     "vector_intersection": oracle(INTER, **B),
     "spatial_join_inner": oracle("SELECT p.id AS l_id, b.id AS r_id, p.val AS l_val, b.brand AS r_brand FROM points p JOIN boxes b ON p.x BETWEEN b.minx AND b.maxx AND p.y BETWEEN b.miny AND b.maxy", **B, **PT),
