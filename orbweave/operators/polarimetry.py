@@ -137,13 +137,26 @@ def barakat() -> Column:
     return F.least(F.sqrt(F.greatest(1 - determinant() * 27 / (t * t * t), F.lit(0.0))), F.lit(1.0))
 
 
-def shannon_entropy(eps: float = 1e-8) -> dict[str, Column]:
-    """Intensity and polarimetric parts and their sum; an undefined part counts as nothing."""
-    i = F.greatest(trace(), F.lit(eps))
-    rest = determinant() * 27 / (i * i * i + eps)
-    polar = F.when(rest > eps, F.log(F.abs(rest)))
-    intensity = F.log(i * (math.e * math.pi / 3)) * 3
-    return {"h_intensity": intensity, "h_polarimetric": polar, "h_total": intensity + F.coalesce(polar, F.lit(0.0))}
+def _ieee_log(x: Column) -> Column:
+    """Logarithm where Spark's own gives null: at zero and below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
+
+
+def shannon_entropy(eps: float | None = 1e-8) -> dict[str, Column]:
+    """Intensity and polarimetric parts and their sum; an undefined part counts as nothing.
+
+    Without ``eps`` nothing is held back: a singular matrix gives minus infinity, a
+    determinant below zero nan, and the sum takes either over.
+    """
+    i = trace() if eps is None else F.greatest(trace(), F.lit(eps))
+    rest = determinant() * 27 / (i * i * i + (1e-8 if eps is None else eps))
+    intensity = _ieee_log(i * (math.e * math.pi / 3)) * 3
+    if eps is None:
+        polar = total = _ieee_log(rest)
+    else:
+        polar = F.when(rest > eps, F.log(F.abs(rest)))
+        total = F.coalesce(polar, F.lit(0.0))
+    return {"h_intensity": intensity, "h_polarimetric": polar, "h_total": intensity + total}
 
 
 def _held(x: Column, low: float, high: float) -> Column:

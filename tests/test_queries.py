@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -37,3 +38,20 @@ def test_query_equals_oracle(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def of_embeddings(spark, tmp_path, name, vectors):
+    """A query over these vectors alone, and what its oracle gives."""
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    table.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    return registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES[name]).df()
+
+
+def test_entropy_of_singular_matrices_equals_oracle(spark, tmp_path):
+    """Two looks and one of nothing: the determinant is zero, or its rounding."""
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 0.1) for _ in range(64)] for _ in range(18)] + [[1.0] * 64] * 6 + [[0.0] * 64] * 8
+    got, want = of_embeddings(spark, tmp_path, "pol_shannon", vectors)
+    assert rows(got) == rows(want) and any(math.isinf(x) for x in want["h_total"])
