@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,7 +126,9 @@ def affine(row, col, t: tuple[float, ...]) -> tuple[Column, Column]:
 
 def affine_inverse(x, y, t: tuple[float, ...]) -> tuple[Column, Column]:
     a, b, c, d, e, f = t
-    det = a * e - b * d
+    # From the decimals as written and rounded once: a determinant that is off by its last
+    # digit moves whole pixels to either side of their own line.
+    det = float(Fraction(repr(float(a))) * Fraction(repr(float(e))) - Fraction(repr(float(b))) * Fraction(repr(float(d))))
     x, y = num(x) - c, num(y) - f
     return (y * a - x * d) / det, (x * e - y * b) / det
 

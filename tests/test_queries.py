@@ -55,3 +55,11 @@ def test_entropy_of_singular_matrices_equals_oracle(spark, tmp_path):
     vectors = [[rng.gauss(0, 0.1) for _ in range(64)] for _ in range(18)] + [[1.0] * 64] * 6 + [[0.0] * 64] * 8
     got, want = of_embeddings(spark, tmp_path, "pol_shannon", vectors)
     assert rows(got) == rows(want) and any(math.isinf(x) for x in want["h_total"])
+
+
+@pytest.mark.parametrize("height", [6, 11, 26, 41, 61])
+def test_warp_of_a_short_image_equals_oracle(spark, tmp_path, height):
+    """Places that fall on the last line, whose next line is missing."""
+    rng = random.Random(height)
+    got, want = of_embeddings(spark, tmp_path, "warp_image", [[rng.gauss(0, 0.1) for _ in range(64)] for _ in range(height)])
+    assert rows(got) == rows(want)
