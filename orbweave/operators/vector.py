@@ -2,7 +2,9 @@
 
 Joins meet on the cells of a grid, so they are equalities with the exact predicate as
 residual. A pair of boxes may share several cells; the cell that holds the lower left
-corner of their intersection alone reports it, so nothing has to be made distinct.
+corner of their intersection alone reports it, so nothing has to be made distinct. Both
+sides are shuffled: the planner does not know how many cells a box has, and would take
+the exploded side for small enough to send it through the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def _gridded(boxes: DataFrame, prefix: str, size: float) -> DataFrame:
 
 def intersecting_boxes(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes that meet, with columns ``l_*`` and ``r_*`` and their intersection."""
-    pairs = _gridded(left, "l", cell).join(_gridded(right, "r", cell), ["gx", "gy"])
+    pairs = _gridded(left, "l", cell).hint("merge").join(_gridded(right, "r", cell).hint("merge"), ["gx", "gy"])
     x0, y0 = F.greatest("l_minx", "r_minx"), F.greatest("l_miny", "r_miny")
     x1, y1 = F.least("l_maxx", "r_maxx"), F.least("l_maxy", "r_maxy")
     once = (F.floor(x0 / cell) == F.col("gx")) & (F.floor(y0 / cell) == F.col("gy"))
@@ -58,7 +60,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, how: str =
     b = _gridded(boxes, "r", cell)
     inside = F.col("l_x").between(F.col("r_minx"), F.col("r_maxx")) & F.col("l_y").between(F.col("r_miny"), F.col("r_maxy"))
     same = (p["gx"] == b["gx"]) & (p["gy"] == b["gy"])
-    return p.join(b, same & inside, how).drop("gx", "gy")
+    return p.join(b.hint("merge"), same & inside, how).drop("gx", "gy")
 
 
 def clip_boxes(boxes: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:

@@ -175,3 +175,16 @@ def test_workspace_tables_live_in_the_shared_folder(spark):
     table = ws.save(spark.range(3), "numbers")
     assert table.count() == 3 and ws.root in table._orbweave_path
     ws.drop(table)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_box_joins_are_not_broadcast(spark):
+    """The side with a row for every cell never goes through the driver."""
+    df = spark.createDataFrame([(i, float(i), 0.0, i + 1.5, 9.0) for i in range(20)], "seq long, minx double, miny double, maxx double, maxy double")
+    out = vector.intersecting_boxes(df, df, 2.0).where("l_seq < r_seq")
+    points = vector.points_in_boxes(df.selectExpr("seq", "minx as x", "miny as y"), df, 2.0, "left")
+    assert "Broadcast" not in plan(out) and "Broadcast" not in plan(points)
+    assert {(r["l_seq"], r["r_seq"]) for r in out.collect()} == {(i, i + 1) for i in range(19)} and points.count() == 39
