@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,31 @@ def test_box_joins_are_not_broadcast(spark):
     points = vector.points_in_boxes(df.selectExpr("seq", "minx as x", "miny as y"), df, 2.0, "left")
     assert "Broadcast" not in plan(out) and "Broadcast" not in plan(points)
     assert {(r["l_seq"], r["r_seq"]) for r in out.collect()} == {(i, i + 1) for i in range(19)} and points.count() == 39
+
+
+def test_two_focus_places_take_few_distances(spark, monkeypatch):
+    """The sum of distances is met, with far fewer distances than halving would take."""
+    from orbweave.operators import placing
+
+    asked = []
+    distance = placing.geodesic_distance
+    monkeypatch.setattr(placing, "geodesic_distance", lambda *x: (asked.append(np.size(x[-1])), distance(*x))[1])
+    taken = []
+
+    class Rows:
+        """Stands for the exploded table, so that the batch function runs here."""
+
+        dtypes, sparkSession = [("id", "long")], spark
+        repartition = withColumn = select = lambda self, *_: self  # noqa: N815
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            taken.append(run)
+
+    placing.two_focus_ellipse(Rows(), 6)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(600), "k": np.arange(600) % 6, "lat1": rng.uniform(-60, 60, 600), "lon1": rng.uniform(-179, 179, 600)})
+    pdf = pdf.assign(lat2=pdf["lat1"] + 0.2, lon2=pdf["lon1"] + 0.3, total=90_000.0)
+    (out,) = taken[0](iter([pdf]))
+    assert sum(asked) < 40 * len(pdf)
+    total = distance(pdf["lat1"], pdf["lon1"], out["lat"], out["lon"]) + distance(pdf["lat2"], pdf["lon2"], out["lat"], out["lon"])
+    assert np.abs(total - 90_000).max() < 1e-5
