@@ -109,32 +109,66 @@ def find_colocated(scans: DataFrame, filepath: str, radius_km: float = 50.0, win
     return out.orderBy("distance_km", F.coalesce("offset_days", F.lit(0.0)))
 
 
-def near_pairs(points: DataFrame, radius_km: float, key: str = "seq") -> DataFrame:
+CELL = ("cx", "cy", "cz")
+
+
+def _chord(radius_km: float) -> float:
+    """Length of the straight line under an arc of the unit sphere."""
+    return 2 * math.sin(min(radius_km * 1000 / SPHERE_M, math.pi) / 2)
+
+
+def _cells(edge: float, lat: str = "lat", lon: str = "lon") -> list[Column]:
+    """Cube of the edge's length that holds a point of the unit sphere."""
+    return [F.floor(c / edge).cast("long").alias(n) for c, n in zip(unit_sphere(lat, lon), CELL, strict=True)]
+
+
+def _forward(reach: int) -> list[tuple[int, int, int]]:
+    """Offsets to neighbouring cubes, one of each pair of opposite ones, without the cube itself."""
+    span = range(-reach, reach + 1)
+    return [o for i in span for j in span for k in span if (o := (i, j, k)) > (0, 0, 0)]
+
+
+def _moved(table: DataFrame, offsets: list[tuple[int, int, int]], edge: float) -> DataFrame:
+    """Every row once for each offset, its cube moved by it; ``own`` where it did not move.
+
+    Cubes that the sphere does not pass hold no point and are left out.
+    """
+    near = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(CELL, o, strict=True)]) for o in offsets])
+    out = table.withColumn("o", F.explode(near)).withColumn("own", F.greatest(*[F.abs(f"o.{c}") for c in CELL]) == 0)
+    out = out.withColumns({c: F.col(c) + F.col(f"o.{c}") for c in CELL}).drop("o")
+    low, high = [F.col(c) * edge for c in CELL], [(F.col(c) + 1) * edge for c in CELL]
+    inner = sum((x * x for x in (F.greatest(a, -b, F.lit(0.0)) for a, b in zip(low, high, strict=True))), F.lit(0.0))
+    outer = sum((x * x for x in (F.greatest(-a, b) for a, b in zip(low, high, strict=True))), F.lit(0.0))
+    return out.where((inner <= 1 + 1e-9) & (outer >= 1 - 1e-9))
+
+
+def near_pairs(points: DataFrame, radius_km: float, key: str = "seq", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(a, b, distance_km)``, a < b, of points within the radius of each other.
 
     Points on the unit sphere fall into cubes whose edge is the chord of the radius; each
-    point meets the 27 cubes around its own, so the join is an equality on cubes with the
-    exact distance as residual, and neither poles nor the antimeridian are special.
+    point meets its own cube and 13 of the 26 around it, so the join is an equality on
+    cubes with the exact distance as residual, and neither poles nor the antimeridian are
+    special. Columns to ``carry`` follow as ``a_*`` and ``b_*``, so that pairs need no join
+    of their own. Both sides are shuffled: the copies of a point are unknown to the planner,
+    which would take the exploded side for small enough to send it through the driver.
     """
-    edge = max(2 * math.sin(min(radius_km * 1000 / SPHERE_M, math.pi) / 2), 1e-9) * (1 + 1e-9)
-    cell = [F.floor(c / edge).cast("long") for c in unit_sphere("lat", "lon")]
-    base = points.select(F.col(key), "lat", "lon", *[c.alias(n) for c, n in zip(cell, ("cx", "cy", "cz"), strict=True)])
-    left = base.select(*[F.col(c).alias(f"a_{c}") for c in (key, "lat", "lon")], "cx", "cy", "cz")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    right = base.withColumn("n", F.explode(near)).select(
-        *[F.col(c).alias(f"b_{c}") for c in (key, "lat", "lon")], *[(F.col(c) + F.col(f"n.{d}")).alias(c) for c, d in (("cx", "i"), ("cy", "j"), ("cz", "k"))]
-    )
-    pairs = left.join(right, ["cx", "cy", "cz"]).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    pairs = pairs.withColumn("distance_km", haversine("a_lat", "a_lon", "b_lat", "b_lon") / 1000)
-    return pairs.where(F.col("distance_km") <= radius_km).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance_km")
+    edge = max(_chord(radius_km), 1e-9) * (1 + 1e-9)
+    columns = (key, "lat", "lon", *carry)
+    base = points.select(*columns, *_cells(edge))
+    side = lambda t, p: t.select(F.struct(*[F.col(c) for c in columns]).alias(p), *CELL, *(["own"] if p == "q" else []))
+    pairs = side(base, "p").join(side(_moved(base, [(0, 0, 0), *_forward(1)], edge), "q").hint("merge"), list(CELL))
+    first = F.col(f"p.{key}") < F.col(f"q.{key}")
+    pairs = pairs.where((F.col(f"p.{key}") != F.col(f"q.{key}")) & (first | ~F.col("own")))
+    pairs = pairs.where(haversine("p.lat", "p.lon", "q.lat", "q.lon") / 1000 <= radius_km)
+    pairs = pairs.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"))
+    named = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for c in carry for p in ("a", "b")]
+    return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), (haversine("a.lat", "a.lon", "b.lat", "b.lon") / 1000).alias("distance_km"), *named)
 
 
 def find_pairs(scans: DataFrame, max_km: float = 10.0, max_days: float = 365.0, same_modality: bool = False, cross_sensor: bool = False) -> DataFrame:
     """Pairs of scans near in space, and in time where both times are known."""
-    rows = located(scans)
-    pairs = near_pairs(rows, max_km)
-    side = lambda p: rows.select(F.col("seq").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("datetime", "sensor", "modality")])
-    out = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("delta_days", F.abs(days(F.col("a_datetime"), F.col("b_datetime"))))
+    carry = ("datetime", *["modality"] * same_modality, *["sensor"] * cross_sensor)
+    out = near_pairs(located(scans), max_km, carry=carry).withColumn("delta_days", F.abs(days(F.col("a_datetime"), F.col("b_datetime"))))
     out = out.where(F.coalesce(F.col("delta_days") <= max_days, F.lit(True)))
     if same_modality:
         out = out.where(F.col("a_modality") == F.col("b_modality"))

@@ -182,6 +182,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_pairs_are_not_broadcast(spark):
+    """Neither side of the cube join goes through the driver, however small the tables seem."""
+    rows = [(i, f"f{i}", None if i % 5 else "m", f"s{i % 3}", None, float(i), 0.0, float(i), 0.0, None) for i in range(20)]
+    scans = spark.createDataFrame(rows, "seq long, filepath string, modality string, sensor string, datetime timestamp_ntz, west double, south double, east double, north double, error string")
+    out = catalog.find_pairs(scans, 120.0, cross_sensor=True)
+    assert "Broadcast" not in plan(out)
+    assert {(r["a"], r["b"]) for r in out.collect()} == {(i, i + 1) for i in range(19)}
+
+
 def test_box_joins_are_not_broadcast(spark):
     """The side with a row for every cell never goes through the driver."""
     df = spark.createDataFrame([(i, float(i), 0.0, i + 1.5, 9.0) for i in range(20)], "seq long, minx double, miny double, maxx double, maxy double")
