@@ -226,3 +226,32 @@ def test_two_focus_places_take_few_distances(spark, monkeypatch):
     assert sum(asked) < 40 * len(pdf)
     total = distance(pdf["lat1"], pdf["lon1"], out["lat"], out["lon"]) + distance(pdf["lat2"], pdf["lon2"], out["lat"], out["lon"])
     assert np.abs(total - 90_000).max() < 1e-5
+
+
+@pytest.mark.parametrize("radius, spread, crowd", [(60.0, 4.0, 0), (60.0, 12.0, 0), (25.0, 90.0, 8), (0.001, 1e-4, 8)])
+def test_regions_are_single_link_clusters(spark, monkeypatch, radius, spread, crowd):
+    """Crowded and thin cubes, copies, poles and a place that is no number, without near pairs."""
+    rng = random.Random(int(spread * 7))
+    centres = [(rng.choice([0.0, 40.0, 89.0, -89.5]), rng.choice([0.0, 179.9, -60.0])) for _ in range(8)]
+    points = [(a + rng.uniform(-spread, spread) / 4, o + rng.uniform(-spread, spread)) for a, o in rng.choices(centres, k=600)]
+    points += rng.choices(points, k=60) + [(math.nan, 1.0), (math.nan, 1.0)]
+    seqs = rng.sample(range(10_000), len(points))
+    rows = [(s, a, o, a, o, None) for s, (a, o) in zip(seqs, points, strict=True)]
+    scans = spark.createDataFrame(rows, "seq long, south double, west double, north double, east double, error string")
+    monkeypatch.setattr(catalog, "CROWD", crowd)
+    if radius > 1:
+        monkeypatch.setattr(catalog, "near_pairs", lambda *_, **__: pytest.fail("listed all near pairs"))
+    got = {r["seq"]: (r["cluster"], r["size"]) for r in catalog.group_by_region(scans, radius).collect()}
+
+    lat, lon = np.radians(np.array(points)).T
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    near = 2 * 6371 * np.arcsin(np.sqrt(np.minimum(1, h))) <= radius
+    np.fill_diagonal(near, True)
+    name = np.array(seqs)
+    while True:
+        after = np.where(near, name, 10_000).min(axis=1)
+        if (after == name).all():
+            break
+        name = after
+    sizes = {n: int((name == n).sum()) for n in set(name.tolist())}
+    assert got == {s: (n, sizes[n]) for s, n in zip(seqs, name.tolist(), strict=True)}
