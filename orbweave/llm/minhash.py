@@ -189,7 +189,7 @@ def minhash_components(
     rows = ws.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     classes = ws.save(classes.where("doc is not null"), "classes")
-    blocks = classes.select("doc", F.col("n_shingles").alias("size"), F.explode("bands").alias("token"))
+    blocks = classes.select("doc", F.col("n_shingles").alias("size"), F.lit(1).alias("need"), F.explode("bands").alias("token"))
     links = block_links(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
     return by_component(rows, classes, joined_components(rows, classes, links, ws))
 

@@ -3,21 +3,27 @@
 1. One pass hashes every text's shingles. Texts with the same set form a class, which
    its smallest id stands for.
 2. Each class keeps a prefix of its set in hash order. If two sets of ``x <= y``
-   elements reach the threshold, then prefixes of ``p + s`` elements, with
-   ``p = floor((1 - t) * size) + 1`` and ``s = floor(p / 2)`` at its own size, share at
-   least ``1 + s(x)`` tokens. Each class may therefore forget the ``s(ceil(t * size))``
-   tokens that most classes hold: of the shared ones the rarest stays on both sides.
-   A passage that a third of all documents contain so drops out of the matrix, and
-   which tokens are forgotten never changes the result.
+   elements reach the threshold, then prefixes of ``p + s + k`` elements, with
+   ``p = floor((1 - t) * size) + 1``, ``s = floor(p / 2)`` and ``k = min(s, SPARE)`` at
+   its own size, share at least ``1 + s(x) + k(x)`` tokens. Each class may therefore
+   forget the ``s(ceil(t * size))`` tokens that most classes hold: of the shared ones the
+   rarest ``1 + k(x)`` stay on both sides. A passage that a third of all documents
+   contain so drops out of the matrix, and which tokens are forgotten never changes the
+   result. What a class shares with others by chance grows with the table, but seldom
+   reaches ``1 + k`` tokens: a class that shares fewer is in no link, and two that share
+   fewer with each other are not linked.
 3. Every class chooses a pivot, the smallest id of the blocks it shares most tokens
-   with. The classes that these choices connect are similar; cut by a hash into chunks
-   of about ``GROUP_TOKENS`` shingles they are the groups; a class that shares a block
-   but is connected to none is a group of its own. A group's token union, with
-   the members that hold each token, is built once in one task; a member whose overlap
-   with the rest of the union cannot reach the threshold is passed over, the others are
-   verified, and links within the group give first components.
-4. The matrix holds (token, group) for the tokens of a group's members; a class queries
-   the other groups that share a token with it, fit in size and hold a class of another
+   with, if they are as many as a link needs. The classes that these choices connect are
+   similar; cut by a hash into chunks of about ``GROUP_TOKENS`` shingles they are the
+   groups. Of the other classes those of one block of more than ``HOT`` classes and of
+   like size are a group, any other is one of its own.
+4. The matrix holds (token, group) for the tokens of a group's members; a class is near
+   the groups, its own included, with which it shares as many tokens of classes that fit
+   in size as a link needs. Only the whole sets of classes that are near a group are read.
+5. A group's token union, with the members that hold each token, is built once in one
+   task; a member whose overlap with the rest of the union cannot reach the threshold is
+   passed over, the others are verified, and links within the group give first components.
+6. A class queries the other groups that it is near to and that hold a class of another
    component. The overlap of the query with the group's whole token union bounds its
    similarity to every member; only a group whose bound reaches the threshold is opened,
    and its members' overlaps counted from the group's lists. One link for each other
@@ -25,7 +31,7 @@
    so a family of near copies costs a tree, not all pairs. Of two classes the one in the
    smaller component asks.
 
-5. Sets too small to reach the threshold with any other set are left out of the matrix:
+7. Sets too small to reach the threshold with any other set are left out of the matrix:
    one that has ``x`` elements can at best share them all with a set of ``x + 1``.
 
 Defined cases: null or word-less text has an empty set, size 0, and is linked with
@@ -42,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.words import fingerprint, list_array, shingles, slices, split_words
@@ -51,6 +57,10 @@ from orbweave.plans.workspace import Workspace
 
 #: Shingles of a group's members, and of the queries that meet it in one task, about.
 GROUP_TOKENS, QUERY_TOKENS = 1 << 20, 1 << 20
+#: Tokens besides the rarest that a pair must share after all that may be forgotten, at most.
+SPARE = 4
+#: Classes of a block from which on those that are like no other of it form groups too.
+HOT = 1000
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -66,6 +76,28 @@ def forgettable(size: int, num: int, den: int) -> int:
     return slack(-(-num * size // den), num, den)
 
 
+def spare(size: int, num: int, den: int) -> int:
+    """Tokens kept on top of the slack; below a threshold of 3/4 a set may be too small."""
+    return min(slack(size, num, den), SPARE) if 4 * num >= 3 * den else 0
+
+
+def kept(size: int, num: int, den: int) -> int:
+    return prefix_length(size, num, den) + slack(size, num, den) + spare(size, num, den)
+
+
+def least_shared(size: int, num: int, den: int) -> int:
+    """Tokens that a partner at the threshold, smaller or larger, shares after forgetting."""
+    return 1 + spare(-(-num * size // den), num, den)
+
+
+def least_shared_column(size: str, num: int, den: int) -> Column:
+    """:func:`least_shared` of the column ``size``."""
+    if 4 * num < 3 * den:
+        return F.lit(1)
+    low = f"(({size} * {num} + {den - 1}) div {den})"
+    return F.expr(f"1 + least({SPARE}, ({low} - ({low} * {num} + {den - 1}) div {den} + 1) div 2)").cast("int")
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes as signed integers."""
     return np.unique(shingles(split_words(text, lower=True), n).view(np.int64))
@@ -79,7 +111,7 @@ def profile(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sets = [shingle_set(x.as_py(), n) for x in batch.column(1)]
             sizes = [len(x) for x in sets]
             marks = [fingerprint(x) for x in sets]
-            keep = [x[: prefix_length(len(x), num, den) + slack(len(x), num, den)] for x in sets]
+            keep = [x[: kept(len(x), num, den)] for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -216,39 +248,60 @@ def opened_groups(members: DataFrame, queries: DataFrame, num: int, den: int) ->
     return left.cogroup(queries.groupBy("q_group", "q_part")).applyInPandas(run, "a long, b long")
 
 
-def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n: int, num: int, den: int, ws: Workspace) -> DataFrame:
-    """Verified links ``(a, b)`` that connect the classes that share a block.
+def near_groups(blocks: DataFrame, num: int, den: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``groups(doc, own)`` and ``near(doc, group)``: which classes may link where.
 
-    ``classes(doc, f1, f2)`` are the distinct sets and ``blocks(doc, size, token)`` the
-    memberships; every two classes with a token in common are told linked or not, except
-    where earlier links already join their components.
+    ``blocks`` as in :func:`block_links`. Two classes that share as many blocks as a link
+    needs are near each other's groups, or near their own if that is the same. An id
+    that several classes share stands for all of them.
     """
-    heads = ws.save(blocks.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    votes = blocks.join(heads, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
-    stars = ws.save(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("pivot")), "stars")
-    # Of a block's classes all but the pivot vote. A pivot that no one chooses counts too.
-    involved = stars.select("doc").union(heads.select(F.col("pivot").alias("doc"))).distinct()
-    family = connected_components(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
-    family = family.select(F.col("node").alias("doc"), "component")
-    wanted = involved.join(classes.select("doc", "f1", "f2", F.col("n_shingles").alias("size")), "doc").join(family, "doc", "left").withColumn("family", F.coalesce("component", "doc"))
-    volume = wanted.groupBy("family").agg(F.ceil(F.sum("size") / GROUP_TOKENS).cast("long").alias("chunks"))
+    heads = ws.save(blocks.groupBy("token").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "heads")
+    ends = F.min("size").alias("low"), F.max("size").alias("high"), F.min("need").alias("need")
+    votes = blocks.join(heads, "token").groupBy("doc", "pivot").agg(F.count("*").alias("votes"), F.max("n").alias("n"), *ends)
+    best = F.max(F.when((F.col("votes") >= F.col("need")) & (F.col("doc") != F.col("pivot")), F.struct("votes", (-F.col("pivot")).alias("id"))))
+    hub = F.max(F.when(F.col("n") > HOT, F.struct("n", (-F.col("pivot")).alias("id"))))
+    lows = F.min("low").alias("low"), F.max("high").alias("high"), F.min("need").alias("need")
+    stars = votes.groupBy("doc").agg((-best["id"]).alias("pivot"), (-hub["id"]).alias("hub"), *lows)
+    stars = ws.save(stars, "stars")
+    family = connected_components(stars.where("pivot is not null").select(F.col("doc").alias("a"), F.col("pivot").alias("b")), ws)
+    family = family.select(F.col("node").alias("doc"), "component").union(family.select(F.col("component").alias("doc"), "component").distinct())
+    # The classes of a hot block are no family; bands of size keep those apart that cannot link.
+    band = F.floor(F.log("low") / float(np.log(den / num))) if num < den else F.col("low")
+    crowd = F.when(F.col("hub").isNotNull(), F.concat_ws("/", "hub", band))
+    named = stars.join(family, "doc", "left").withColumn("family", F.coalesce(F.col("component").cast("string"), crowd, F.col("doc").cast("string")))
+    volume = named.groupBy("family").agg(F.ceil(F.sum("high") / GROUP_TOKENS).cast("long").alias("chunks"))
     chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
-    wanted = wanted.join(volume, "family").select("doc", "f1", "f2", F.concat_ws("-", "family", chunk).alias("group"))
-    sets = ws.save(whole_sets(docs, wanted, n), "sets")
+    groups = named.join(volume, "family").select("doc", "low", "high", "need", F.concat_ws("-", "family", chunk).alias("own"))
+    groups = ws.save(groups, "groups")
+
+    cells = blocks.select("doc", "token").join(groups, "doc")
+    matrix = cells.groupBy("token", F.col("own").alias("group")).agg(F.count("*").alias("held"), F.min("low").alias("least"), F.max("high").alias("most"))
+    sized = (F.col("high") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("low") * num)
+    met = cells.join(matrix, "token").where(((F.col("group") != F.col("own")) | (F.col("held") > 1)) & sized)
+    near = met.groupBy("doc", "group").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need")
+    return groups.select("doc", "own"), ws.save(near.select("doc", "group"), "near")
+
+
+def block_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, n: int, num: int, den: int, ws: Workspace) -> DataFrame:
+    """Verified links ``(a, b)`` that connect the classes that share blocks.
+
+    ``classes(doc, f1, f2)`` are the distinct sets and ``blocks(doc, size, need, token)``
+    the memberships; every two classes with at least ``need`` tokens in common, the lesser
+    of both, are told linked or not, except where earlier links already join their
+    components.
+    """
+    groups, near = near_groups(blocks, num, den, ws)
+    wanted = near.select("doc").distinct().join(groups, "doc").join(classes.select("doc", "f1", "f2"), "doc")
+    sets = ws.save(whole_sets(docs, wanted.select("doc", "f1", "f2", F.col("own").alias("group")), n), "sets")
     links = ws.save(inner_links(sets, num, den), "links")
     first = ws.save(connected_components(links, ws), "components")
 
     labels = sets.select("doc", "size", "group").join(first, F.col("doc") == F.col("node"), "left").select("doc", "size", "group", F.coalesce("component", "doc").alias("component"))
     weight = labels.groupBy("component").agg(F.count("*").alias("weight"))
     placed = labels.join(weight, "component").select("doc", "size", "component", F.struct("weight", "component").alias("rank"), "group")
-    placed = ws.save(placed, "groups")
-    spans = placed.groupBy("group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    cells = blocks.drop("size").join(placed, "doc")
-    mixed = cells.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("group").alias("g1"), F.max("group").alias("g2"))
-    cells = cells.join(mixed.where("c1 <> c2 and g1 <> g2").select("token"), "token", "left_semi")
-    matrix = cells.groupBy("token", "group").agg(F.max("rank").alias("top")).join(spans, "group")
-    sized = (F.col("size") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("size") * num)
-    asked = cells.withColumnRenamed("group", "own").join(matrix, "token").where((F.col("group") != F.col("own")) & (F.col("rank") < F.col("top")) & sized)
+    placed = ws.save(placed, "placed")
+    top = placed.groupBy("group").agg(F.max("rank").alias("top"))
+    asked = near.join(placed.withColumnRenamed("group", "own"), "doc").where("group <> own").join(top, "group").where(F.col("rank") < F.col("top"))
     asked = ws.save(asked.select("doc", "size", "component", "group").distinct(), "queries")
 
     load = asked.groupBy("group").agg(F.ceil(F.sum("size") / QUERY_TOKENS).cast("int").alias("parts"))
@@ -303,7 +356,8 @@ def jaccard_components(
     per_doc = shared.groupBy("doc", "size", "forget").agg(F.sort_array(F.collect_list(F.struct(-F.col("held"), "token"))).alias("held"))
     left = F.slice("held", F.col("forget") + 1, F.greatest(F.size("held") - F.col("forget"), F.lit(0)))
     # Tokens that only one class holds may be counted among the forgotten ones or not.
-    blocks = per_doc.select("doc", "size", F.explode(left).alias("t")).select("doc", "size", F.col("t.token").alias("token"))
+    per_doc = per_doc.select("doc", "size", least_shared_column("size", num, den).alias("need"), left.alias("left")).where(F.size("left") >= F.col("need"))
+    blocks = per_doc.select("doc", "size", "need", F.explode("left").alias("t")).select("doc", "size", "need", F.col("t.token").alias("token"))
     links = block_links(docs, classes, ws.save(blocks, "blocks"), n, num, den, ws)
     return by_component(rows, classes, joined_components(rows, classes, links, ws))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import exact_dedup, katz, minhash, mixing, ngram_jaccard, packing, resampling, substring_dedup, toxicity, url_filter
 from orbweave.llm.words import grams, hash_words, split_words
+from orbweave.plans.workspace import Workspace
 from tests.llm.corpora import SCHEMA, awkward, clashing, components, family, frame, shingle_sets, words
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -125,6 +126,50 @@ def test_jaccard_components_of_short_chains(spark, n, num, den):
     assert got == want
 
 
+def chance_shares(seed: int = 5) -> list[tuple]:
+    """Texts of few words, so that most share some shingles by chance, and some near copies."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(300):
+        w = [f"v{x}" for x in rng.integers(0, 40, rng.integers(150, 200))]
+        texts += [" ".join(w)] + ([" ".join([*w[1:], "x", "y"])] if i % 30 == 0 else [])
+    return [(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+
+
+def test_jaccard_reads_no_sets_of_classes_that_share_tokens_by_chance(spark, monkeypatch):
+    saved = {}
+
+    class Watched(Workspace):
+        def save(self, df, name):
+            saved[name] = super().save(df, name)
+            return saved[name]
+
+    rows = chance_shares()
+    sets = shingle_sets(rows, 3)
+    want = components(sets, 90, 100)
+    linked = {i for i in want if i != want[i]} | {want[i] for i in want if i != want[i]}
+    assert len(linked) == 20
+    for hot in (ngram_jaccard.HOT, 1):
+        monkeypatch.setattr(ngram_jaccard, "HOT", hot, raising=False)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows), 3, 90, 100, Watched(spark)).collect()}
+        assert got == want
+        assert {r["doc"] for r in saved["sets"].collect()} >= linked
+        assert saved["sets"].count() < 60 and saved["queries"].count() < 60
+
+
+@pytest.mark.parametrize("num", [75, 80, 90, 95])
+def test_jaccard_pairs_share_as_many_tokens_as_a_link_needs(spark, num):
+    sizes = range(1, 700)
+    for x in sizes:
+        assert 1 + ngram_jaccard.slack(x, num, 100) + ngram_jaccard.spare(x, num, 100) <= -(-num * x // 100)
+        assert ngram_jaccard.kept(x, num, 100) <= x
+        for y in range(x, 100 * x // num + 1):
+            left = 1 + ngram_jaccard.slack(x, num, 100) + ngram_jaccard.spare(x, num, 100) - max(ngram_jaccard.forgettable(z, num, 100) for z in (x, y))
+            assert left >= max(ngram_jaccard.least_shared(z, num, 100) for z in (x, y))
+    table = spark.range(1, 700).select("id", ngram_jaccard.least_shared_column("id", num, 100).alias("need"))
+    assert [r["need"] for r in table.orderBy("id").collect()] == [ngram_jaccard.least_shared(x, num, 100) for x in sizes]
+
+
 def test_jaccard_on_awkward_rows(spark, docs):
     got = ngram_jaccard.jaccard_components(clashing(docs), 3, 90, 100).collect()
     rows = awkward()
